@@ -45,5 +45,13 @@ def rename_columns(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(renames))
 
 
-def sort_by(df: DataFrame, keys: str | Iterable[str | Column]) -> DataFrame:
-    return df.orderBy(*[sort_column(k) for k in ([keys] if isinstance(keys, (str, Column)) else keys)])
+def sort_by(df: DataFrame, keys: str | Iterable[str | Column], spread_ties: bool = False) -> DataFrame:
+    """Sort by written keys.
+
+    A sorted table is range-partitioned, and rows that tie on every key share one partition.
+    ``spread_ties`` adds a hash of the row as last key, so a value that many rows share is spread too.
+    """
+    order = [sort_column(k) for k in ([keys] if isinstance(keys, (str, Column)) else keys)]
+    if spread_ties and len(set(df.columns)) == len(df.columns):
+        order.append(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.orderBy(*order)

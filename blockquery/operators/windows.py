@@ -170,10 +170,11 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFr
     One counting pass over the key columns finds them. There are fewer hot keys than
     ``rows / hot_rows``; they are broadcast only if their count is within ``BROADCAST_ROWS``.
     """
-    counts = reliable(df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows))
-    counted, total = counts.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+    counted, total = counts.agg(F.count("*"), F.sum("_rows")).first()
     if not counted:
         return df, None
+    counts = reliable(counts)
     other = _renamed(counts.select(*keys), keys)
     other = F.broadcast(other) if counted <= BROADCAST_ROWS else other
     cold = df.join(other, _same(keys), "left_anti")

@@ -70,5 +70,5 @@ def query_block(
     if distinct:
         df = df.distinct()
     if order_by:
-        df = sort_by(df, order_by)
+        df = sort_by(df, order_by, spread_ties=limit is None)
     return df if limit is None else df.limit(limit)

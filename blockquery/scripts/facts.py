@@ -28,14 +28,18 @@ def call_name(call: Column | str) -> Column:
     return F.regexp_extract(call, rf"^\.\s*({NAME})", 1)
 
 
+def judged_call(step: Column) -> Column:
+    return F.struct(call_name(step).alias("op"), step.rlike(SPARK.readable_call).alias("readable"))
+
+
 def strings(call: Column | str) -> Column:
     """The quoted strings of a call, without their quotes."""
     return all_matches(call, QUOTED, 1)
 
 
-def names(call: Column | str) -> Column:
-    """Column names of a call; several may be packed in one string."""
-    return F.filter(F.transform(F.split(F.array_join(strings(call), ","), ","), lambda n: F.trim(n)), lambda n: n != "")
+def names(quoted: Column) -> Column:
+    """Column names in the quoted strings of a call; several may be packed in one string."""
+    return F.filter(F.transform(F.split(F.array_join(quoted, ","), ","), lambda n: F.trim(n)), lambda n: n != "")
 
 
 # Keyword of SQL for a spelled join type (lower case, blanks, "_", "outer", "join" removed).
@@ -55,11 +59,9 @@ JOIN_KEYWORDS = {
 
 def join_keyword(spelled: Column) -> Column:
     """SQL keyword of a spelled join type; inner when none is given."""
+    keywords = F.create_map(*[F.lit(text) for pair in JOIN_KEYWORDS.items() for text in pair])
     key = F.regexp_replace(F.lower(F.coalesce(spelled, F.lit("inner"))), r"[\s_]+|outer|join", "")
-    keyword = F.when(F.lit(False), F.lit(""))
-    for short, full in JOIN_KEYWORDS.items():
-        keyword = keyword.when(key == short, full)
-    return keyword
+    return F.try_element_at(keywords, key)
 
 
 def clean(scripts: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def lineage(calls_df: DataFrame) -> DataFrame:
 def columns(calls_df: DataFrame) -> DataFrame:
     """Columns that chains select and group by."""
     used = calls_df.filter(F.col("op").isin("select", "groupBy") & F.col("readable"))
-    return used.select("script_id", "chain_no", "op", F.explode(names("step")).alias("name"))
+    return used.select("script_id", "chain_no", "op", F.explode(names(strings("step"))).alias("name"))
 
 
 def predicates(calls_df: DataFrame) -> DataFrame:
@@ -139,22 +141,22 @@ def unsupported(scripts: DataFrame) -> DataFrame:
     Reasons: ``no chain``, ``unknown call``, ``unread arguments``, ``order of calls``.
     """
     found = assignments(scripts)
-    with_calls = found.withColumn("steps", all_matches("chain", SPARK.call))
-    ops = F.transform("steps", call_name)
+    judged = found.withColumn("steps", F.transform(all_matches("chain", SPARK.call), judged_call))
+    ops = F.transform("steps", lambda s: s["op"])
 
-    def finding(reason: str, op: Column) -> Column:
-        return F.struct(F.lit(reason).alias("reason"), op.alias("op"))
+    def finding(reason: str | Column, op: Column) -> Column:
+        return F.struct((F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), op.alias("op"))
 
     nothing = F.lit(None).cast("string")
-    unknown = F.filter(ops, lambda op: ~op.isin(*KNOWN_CALLS))
-    known = F.filter("steps", lambda s: call_name(s).isin(*KNOWN_CALLS))
-    unread = F.filter(known, lambda s: ~s.rlike(SPARK.readable_call))
-    cut_off = F.filter(known, lambda s: ~F.col("whole") & s.rlike(SPARK.readable_call) & (s == F.get("steps", F.size("steps") - 1)))
+    unread = F.filter("steps", lambda s: ~s["readable"])
+    cut_off = F.filter(F.slice("steps", -1, 1), lambda s: s["readable"] & ~F.col("whole"))
     findings = F.when(F.col("chain").isNull(), F.array(finding("no chain", nothing))).otherwise(
         F.concat(
-            F.transform(unknown, lambda op: finding("unknown call", op)),
-            F.transform(F.concat(unread, cut_off), lambda s: finding("unread arguments", call_name(s))),
+            F.transform(
+                F.concat(unread, cut_off),
+                lambda s: finding(F.when(s["op"].isin(*KNOWN_CALLS), "unread arguments").otherwise("unknown call"), s["op"]),
+            ),
             F.when(order_problem(ops), F.array(finding("order of calls", nothing))).otherwise(F.array()),
         )
     )
-    return with_calls.select("script_id", "chain_no", F.inline(findings))
+    return judged.select("script_id", "chain_no", F.inline(findings))

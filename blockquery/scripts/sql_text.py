@@ -19,15 +19,30 @@ def sql_text(chains_df: DataFrame, namespace: str | None = None, base: str | Non
     Tables are prefixed with ``namespace``. A chain's base table is the one it reads, else the qualifier of
     its first selected column, else ``base``, else the variable it starts from.
     """
-    read = chains_df.withColumn("steps", all_matches("chain", SPARK.call)).withColumn("ops", F.transform("steps", call_name))
-    expressible = F.col("whole") & F.forall("steps", lambda s: s.rlike(SPARK.readable_call)) & ~order_problem(F.col("ops"))
+    read = chains_df.withColumn("steps", F.transform(all_matches("chain", SPARK.call), _read_call))
+    read = read.withColumn("ops", F.transform("steps", lambda s: s["op"]))
+    expressible = F.col("whole") & F.forall("steps", lambda s: s["readable"]) & ~order_problem(F.col("ops"))
     kept = read.withColumn("steps", F.when(expressible, F.col("steps")))
     items = kept.withColumns(_parts(namespace, base)).withColumn("items", _output_items()).withColumn("items", _renamed_items())
     return items.select("script_id", "chain_no", _sql())
 
 
+def _read_call(step: Column) -> Column:
+    """A call with what the clauses need of it, read once."""
+    return F.struct(
+        step.alias("text"),
+        call_name(step).alias("op"),
+        strings(step).alias("quoted"),
+        step.rlike(SPARK.readable_call).alias("readable"),
+    )
+
+
 def _of(*ops: str) -> Column:
-    return F.filter("steps", lambda s: call_name(s).isin(*ops))
+    return F.filter("steps", lambda s: s["op"].isin(*ops))
+
+
+def _first(array: Column) -> Column:
+    return F.get(array, 0)
 
 
 def _last(array: Column) -> Column:
@@ -64,10 +79,10 @@ def _aggregate_item(text: Column) -> Column:
 
 
 def _derived_item(step: Column) -> Column:
-    expression = F.trim(F.regexp_extract(step, r'"[^"\n]*"\s*,([\s\S]*)\)$', 1))
+    expression = F.trim(F.regexp_extract(step["text"], r'"[^"\n]*"\s*,([\s\S]*)\)$', 1))
     for wrapper in (r'^expr\s*\(\s*"([^"\n]*)"\s*\)$', r'\bcol\s*\(\s*"([^"\n]*)"\s*\)', r"\blit\s*\(([^()]*)\)"):
         expression = F.regexp_replace(expression, wrapper, "$1")
-    return _item(expression, F.lit(None).cast("string"), F.get(strings(step), 0))
+    return _item(expression, F.lit(None).cast("string"), _first(step["quoted"]))
 
 
 def _sort_item(text: Column) -> Column:
@@ -84,25 +99,26 @@ def _table(name: Column, namespace: str | None) -> Column:
 def _parts(namespace: str | None, base: str | None) -> dict[str, Column]:
     """What each call of a chain contributes, as arrays of texts or items."""
     grouped_at = F.array_position("ops", "groupBy")
-    filters = F.transform(_of("filter", "where"), lambda s: F.trim(F.get(strings(s), 0)))
+    filters = F.transform(_of("filter", "where"), lambda s: F.trim(_first(s["quoted"])))
     ungrouped_ops = F.when(grouped_at > 0, F.slice("ops", 1, F.greatest(grouped_at, F.lit(1)))).otherwise(F.col("ops"))
     before = F.size(F.filter(ungrouped_ops, lambda op: op.isin("filter", "where")))
-    qualifier = F.nullif(F.regexp_extract(F.get(strings(F.get(_of("select"), 0)), 0), r"^([^.,]*)\.", 1), F.lit(""))
+    qualifier = F.nullif(F.regexp_extract(_first(_first(_of("select"))["quoted"]), r"^([^.,]*)\.", 1), F.lit(""))
+    table = F.coalesce(_first(_first(_of("table"))["quoted"]), qualifier, F.lit(base), F.col("root"))
     counted = _item(F.lit("count(*)"), F.lit(None).cast("string"), F.lit("count"))
-    aggregates = F.transform(all_matches(F.get(_of("agg"), 0), AGGREGATE), _aggregate_item)
+    aggregates = F.transform(all_matches(_first(_of("agg"))["text"], AGGREGATE), _aggregate_item)
     return {
-        "tbl": _table(F.coalesce(F.get(strings(F.get(_of("table"), 0)), 0), qualifier, F.lit(base), F.col("root")), namespace),
-        "selected": names(_last(_of("select"))),
+        "tbl": _table(table, namespace),
+        "selected": names(_last(_of("select"))["quoted"]),
         "select_last": F.array_contains(F.slice("ops", F.greatest(grouped_at, F.lit(1)), F.size("ops")), "select"),
-        "keys": names(F.get(_of("groupBy"), 0)),
+        "keys": names(_first(_of("groupBy"))["quoted"]),
         "aggregates": F.when(F.array_contains("ops", "count"), F.array(counted)).otherwise(aggregates),
         "derived": F.transform(_of("withColumn"), _derived_item),
-        "renames": F.transform(_of("withColumnRenamed"), strings),
+        "renames": F.transform(_of("withColumnRenamed"), lambda s: s["quoted"]),
         "where": F.array_distinct(F.slice(filters, 1, before)),
         "having": F.array_distinct(F.slice(filters, before + 1, F.size(filters))),
-        "joined": F.array_distinct(F.transform(_of("join"), lambda s: _join(strings(s), namespace))),
-        "sort": F.transform(all_matches(_last(_of("orderBy")), SORT_KEY), _sort_item),
-        "rows": F.array_min(F.transform(_of("limit"), lambda s: F.regexp_extract(s, r"(\d+)", 1).cast("bigint"))),
+        "joined": F.array_distinct(F.transform(_of("join"), lambda s: _join(s["quoted"], namespace))),
+        "sort": F.transform(all_matches(_last(_of("orderBy"))["text"], SORT_KEY), _sort_item),
+        "rows": F.array_min(F.transform(_of("limit"), lambda s: F.regexp_extract(s["text"], r"(\d+)", 1).cast("bigint"))),
     }
 
 

@@ -7,20 +7,36 @@ from pyspark.sql import functions as F
 
 
 def read_scripts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(script_id, content)`` of every file under the paths (folders or globs); the id is the path.
+    """``(script_id, content)`` of the files under the paths (folders or globs); the id is the path.
 
-    Reading whole texts yields no row for a file of length 0, so those come from the file listing.
+    A file of length 0 gives no row: see ``listed_files``.
     """
-    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("script_id"), F.col("value").alias("content"))
-    files = spark.read.format("binaryFile").load(paths)
-    empty = files.filter("length = 0").select(F.col("_metadata.file_path").alias("script_id"), F.lit("").alias("content"))
-    return texts.union(empty)
+    texts = spark.read.text(paths, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("script_id"), F.col("value").alias("content"))
 
 
-def rejects(scripts: DataFrame, expected: DataFrame) -> DataFrame:
-    """``(script_id, reason)`` of scripts that are blank, and of expected ids that were not found."""
+def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(script_id)`` of all files under the paths, from the file index that Spark keeps for a read.
+
+    Readers skip files of length 0; the index has them. Only file names pass through the driver, which
+    holds that index for any read of the same files.
+    """
+    files = spark.read.text(paths).inputFiles()
+    named = spark.createDataFrame([(f,) for f in files], "script_id string")
+    return named.select(F.regexp_replace("script_id", "^file:/+", "file:/").alias("script_id"))
+
+
+def rejects(scripts: DataFrame, expected: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """``(script_id, reason)`` of scripts that are empty, and of expected ids that were not found.
+
+    With ``listed`` (the files that exist), an existing file without text counts as empty, not missing.
+    """
     blank = scripts.filter(~F.col("content").rlike(r"\S")).select("script_id", F.lit("empty").alias("reason"))
     found = scripts.select("script_id")
+    if listed is not None:
+        textless = listed.select("script_id").join(found, "script_id", "left_anti")
+        blank = blank.union(textless.select("script_id", F.lit("empty").alias("reason")))
+        found = found.union(textless)
     missing = expected.select("script_id").join(found, "script_id", "left_anti")
     return blank.union(missing.select("script_id", F.lit("missing").alias("reason")))
 
