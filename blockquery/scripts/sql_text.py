@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from blockquery.scripts.patterns import NAME, SPARK
 
 PLAIN_NAME = rf"^(?:{NAME}\.)*(?:{NAME}|\*)$"
 AGGREGATE = r'(\w+)\s*\(\s*"([^"\n]*)"\s*\)(?:\s*\.\s*as\s*\(\s*"([^"\n]*)"\s*\))?'
+ITEM = "struct<text: string, natural: string, name: string>"
 SORT_KEY = r'(?:asc|desc)\s*\(\s*"[^"\n]*"\s*\)|"[^"\n]*"'
 
 
@@ -19,34 +24,31 @@ def sql_text(chains_df: DataFrame, namespace: str | None = None, base: str | Non
     Tables are prefixed with ``namespace``. A chain's base table is the one it reads, else the qualifier of
     its first selected column, else ``base``, else the variable it starts from.
     """
-    read = chains_df.withColumn("steps", F.transform(all_matches("chain", SPARK.call), _read_call))
-    read = read.withColumn("ops", F.transform("steps", lambda s: s["op"]))
-    expressible = F.col("whole") & F.forall("steps", lambda s: s["readable"]) & ~order_problem(F.col("ops"))
-    kept = read.withColumn("steps", F.when(expressible, F.col("steps")))
+    read = chains_df.withColumn("steps", all_matches("chain", SPARK.call)).withColumn("ops", F.transform("steps", call_name))
+    readable = F.forall("steps", lambda s: s.rlike(SPARK.readable_call))
+    expressible = F.col("whole") & ~order_problem(F.col("ops")) & readable
+    kept = read.withColumn("steps", F.when(expressible, F.col("steps"))).withColumn("quoted", F.transform("steps", strings))
     items = kept.withColumns(_parts(namespace, base)).withColumn("items", _output_items()).withColumn("items", _renamed_items())
     return items.select("script_id", "chain_no", _sql())
 
 
-def _read_call(step: Column) -> Column:
-    """A call with what the clauses need of it, read once."""
-    return F.struct(
-        step.alias("text"),
-        call_name(step).alias("op"),
-        strings(step).alias("quoted"),
-        step.rlike(SPARK.readable_call).alias("readable"),
-    )
+# Of a chain: ``steps`` are the texts of its calls, ``ops`` their names, ``quoted`` their quoted strings.
 
 
-def _of(*ops: str) -> Column:
-    return F.filter("steps", lambda s: s["op"].isin(*ops))
+def _first(of: str, op: str) -> Column:
+    """What the first call named ``op`` has in one of those arrays, or NULL."""
+    return F.get(of, F.array_position("ops", op).cast("int") - 1)
 
 
-def _first(array: Column) -> Column:
-    return F.get(array, 0)
+def _last(of: str, op: str) -> Column:
+    return F.get(of, F.size("ops") - F.array_position(F.reverse("ops"), op).cast("int"))
 
 
-def _last(array: Column) -> Column:
-    return F.get(array, F.size(array) - 1)
+def _each(of: str, ops: list[str], make: Callable[[Column], Column], element: str) -> Column:
+    """``make`` of what each call named in ``ops`` has in one of those arrays."""
+    found = F.filter(of, lambda _, i: F.get("ops", i).isin(*ops))
+    there = reduce(or_, [F.array_contains("ops", op) for op in ops])
+    return F.when(there, F.transform(found, make)).otherwise(F.array().cast(f"array<{element}>"))
 
 
 def quote_if_needed(name: Column) -> Column:
@@ -79,10 +81,10 @@ def _aggregate_item(text: Column) -> Column:
 
 
 def _derived_item(step: Column) -> Column:
-    expression = F.trim(F.regexp_extract(step["text"], r'"[^"\n]*"\s*,([\s\S]*)\)$', 1))
+    expression = F.trim(F.regexp_extract(step, r'"[^"\n]*"\s*,([\s\S]*)\)$', 1))
     for wrapper in (r'^expr\s*\(\s*"([^"\n]*)"\s*\)$', r'\bcol\s*\(\s*"([^"\n]*)"\s*\)', r"\blit\s*\(([^()]*)\)"):
         expression = F.regexp_replace(expression, wrapper, "$1")
-    return _item(expression, F.lit(None).cast("string"), _first(step["quoted"]))
+    return _item(expression, F.lit(None).cast("string"), F.get(strings(step), 0))
 
 
 def _sort_item(text: Column) -> Column:
@@ -99,26 +101,29 @@ def _table(name: Column, namespace: str | None) -> Column:
 def _parts(namespace: str | None, base: str | None) -> dict[str, Column]:
     """What each call of a chain contributes, as arrays of texts or items."""
     grouped_at = F.array_position("ops", "groupBy")
-    filters = F.transform(_of("filter", "where"), lambda s: F.trim(_first(s["quoted"])))
+    filters = _each("quoted", ["filter", "where"], lambda q: F.trim(F.get(q, 0)), "string")
     ungrouped_ops = F.when(grouped_at > 0, F.slice("ops", 1, F.greatest(grouped_at, F.lit(1)))).otherwise(F.col("ops"))
     before = F.size(F.filter(ungrouped_ops, lambda op: op.isin("filter", "where")))
-    qualifier = F.nullif(F.regexp_extract(_first(_first(_of("select"))["quoted"]), r"^([^.,]*)\.", 1), F.lit(""))
-    table = F.coalesce(_first(_first(_of("table"))["quoted"]), qualifier, F.lit(base), F.col("root"))
+    early, late = F.slice(filters, 1, before), F.slice(filters, before + 1, F.size(filters))
+    qualifier = F.nullif(F.regexp_extract(F.get(_first("quoted", "select"), 0), r"^([^.,]*)\.", 1), F.lit(""))
+    table = F.coalesce(F.get(_first("quoted", "table"), 0), qualifier, F.lit(base), F.col("root"))
     counted = _item(F.lit("count(*)"), F.lit(None).cast("string"), F.lit("count"))
-    aggregates = F.transform(all_matches(_first(_of("agg"))["text"], AGGREGATE), _aggregate_item)
+    aggregates = F.transform(all_matches(_first("steps", "agg"), AGGREGATE), _aggregate_item)
+    joins = _each("quoted", ["join"], lambda q: _join(q, namespace), "string")
+    limits = _each("steps", ["limit"], lambda s: F.regexp_extract(s, r"(\d+)", 1).cast("bigint"), "bigint")
     return {
-        "tbl": _table(table, namespace),
-        "selected": names(_last(_of("select"))["quoted"]),
+        "tbl": F.when(F.col("steps").isNotNull(), _table(table, namespace)),
+        "selected": names(_last("quoted", "select")),
         "select_last": F.array_contains(F.slice("ops", F.greatest(grouped_at, F.lit(1)), F.size("ops")), "select"),
-        "keys": names(_first(_of("groupBy"))["quoted"]),
+        "keys": names(_first("quoted", "groupBy")),
         "aggregates": F.when(F.array_contains("ops", "count"), F.array(counted)).otherwise(aggregates),
-        "derived": F.transform(_of("withColumn"), _derived_item),
-        "renames": F.transform(_of("withColumnRenamed"), lambda s: s["quoted"]),
-        "where": F.array_distinct(F.slice(filters, 1, before)),
-        "having": F.array_distinct(F.slice(filters, before + 1, F.size(filters))),
-        "joined": F.array_distinct(F.transform(_of("join"), lambda s: _join(s["quoted"], namespace))),
-        "sort": F.transform(all_matches(_last(_of("orderBy"))["text"], SORT_KEY), _sort_item),
-        "rows": F.array_min(F.transform(_of("limit"), lambda s: F.regexp_extract(s["text"], r"(\d+)", 1).cast("bigint"))),
+        "derived": _each("steps", ["withColumn"], _derived_item, ITEM),
+        "renames": _each("quoted", ["withColumnRenamed"], lambda q: q, "array<string>"),
+        "where": F.array_distinct(early),
+        "having": F.array_distinct(late),
+        "joined": F.array_distinct(joins),
+        "sort": F.transform(all_matches(_last("steps", "orderBy"), SORT_KEY), _sort_item),
+        "rows": F.array_min(limits),
     }
 
 
@@ -153,7 +158,7 @@ def _renamed_items() -> Column:
         cut = F.transform(items, lambda i: F.when(i["name"] == "*", _item(_without(i["text"], old), F.lit("*"), F.lit("*"))).otherwise(i))
         return F.when(in_star, F.concat(cut, F.array(_item(quote_if_needed(old), old, new)))).otherwise(listed)
 
-    return F.aggregate("renames", F.col("items"), rename)
+    return F.when(F.size("renames") > 0, F.aggregate("renames", F.col("items"), rename)).otherwise(F.col("items"))
 
 
 def _without(star: Column, name: Column) -> Column:
