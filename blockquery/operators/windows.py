@@ -27,7 +27,7 @@ from blockquery.functions.names import sort_column
 from blockquery.sources.checkpoints import reliable
 
 HOT_ROWS = 2_000_000
-"""Rows of one key that a single task may sort."""
+"""Rows of one key that a single task may sort, unless a call says otherwise."""
 
 BROADCAST_ROWS = 100_000
 """Largest counted table of keys or chunks that is broadcast; larger ones are shuffled."""
@@ -41,7 +41,7 @@ _COMBINE: dict[str, Callable[[Column, Column], Column]] = {
 _TOTAL = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, hot_rows: int | None = None) -> DataFrame:
     """The first ``n`` rows of each key. Up to 1000, Spark cuts to ``n`` per key before the shuffle."""
     if n <= 1000:
         window = W.partitionBy(*keys).orderBy(*map(sort_column, order))
@@ -71,7 +71,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     columns: Mapping[str, tuple[str, str | Column]],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Aggregates from the first row of the key to the current one.
 
@@ -81,7 +81,7 @@ def running(
     return _both(cold, hot, lambda part: _running(part, keys, order, columns), lambda h: _running_chunked(h, keys, order, columns))
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot_rows: int | None = None) -> DataFrame:
     """Position of each row within its key, from 1."""
     return running(df, keys, order, {name: ("count", F.lit(1))}, hot_rows)
 
@@ -92,7 +92,7 @@ def ranks(
     by: str,
     rank: str,
     dense_rank: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``rank`` and ``dense_rank`` of each row by one ascending column.
 
@@ -105,7 +105,7 @@ def ranks(
     return _attach(df, placed, [*keys, by], broadcast=False)
 
 
-def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int, name: str, hot_rows: int | None = None) -> DataFrame:
     """Number of the tile of each row when a key is cut into ``tiles`` parts as equal as possible."""
 
     def cold_way(part: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def neighbours(
     columns: Mapping[str, Callable[[WindowSpec], Column]],
     before: int = 0,
     after: int = 0,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Windows that read at most ``before`` rows back and ``after`` rows ahead: lag, lead, moving frames.
 
@@ -141,9 +141,9 @@ def neighbours(
 
     def hot_way(hot: Hot) -> DataFrame:
         placed = _running_chunked(hot, keys, order, {"_n": ("count", F.lit(1))})
-        block = F.expr(f"(_n - 1) div {hot_rows}")
-        reach = F.sequence(F.expr(f"greatest(_n - 1 - {after}, 0) div {hot_rows}"), F.expr(f"(_n - 1 + {before}) div {hot_rows}"))
-        copies = placed.withColumn("_own", block).withColumn("_block", F.explode(reach))
+        size = hot.hot_rows
+        reach = F.sequence(F.expr(f"greatest(_n - 1 - {after}, 0) div {size}"), F.expr(f"(_n - 1 + {before}) div {size}"))
+        copies = placed.withColumn("_own", F.expr(f"(_n - 1) div {size}")).withColumn("_block", F.explode(reach))
         window = W.partitionBy(*keys, "_block").orderBy("_n")
         out = copies.withColumns({n: c(window) for n, c in columns.items()})
         return out.filter(F.col("_block") == F.col("_own")).drop("_n", "_own", "_block")
@@ -156,7 +156,7 @@ class Hot:
 
     def __init__(self, rows: DataFrame, counts: DataFrame, keys: Sequence[str], counted: int, total: int, hot_rows: int):
         self.rows, self.counts, self.keys = rows, counts, keys
-        self.counted = counted
+        self.counted, self.hot_rows = counted, hot_rows
         self.chunks = -(-total // hot_rows) * 2
 
     def chunked(self, order: Sequence[str]) -> DataFrame:
@@ -164,12 +164,13 @@ class Hot:
         return reliable(ranged.withColumn("_chunk", F.spark_partition_id()))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, Hot | None]:
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> tuple[DataFrame, Hot | None]:
     """Rows of ordinary keys, and those of keys with more than ``hot_rows`` rows (if there are any).
 
     One counting pass over the key columns finds them. There are fewer hot keys than
     ``rows / hot_rows``; they are broadcast only if their count is within ``BROADCAST_ROWS``.
     """
+    hot_rows = hot_rows or HOT_ROWS
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
     counted, total = counts.agg(F.count("*"), F.sum("_rows")).first()
     if not counted:

@@ -50,8 +50,14 @@ SPARSE_SCRIPT = "CASE WHEN c_nationkey = 7 THEN concat(' ', chr(10)) ELSE concat
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = parquet_tables(spark, sf_dir)("customer")
-    return customer.select(F.col("c_custkey").alias("script_id"), F.expr(SCRIPT).alias("content"))
+    """One script per customer.
+
+    A row of some 30 bytes becomes a text of more than 1 KB that costs as much work, so input splits, which
+    are sized in bytes, would make tasks far too long. The narrow rows are spread first.
+    """
+    customer = parquet_tables(spark, sf_dir)("customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    spread = customer.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return spread.select(F.col("c_custkey").alias("script_id"), F.expr(SCRIPT).alias("content"))
 
 
 def corpus_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from blockquery.operators import windows
 
+HOT_ROWS = {
+    "window_row_number": 10,
+    "window_lag_lead": 66,
+    "window_moving_avg": 66,
+    "window_running_sum": 66,
+    "window_rank_dense": 20,
+}
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 # Spark's type name -> the type that stands for it in the other engine.
@@ -36,8 +44,7 @@ def ordered(rows):
     return sorted((tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows), key=key)
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.oracle_sql()))
-def test_same_as_sql(spark, duck, name):
+def check(spark, duck, name):
     ours = spark_entry.queries()[name](spark, FOLDER)
     theirs = duck.execute(spark_entry.oracle_sql()[name])
     names = [d[0] for d in theirs.description]
@@ -50,6 +57,18 @@ def test_same_as_sql(spark, duck, name):
     assert actual == expected
 
 
+@pytest.mark.parametrize("name", sorted(spark_entry.oracle_sql()))
+def test_same_as_sql(spark, duck, name):
+    check(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in spark_entry.oracle_sql() if n.startswith("window_")))
+def test_windows_with_hot_keys_split(spark, duck, name, monkeypatch):
+    """About half of the users and customers, and every segment and brand, count as hot."""
+    monkeypatch.setattr(windows, "HOT_ROWS", HOT_ROWS.get(name, 300))
+    check(spark, duck, name)
+
+
 def test_every_query_has_sql():
     assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
 

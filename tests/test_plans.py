@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as spark_entry
 from blockquery.operators import windows as win
 from blockquery.operators.joins import join_on
+from blockquery.scripts import facts
+from blockquery.scripts.sql_text import sql_text
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -40,12 +42,18 @@ def test_no_python_in_tasks_and_no_cartesian_product(spark, name):
         assert node not in text
 
 
-@pytest.mark.parametrize(
-    "name",
-    "scripts_clean script_chains script_steps script_lineage script_columns script_predicates script_sql script_unsupported".split(),
-)
-def test_script_facts_do_not_shuffle(spark, name):
-    assert "Exchange" not in plan(spark_entry.queries()[name](spark, FOLDER))
+def test_script_facts_do_not_shuffle(spark):
+    scripts = spark.range(3).selectExpr("id AS script_id", "concat('val a = df.limit(', id, ')') AS content")
+    chains = facts.chains(scripts)
+    calls = facts.calls(chains)
+    jobs = [facts.clean(scripts), chains, calls, facts.lineage(calls), facts.columns(calls), facts.predicates(calls)]
+    for df in [*jobs, facts.unsupported(scripts), sql_text(chains)]:
+        assert "Exchange" not in plan(df)
+
+
+def test_generated_scripts_are_spread_before_they_grow(spark):
+    text = plan(spark_entry.queries()["script_sql"](spark, FOLDER))
+    assert text.count("Exchange") == 1 and "val a" not in "".join(text.split("Exchange")[1:])
 
 
 def test_filters_and_columns_reach_the_scan(spark):
@@ -90,15 +98,15 @@ def test_adaptive_execution_splits_hot_join_keys(spark, settings):
         adaptive__skewJoin__skewedPartitionFactor="2",
         adaptive__advisoryPartitionSizeInBytes="20k",
     )
-    facts = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), "id").alias("f")
+    lines = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), "id").alias("f")
     keys = spark.range(5000).select(F.col("id").alias("k"), F.lit("x").alias("name")).alias("d")
     for how in ("inner", "left", "full"):
-        joined = join_on(facts, keys, "f.k = d.k", how)
+        joined = join_on(lines, keys, "f.k = d.k", how)
         assert joined.filter("id is not null").count() == 60_000
         out = joined.select("id", "name")
         assert len(out.collect()) == 60_000
         assert "skew=true" in plan(out)
-    totals = win.partition_totals(facts, ["k"], {"n": F.count("*")})
+    totals = win.partition_totals(lines, ["k"], {"n": F.count("*")})
     assert totals.agg(F.max("n")).first()[0] >= 20_000
     totals.collect()
     assert "skew=true" in plan(totals)
