@@ -741,8 +741,8 @@ def sample_count_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_avg_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
         parquet_tables(spark, sf_dir),
-        "lineitem",
-        joins=[Join("orders", "lineitem.l_orderkey = orders.o_orderkey"), CUSTOMER_OF_ORDER],
+        "orders",
+        joins=[CUSTOMER_OF_ORDER, Join("lineitem", "lineitem.l_orderkey = orders.o_orderkey")],
         group_by="c_mktsegment,o_orderstatus,o_orderpriority",
         aggs={"avg_qty": "avg(l_quantity)"},
         order_by=[F.desc("avg_qty")],

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cached_property
 
 NAME = r"[A-Za-z_]\w*"
+HEAD = r"\bval\s+\w+(?:\s*:\s*[\w.\[\]]+)?\s*="
 QUOTED = r'"([^"\n]*)"'
 
 # The calls that the SQL form knows.
@@ -72,12 +73,12 @@ class Patterns:
     @cached_property
     def chain(self) -> str:
         """An assigned chain. A closing bracket opener marks arguments that could not be read whole."""
-        return rf"\bval\s+\w+\s*=\s*{NAME}(?:\s*{self.call}){self.some}(?:[ \t]*[({{\[])?"
+        return rf"{HEAD}\s*{NAME}(?:\s*{self.call}){self.some}(?:[ \t]*[({{\[])?"
 
     @cached_property
     def assignment(self) -> str:
         """An assigned chain, or the head of an assignment that holds none."""
-        return rf"{self.chain}|\bval\s+\w+\s*="
+        return rf"{self.chain}|{HEAD}"
 
     @cached_property
     def readable_call(self) -> str:

@@ -100,6 +100,12 @@ def test_chains_over_lines_and_dots_at_line_ends(spark):
     assert texts(spark, script) == ["SELECT x, y FROM `t`", "SELECT * FROM `a` WHERE x > 1"]
 
 
+def test_typed_assignments(spark):
+    script = 'val a: DataFrame = spark.read.table("t")\nlazy val b : Dataset[Row] = a.select("x")\nval n: Int = 3'
+    assert texts(spark, script) == ["SELECT * FROM `t`", "SELECT x FROM `a`"]
+    assert reasons(spark, script) == [(2, "no chain", None)]
+
+
 # code -> findings as (chain_no, reason, op)
 GAPS = {
     "val n = 42": [(0, "no chain", None)],
