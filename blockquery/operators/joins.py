@@ -34,7 +34,10 @@ class Join:
 
 def unique_joins(joins: Iterable[Join]) -> list[Join]:
     """Repeats of the same table, condition and type collapse to the first."""
-    return list({(j.table, j.condition, join_type(j.how)): j for j in reversed(list(joins))}.values())[::-1]
+    first: dict[tuple, Join] = {}
+    for j in joins:
+        first.setdefault((j.table, j.condition, join_type(j.how)), j)
+    return list(first.values())
 
 
 def join_on(left: DataFrame, right: DataFrame, condition: str, how: str = "inner", hot_right: bool = False) -> DataFrame:
@@ -57,8 +60,8 @@ def join_on(left: DataFrame, right: DataFrame, condition: str, how: str = "inner
 
 def _values_read(df: DataFrame, condition: str) -> DataFrame:
     """The distinct values of the columns a condition may read; all of ``df`` if names are ambiguous."""
-    names = [c for c in df.columns if re.search(rf"(?<!\w){re.escape(c)}(?!\w)", condition)]
-    if not names or len(set(names)) < len(names):
+    names = [c for c in df.columns if re.search(rf"(?<!\w){re.escape(c)}(?!\w)", condition, re.IGNORECASE)]
+    if not names or len({c.lower() for c in names}) < len(names):
         return df
     return df.select(*[F.col(f"`{c}`") for c in names]).distinct()
 

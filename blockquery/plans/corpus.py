@@ -23,7 +23,8 @@ from blockquery.sources.tables import parquet_tables
 
 # One script per customer, the same text in both engines: comments that hold code, comment signs inside
 # strings, chains over several lines, packed keys, two aggregates, names with blanks, a rename of an absent
-# column, repeated predicates, calls that SQL cannot say, a stray quote, and assignments without a chain.
+# column, repeated predicates, filters on a derived column, calls that SQL cannot say, a stray quote, and
+# assignments without a chain.
 SCRIPT = """concat(
 '// header val z = spark.read.table("no")', chr(10),
 'val a = spark.read.table("t', cast(c_nationkey AS varchar(20)), '").select("x", "y").filter("x >= ',
@@ -43,6 +44,7 @@ CASE WHEN c_custkey % 2 = 0 THEN ', "left_outer"' ELSE '' END, ').', chr(10),
 'val e = a.groupBy("x", "y").count()', chr(10),
 CASE WHEN c_custkey % 5 = 0 THEN concat('val f = spark.read.table("t").select("a"", "b")', chr(10)) ELSE '' END,
 CASE WHEN c_acctbal < 1000 THEN concat('val g = a.filter(col("x") > 1).limit(5).filter("y = 2")', chr(10)) ELSE '' END,
+'val h = a.withColumn("w', cast(c_nationkey AS varchar(20)), '", expr("x * 2")).filter("x > 1").where("w7 > 3")', chr(10),
 'val n = ', cast(c_nationkey AS varchar(20)), chr(10))"""
 
 # A corpus with blank scripts, and customers without a script.
@@ -123,8 +125,16 @@ calls AS (SELECT script_id, chain_no, step_no, {_extract("step", f"^\\.\\s*({NAM
 ORDERS_SQL = f"""{CALLS_SQL},
 ordered AS (SELECT script_id, chain_no, concat(' ', string_agg(op, ' ' ORDER BY step_no), ' ') AS ops, bool_and(readable) AS readable,
  min(CASE WHEN op = 'groupBy' THEN step_no END) AS grouped_at FROM calls GROUP BY script_id, chain_no),
-judged AS (SELECT *, {_like("ops", ORDER_CHANGES_MEANING)} OR
- {_like(f"regexp_replace(ops, {_text(GROUPED_CALLS)}, ' ', 'g')", LOOSE_GROUPING)} AS bad_order FROM ordered)"""
+made AS (SELECT script_id, chain_no, step_no, {_string_sql("step", 0)} AS name FROM calls WHERE op = 'withColumn'
+ UNION ALL SELECT script_id, chain_no, step_no, {_string_sql("step", 1)} FROM calls WHERE op = 'withColumnRenamed'),
+reads AS (SELECT script_id, chain_no, step_no, {_string_sql("step", 0)} AS condition FROM calls WHERE op IN ('filter', 'where')
+ UNION ALL SELECT script_id, chain_no, step_no, {_string_sql("step", 1)} FROM calls WHERE op = 'join'),
+clashes AS (SELECT DISTINCT r.script_id, r.chain_no, true AS clash FROM reads r JOIN made m
+ ON r.script_id = m.script_id AND r.chain_no = m.chain_no AND m.step_no < r.step_no
+ WHERE list_contains(regexp_split_to_array(r.condition, '\\W+'), m.name)),
+judged AS (SELECT ordered.*, {_like("ops", ORDER_CHANGES_MEANING)} OR
+ {_like(f"regexp_replace(ops, {_text(GROUPED_CALLS)}, ' ', 'g')", LOOSE_GROUPING)} OR (grouped_at IS NULL AND clash IS NOT NULL) AS bad_order
+ FROM ordered LEFT JOIN clashes USING (script_id, chain_no))"""
 LINEAGE_SQL = f"""SELECT script_id, chain_no, step_no, CASE WHEN op = 'join' THEN 'join' ELSE 'from' END AS role,
  {_string_sql("step", 0)} AS tbl, CASE WHEN op = 'join' THEN {JOIN_KEYWORD_SQL} END AS join_type,
  CASE WHEN op = 'join' THEN {_string_sql("step", 1)} END AS cond FROM calls WHERE op IN ('table', 'join') AND readable"""

@@ -29,7 +29,9 @@ def call_name(call: Column | str) -> Column:
 
 
 def judged_call(step: Column) -> Column:
-    return F.struct(call_name(step).alias("op"), step.rlike(SPARK.readable_call).alias("readable"))
+    return F.struct(
+        call_name(step).alias("op"), step.rlike(SPARK.readable_call).alias("readable"), strings(step).alias("quoted")
+    )
 
 
 def strings(call: Column | str) -> Column:
@@ -128,11 +130,29 @@ def predicates(calls_df: DataFrame) -> DataFrame:
     return used.select("script_id", "chain_no", F.get(strings("step"), 0).alias("predicate"))
 
 
-def order_problem(ops: Column) -> Column:
+def order_problem(ops: Column, quoted: Column) -> Column:
     """Whether the order of calls means something that one query block cannot say."""
     text = F.concat(F.lit(" "), F.array_join(ops, " "), F.lit(" "))
     ungrouped = F.regexp_replace(text, GROUPED_CALLS, " ").rlike(LOOSE_GROUPING)
-    return text.rlike(ORDER_CHANGES_MEANING) | ungrouped
+    return text.rlike(ORDER_CHANGES_MEANING) | ungrouped | _reads_new_names(ops, quoted)
+
+
+def _reads_new_names(ops: Column, quoted: Column) -> Column:
+    """Whether a filter or join reads a name that an earlier call made: WHERE and ON come before the select list."""
+
+    def new_name(strings_of: Column, i: Column) -> Column:
+        op = F.get(ops, i)
+        return F.when(op == "withColumn", F.get(strings_of, 0)).when(op == "withColumnRenamed", F.get(strings_of, 1))
+
+    def words(strings_of: Column, i: Column) -> Column:
+        op = F.get(ops, i)
+        read = F.when(op.isin("filter", "where"), F.get(strings_of, 0)).when(op == "join", F.get(strings_of, 1))
+        return F.split(read, r"\W+")
+
+    made = F.transform(quoted, new_name)
+    clashes = F.transform(F.transform(quoted, words), lambda w, i: F.arrays_overlap(w, F.slice(made, 1, i)))
+    renamed = F.array_contains(ops, "withColumn") | F.array_contains(ops, "withColumnRenamed")
+    return F.when(renamed & ~F.array_contains(ops, "groupBy"), F.array_contains(clashes, True)).otherwise(False).eqNullSafe(True)
 
 
 def unsupported(scripts: DataFrame) -> DataFrame:
@@ -156,7 +176,7 @@ def unsupported(scripts: DataFrame) -> DataFrame:
                 F.concat(unread, cut_off),
                 lambda s: finding(F.when(s["op"].isin(*KNOWN_CALLS), "unread arguments").otherwise("unknown call"), s["op"]),
             ),
-            F.when(order_problem(ops), F.array(finding("order of calls", nothing))).otherwise(F.array()),
+            F.when(order_problem(ops, F.transform("steps", lambda s: s["quoted"])), F.array(finding("order of calls", nothing))).otherwise(F.array()),
         )
     )
     return judged.select("script_id", "chain_no", F.inline(findings))

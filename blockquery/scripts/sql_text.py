@@ -24,10 +24,11 @@ def sql_text(chains_df: DataFrame, namespace: str | None = None, base: str | Non
     Tables are prefixed with ``namespace``. A chain's base table is the one it reads, else the qualifier of
     its first selected column, else ``base``, else the variable it starts from.
     """
-    read = chains_df.withColumn("steps", all_matches("chain", SPARK.call)).withColumn("ops", F.transform("steps", call_name))
+    split = chains_df.withColumn("steps", all_matches("chain", SPARK.call))
+    read = split.withColumns({"ops": F.transform("steps", call_name), "quoted": F.transform("steps", strings)})
     readable = F.forall("steps", lambda s: s.rlike(SPARK.readable_call))
-    expressible = F.col("whole") & ~order_problem(F.col("ops")) & readable
-    kept = read.withColumn("steps", F.when(expressible, F.col("steps"))).withColumn("quoted", F.transform("steps", strings))
+    expressible = F.col("whole") & ~order_problem(F.col("ops"), F.col("quoted")) & readable
+    kept = read.withColumns({n: F.when(expressible, F.col(n)) for n in ("steps", "ops", "quoted")})
     items = kept.withColumns(_parts(namespace, base)).withColumn("items", _output_items()).withColumn("items", _renamed_items())
     return items.select("script_id", "chain_no", _sql())
 
@@ -110,7 +111,7 @@ def _parts(namespace: str | None, base: str | None) -> dict[str, Column]:
     counted = _item(F.lit("count(*)"), F.lit(None).cast("string"), F.lit("count"))
     aggregates = F.transform(all_matches(_first("steps", "agg"), AGGREGATE), _aggregate_item)
     joins = _each("quoted", ["join"], lambda q: _join(q, namespace), "string")
-    limits = _each("steps", ["limit"], lambda s: F.regexp_extract(s, r"(\d+)", 1).cast("bigint"), "bigint")
+    limits = _each("steps", ["limit"], lambda s: F.regexp_extract(s, r"(\d+)", 1).try_cast("bigint"), "bigint")
     return {
         "tbl": F.when(F.col("steps").isNotNull(), _table(table, namespace)),
         "selected": names(_last("quoted", "select")),

@@ -47,4 +47,12 @@ def test_second_outer_join_reads_columns_of_the_first(spark):
 
 def test_unique_joins_keep_the_first_of_each_in_order():
     a, b = Join("t", "c", "left"), Join("u", "c")
+    assert unique_joins([a, b, Join("t", "c", "LEFT OUTER")]) == [a, b]
     assert unique_joins([a, b, Join("t", "c", "LEFT OUTER"), b, Join("t", "c")]) == [a, b, Join("t", "c")]
+
+
+def test_condition_may_spell_names_in_any_case(spark):
+    emp, dept = frames.emp(spark).alias("emp"), frames.dept(spark).alias("dept")
+    for how in ("left_semi", "left_anti", "full"):
+        ours = join_on(emp, dept, "EMP.Department_ID = dept.ID", how)
+        assert frames.rows_of(ours) == frames.rows_of(emp.join(dept, F.expr(CONDITION), how))

@@ -64,6 +64,8 @@ CASES = {
     'df.select("t.a", "b c", "d").withColumnRenamed("a", "x").withColumnRenamed("b c", "y z").withColumnRenamed("no", "n")': (
         "SELECT t.a AS x, `b c` AS `y z`, d FROM `t`"
     ),
+    'df.filter("y > 1").withColumn("y", expr("y + 1")).filter("x > 1")': "SELECT *, y + 1 AS y FROM `df` WHERE (y > 1) AND (x > 1)",
+    'df.limit(99999999999999999999)': "SELECT * FROM `df`",
     'df.select("a").withColumnRenamed("a", "b").withColumnRenamed("b", "c")': "SELECT a AS c FROM `df`",
     'df.withColumnRenamed("a", "b").withColumnRenamed("c d", "e")': "SELECT * EXCEPT (a, `c d`), a AS b, `c d` AS e FROM `df`",
     'df.groupBy("k").count().withColumnRenamed("count", "n")': "SELECT k, count(*) AS n FROM `df` GROUP BY k",
@@ -122,6 +124,8 @@ GAPS = {
     'val a = df.groupBy("k").count().join("t", "k = j")': [(0, "order of calls", None)],
     'val a = df.distinct().groupBy("k").count()': [(0, "order of calls", None)],
     'val a = df.withColumn("y", expr("year(d)")).groupBy("y").count()': [(0, "order of calls", None)],
+    'val a = df.withColumn("y", expr("x * 2")).filter("y > 1")': [(0, "order of calls", None)],
+    'val a = df.withColumnRenamed("x", "y").join("t", "df.y = t.k")': [(0, "order of calls", None)],
     "val a = df.read [": [(0, "unread arguments", "read")],
 }
 
