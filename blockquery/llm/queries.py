@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockquery.llm import simhash
+from blockquery.llm import quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,3 +27,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Components of fingerprints of 3-word shingles at 2 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), words=3, radius=2, parts=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of each text, the base rule, and the verdict of the votes."""
+    found = quality.weak_quality(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
