@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockquery.llm import quality, simhash
+import public_tokenizers
+from blockquery.llm import byte_bpe, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +35,11 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of each text, the base rule, and the verdict of the votes."""
     found = quality.weak_quality(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids of each text and of the bytes decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.encode_decode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
