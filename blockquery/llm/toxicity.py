@@ -35,7 +35,7 @@ FEATURES = 6000
 """Features of largest contrast, at most."""
 
 PREFIXES = (4, 5, 6)
-STEPS, RATE, SHRINK = 300, 0.05, 1e-4
+STEPS, RATE, SHRINK = 300, 0.05, 1e-3
 EDGES = b".,;:!?\"'()[]{}"
 
 
@@ -75,7 +75,7 @@ def train(positives: list[bytes], unlabelled: list[bytes], prior: float) -> Mode
     mean = (a + b) / (len(p) + len(u))
     contrast = (a / len(p) - b / len(u)) / np.sqrt(mean * (1 - mean) * (1 / len(p) + 1 / len(u)) + 1e-12)
     order = sorted(zip(-contrast, often, strict=True))[:FEATURES]
-    chosen = {f: j for j, (c, f) in enumerate(order) if c < -3}
+    chosen = {f: j for j, (c, f) in enumerate(order) if c < -4.5}
     if not chosen:
         return Model({}, float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
     rows, columns = [], []
