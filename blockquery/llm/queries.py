@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from blockquery.llm import byte_bpe, packing, private_data, quality, simhash, toxicity
+from blockquery.llm import byte_bpe, packing, private_data, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,6 +54,12 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """What the archives of all pages say when they are read back."""
+    return warc.round_trip(table(spark, folder, "pages"), min_bytes=0)
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
