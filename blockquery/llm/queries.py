@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from blockquery.llm import byte_bpe, packing, private_data, quality, simhash, toxicity, warc
+from blockquery.llm import byte_bpe, neighbours, packing, private_data, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +37,13 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+@query
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 50, among all others."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 @query
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of each text by a model that has not seen the held-out documents."""
