@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from blockquery.llm import byte_bpe, neighbours, packing, private_data, quality, simhash, toxicity, warc
+from blockquery.llm import byte_bpe, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,11 @@ def op9_private_data(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*private_data.BASE))
     counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in private_data.BASE]
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each text without the strings that a document of smaller id has too."""
+    found = repeats.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    return found.select("doc_id", n_bytes, F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
