@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from blockquery.llm import byte_bpe, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc
+from blockquery.llm import byte_bpe, language_model, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +61,12 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of each text by unigram counts and by the model."""
+    return language_model.score(table(spark, folder, "documents"))
+
+
 @query
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """What the archives of all pages say when they are read back."""
