@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockquery.llm.common import Steps
+from blockquery.llm.common import Steps, smallest_hashes
 
 SAMPLE = 20_000
 """Vectors of smallest hash that the trees are built on, at most."""
@@ -164,7 +164,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     steps = Steps(spark, "neighbours")
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    sample = smallest_hashes(rows, ["vec_id"], SAMPLE).select("v").toArrow().column("v").combine_chunks()
     points = _unit(_matrix(sample)) if len(sample) else np.empty((0, 1))
     forest = [build(points, seed) for seed in range(TREES)] if len(points) else []
 

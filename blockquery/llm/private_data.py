@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockquery.llm.common import smallest_hashes
+
 SAMPLE_DOCS = 4000
 """Documents, those of smallest hash, whose candidates train the trees."""
 
@@ -224,8 +226,7 @@ def spans_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]
 def fit(docs: DataFrame) -> Model:
     """The model from the ``SAMPLE_DOCS`` documents of smallest hash among those where a digit meets a letter or ``=``."""
     texts = docs.select("text").filter(F.col("text").rlike("[A-Za-z=][0-9]|[0-9][A-Za-z]"))
-    sample = texts.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
-    return train([r.text for r in sample.collect()])
+    return train([r.text for r in smallest_hashes(texts, ["text"], SAMPLE_DOCS).collect()])
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
