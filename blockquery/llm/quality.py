@@ -10,7 +10,7 @@ Per text, everything is one narrow pass of array functions over the whole text:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +60,10 @@ def n_repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(F.sort_array(windows), covered))
 
 
-def signals(docs: DataFrame) -> DataFrame:
-    """Counts of every row's whole text, as ``doc_id`` and long columns; a NULL text has no words."""
+def signals(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Counts of every row's whole text as long columns, beside ``doc``, a struct of the columns to ``carry``; a NULL text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), text.alias("text"))
     split = base.withColumn("words", F.filter(F.split("text", SPACE), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     split = split.withColumn("lines", lines)
@@ -72,7 +72,7 @@ def signals(docs: DataFrame) -> DataFrame:
         return F.length("text").cast("long") - F.length(F.regexp_replace("text", pattern, "")).cast("long")
 
     return split.select(
-        "doc_id",
+        "doc",
         F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -149,15 +149,16 @@ def vote_posteriors(patterns: DataFrame, n: int) -> DataFrame:
     return placed.select("p.votes", _posterior(F.col("p.votes"), F.col("accuracies")).alias("posterior"))
 
 
-def weak_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def weak_quality(docs: DataFrame, carry: Sequence[str] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """``signals`` of every row with ``base_failed``, ``votes``, ``posterior`` and ``kept``.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated windows. ``kept`` is false
     for those; for others the posterior decides. Empty and NULL texts fail. Each row is judged on its own,
-    repeated rows and NULL ids too; no row is dropped. Other columns are not read. An empty table gives none.
+    repeated rows and NULL ids too; no row is dropped. Columns in ``carry`` come back in the struct ``doc``, whatever
+    their names; others are not read. An empty table gives none.
     """
     votes = F.array(*rules().values())
-    counted = signals(docs).withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
+    counted = signals(docs, carry).withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     counted = Steps(docs.sparkSession, "quality").keep(counted.withColumn("votes", votes))
     patterns = counted.groupBy("votes").agg(F.count("*").alias("rows"))
     verdicts = vote_posteriors(patterns, len(rules()))

@@ -34,7 +34,7 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of each text, the base rule, and the verdict of the votes."""
     found = quality.weak_quality(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 @query

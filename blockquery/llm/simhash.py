@@ -24,15 +24,17 @@ from pyspark.sql import functions as F
 
 from blockquery.llm.common import Steps, components, forest, lists_of, texts_of
 
+U = np.uint64
+
 TILE = 2048
 """Fingerprints of a tile, on average at most."""
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """64 majority bits of the XXH64 of all word shingles; 0 for a text without words."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; fewer words than a shingle has are one, and no words none."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
@@ -40,7 +42,13 @@ def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
     width = min(words, len(found))
     hash64 = xxhash.xxh64_intdigest
     spans = zip(starts.tolist(), ends[width - 1 :].tolist(), strict=False)
-    hashes = np.fromiter((hash64(joined[a:b], seed) for a, b in spans), np.uint64, len(found) - width + 1)
+    return np.fromiter((hash64(joined[a:b], seed) for a, b in spans), np.uint64, len(found) - width + 1)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """64 majority bits of hashes, as a signed integer; 0 if there are none."""
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
@@ -51,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, words) for t in texts_of(batch.column(1))]
+            found = [fingerprint(shingle_hashes(t, words)) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -97,6 +105,7 @@ def links(prints: DataFrame, radius: int, parts: int, steps: Steps) -> DataFrame
 
 def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     rows = max(1, (1 << 19) // len(b))
+    a, b = a.view(U), b.view(U)  # bits of a signed number are counted without its sign
     found = []
     for start in range(0, len(a), rows):
         x, y = np.nonzero(np.bitwise_count(a[start : start + rows, None] ^ b) <= radius)
@@ -104,9 +113,9 @@ def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     differ = a[x] != b[y]
     x, y = x[differ], y[differ]
-    if len(x) <= len(a) + len(b):
-        return a[x], b[y]
-    both = np.concatenate([a, b])
+    both = np.concatenate([a, b]).view(np.int64)
+    if len(x) <= len(both):
+        return both[x], both[y + len(a)]
     root = forest(len(both), x, y + len(a))
     return both, both[root]
 
@@ -127,3 +136,158 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 6, parts: int
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     table = placed.join(ids, "root").select("fp", "component_id")
     return prints.join(steps.keep(table), "fp").select("doc_id", "fp", "component_id")
+
+
+LANES, NEAR = 4, 2
+"""Words of 64 bits of a wide fingerprint, and how many of them are compared first."""
+
+NEAR_BITS, SURE = 38, 0.2
+"""Differing bits at most in those first words, and how far an estimate may be below the similarity to be looked at."""
+
+SETS = 256
+"""Shingle sets of a tile, on average at most."""
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """``LANES`` fingerprints of distinct shingles, each from its own mix of their hashes."""
+    out = []
+    for lane in range(LANES):
+        x = (hashes + U(lane)) * U(0x9E3779B97F4A7C15) if lane else hashes
+        x = (x ^ (x >> U(31))) * U(0xBF58476D1CE4E5B9) if lane else x
+        out.append(fingerprint(x ^ (x >> U(29)) if lane else x))
+    return out
+
+
+def _alike(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two tiles whose fingerprints and sizes allow the similarity."""
+    rows = max(1, (1 << 19) // len(b))
+    a, b = a.view(U), b.view(U)
+    found = []
+    for start in range(0, len(a), rows):
+        part = slice(start, start + rows)
+        differ = sum(np.bitwise_count(a[part, None, lane] ^ b[:, lane]) for lane in range(NEAR))
+        x, y = np.nonzero(differ <= NEAR_BITS)
+        found.append((x + start, y))
+    x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    small, large = np.minimum(na[x], nb[y]), np.maximum(na[x], nb[y])
+    bits = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64)
+    cosine = np.cos(np.pi * bits / (64 * LANES))
+    common = cosine * np.sqrt(small * large)
+    estimate = common / np.maximum(small + large - common, 1)
+    fine = (small >= similarity * large) & ((estimate >= similarity - SURE) | (large == 0))
+    return x[fine], y[fine]
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)``: components of texts whose word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Fingerprints of several words find candidates; tiles are bands of set sizes here, since sets whose sizes
+    differ more than by the similarity cannot be that similar. Candidates form loose groups, and inside these
+    the shingle sets are compared exactly, again tile by tile, so every link is one of the sets themselves.
+    Texts with the same fingerprint count as copies. NULL and empty texts have no shingles and are alike.
+    A NULL ``doc_id`` never names a component unless no row of it has one; other columns are not read.
+    """
+    steps = Steps(docs.sparkSession, "similar")
+    lanes = [f"w{i}" for i in range(LANES)]
+
+    def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts_of(batch.column(1))]
+            found = list(zip(*map(wide_fingerprint, sets), strict=True)) or [()] * LANES
+            columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), *[pa.array(f, pa.int64()) for f in found]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", *lanes])
+
+    kinds = "doc_id long, n long, " + ", ".join(f"{w} long" for w in lanes)
+    printed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prints, kinds)
+    printed = steps.keep(printed.withColumn("fp", F.xxhash64("n", *lanes)))
+    distinct = printed.groupBy("fp", "n", *lanes).agg(F.min("doc_id").alias("least"))
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("int")
+    tiles = _tiles(steps.keep(distinct.withColumn("cell", band)), F.struct("fp", "n", *lanes), TILE)
+    tiles = steps.keep(tiles)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (fa, na, a), (fb, nb, b) = (_columns(batch.column(j)[i].values) for j in (0, 1))
+                x, y = _alike(a, na, b, nb, similarity)
+                root = forest(len(fa) + len(fb), x, y + len(fa))
+                both = np.append(fa, fb)
+                moved = both != both[root]
+                yield pa.RecordBatch.from_arrays([pa.array(both[moved]), pa.array(both[root][moved])], ["a", "b"])
+
+    loose = components(_tile_pairs(tiles, (0, 1)).mapInArrow(compare, "a long, b long"), steps)
+    roots = loose.select("root").distinct()
+    members = steps.keep(loose.union(roots.select(F.col("root").alias("node"), "root")).distinct())
+    chosen = distinct.join(members, F.col("fp") == F.col("node")).select(F.col("least").alias("doc_id"), "fp", F.col("root").alias("cell"))
+    # one text for each fingerprint: rows that share an id are told apart by their fingerprint
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+
+    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["fp", "cell", "s"])
+
+    hashed = steps.keep(sets.select("fp", "cell", "text").mapInArrow(shingles, "fp long, cell long, s array<long>"))
+    groups = steps.keep(_tiles(hashed, F.struct("fp", "s"), SETS))
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tiles_of = [batch.column(j)[i].values for j in (0, 1)]
+                both = np.concatenate([t.field("fp").to_numpy() for t in tiles_of])
+                root = _verified([s for t in tiles_of for s in lists_of(t.field("s"))], len(tiles_of[0]), similarity)
+                moved = both != both[root]
+                yield pa.RecordBatch.from_arrays([pa.array(both[moved]), pa.array(both[root][moved])], ["a", "b"])
+
+    links_found = _tile_pairs(groups, (0,)).mapInArrow(verify, "a long, b long")
+    classes = components(links_found, steps)
+    least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    placed = least.join(classes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    table = steps.keep(placed.join(ids, "root").select("fp", "component_id"))
+    return printed.select("doc_id", "fp").join(table, "fp").select("doc_id", "component_id")
+
+
+def _tiles(rows: DataFrame, item: F.Column, size: int) -> DataFrame:
+    """``(cell, tile, items)``: the rows of each cell in tiles of about ``size``."""
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("in_cell"))
+    salted = rows.join(sizes, "cell").withColumn("tile", F.expr(f"pmod(xxhash64(fp), div(in_cell - 1, {size}) + 1)"))
+    return salted.groupBy("cell", "tile").agg(F.collect_list(item).alias("items"))
+
+
+def _tile_pairs(tiles: DataFrame, steps_to: tuple[int, ...]) -> DataFrame:
+    """``(a, b)``: each tile with the tiles of its own cell, once, and of the cells so many steps above."""
+    here = tiles.select(F.col("cell").alias("at"), F.col("tile").alias("here"), F.col("items").alias("a"))
+    there = tiles.select(F.explode(F.array(*map(F.lit, steps_to))).alias("step"), "cell", F.col("tile").alias("there"), F.col("items").alias("b"))
+    there = there.select((F.col("cell") - F.col("step")).alias("at"), "step", "there", "b")
+    return here.join(there, "at").filter("step <> 0 OR here <= there").select("a", "b")
+
+
+def _columns(items: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lanes = np.stack([items.field(f"w{i}").to_numpy() for i in range(LANES)], axis=1)
+    return items.field("fp").to_numpy(), items.field("n").to_numpy(), np.ascontiguousarray(lanes)
+
+
+def _verified(sets: list[np.ndarray], first: int, similarity: float) -> np.ndarray:
+    """The smallest node reachable over pairs of sets, one before ``first`` and one from it on (all pairs if the tiles are one).
+
+    A pair that other links connect already is not compared.
+    """
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    size = np.array([len(s) for s in sets])
+    for i in range(first):
+        near = np.flatnonzero((np.minimum(size[i], size[first:]) >= similarity * np.maximum(size[i], size[first:]))) + first
+        for j in near.tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                common = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+                if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                    root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(sets))])
