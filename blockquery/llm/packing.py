@@ -17,6 +17,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,22 @@ def _tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
+STOPS = b".,!?;:%*$#&"
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word in lower case as its stem and the stops after it, where a letter or digit ends the stem.
+
+    The tokenizer lowers case, and never joins a letter or digit with what is none, so both parts have the
+    ids they have together.
+    """
+    low = word.lower()
+    stem = low.rstrip(STOPS)
+    if stem and len(stem) < len(low) and (stem[-1] < 128 and stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].isalpha()):
+        return stem, low[len(stem) :]
+    return low, b""
+
+
 class WordIds:
     """Token ids of texts by way of their distinct words; tokens never cross white space."""
 
@@ -54,6 +71,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.places: dict[bytes, int] = {}
+        self.stems: dict[bytes, list[int]] = {b"": []}
         self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -64,12 +82,15 @@ class WordIds:
         fresh = list(set().union(*words_of).difference(self.places))
         if fresh:
             self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh)), strict=True))
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            ids = [c.ids for c in coded]
+            parts = [_stem(w) if w[-1] in STOPS else (w.lower(), b"") for w in fresh]
+            new = list(set(chain.from_iterable(parts)).difference(self.stems))
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            self.stems.update(zip(new, [c.ids for c in coded], strict=True))
+            ids = [self.stems[stem] + self.stems[stops] for stem, stops in parts]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)
-            self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
         for words in words_of:
             at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
             lengths = self.lengths[at]
