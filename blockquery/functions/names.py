@@ -30,6 +30,7 @@ _SORT = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 _SORT_CALL = re.compile(r"""^(?P<direction>asc|desc)\(\s*["']?(?P<name>.*?)["']?\s*\)$""", re.IGNORECASE | re.DOTALL)
+_KEYS = re.compile(r"""(?:[^,()'"`]|'[^']*'|"[^"]*"|`[^`]*`|\((?:[^()]|\([^()]*\))*\))+""")
 _PLAIN = re.compile(r"^[\w\s.`]+$")
 
 
@@ -63,6 +64,36 @@ def split_names(names: str | Iterable[str | Column]) -> list[str | Column]:
     return flat
 
 
+def split_sorts(keys: str | Iterable[str | Column]) -> list[str | Column]:
+    """Flatten sort keys of which several may be packed in one text: ``"a DESC, b"`` -> ``["a DESC", "b"]``.
+
+    Commas in parentheses, quotes or back-ticks belong to a key.
+    """
+    flat: list[str | Column] = []
+    for key in [keys] if isinstance(keys, (str, Column)) else keys:
+        if isinstance(key, Column):
+            flat.append(key)
+        else:
+            flat.extend(part.strip() for part in _KEYS.findall(key) if part.strip())
+    return flat
+
+
+def sort_name(text: str) -> str:
+    """The column that a plain sort text names, without its direction."""
+    match = _SORT_CALL.match(text.strip()) or _SORT.match(text.strip())
+    return match["name"].strip().strip("`")
+
+
+def reversed_sort(text: str) -> Column:
+    """The opposite order of a sort text, NULLs included."""
+    match = _SORT_CALL.match(text.strip()) or _SORT.match(text.strip())
+    parts = match.groupdict()
+    up = (parts["direction"] or "asc").lower() == "asc"
+    nulls = (parts.get("nulls") or ("first" if up else "last")).lower()
+    key = column(parts["name"].strip()) if _PLAIN.match(parts["name"].strip()) else F.expr(parts["name"])
+    return getattr(key, f"{'desc' if up else 'asc'}_nulls_{'last' if nulls == 'first' else 'first'}")()
+
+
 def sort_column(text: str | Column) -> Column:
     """A sort key from ``"c"``, ``"c DESC"``, ``"c ASC NULLS LAST"`` or ``"desc(c)"``."""
     if isinstance(text, Column):

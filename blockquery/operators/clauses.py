@@ -9,7 +9,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockquery.functions.names import column, sort_column, split_names
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+
+from blockquery.functions.names import column, sort_column, split_names, split_sorts
 
 Expressions = Mapping[str, "str | Column"]
 
@@ -20,7 +22,7 @@ def named(expressions: Expressions) -> dict[str, Column]:
 
 
 def select_columns(df: DataFrame, *names: str | Column) -> DataFrame:
-    return df.select(*[column(n) for n in names])
+    return df.select(*[column(n) for n in split_names(names)])
 
 
 def where_all(df: DataFrame, predicates: str | Iterable[str]) -> DataFrame:
@@ -49,9 +51,19 @@ def sort_by(df: DataFrame, keys: str | Iterable[str | Column], spread_ties: bool
     """Sort by written keys.
 
     A sorted table is range-partitioned, and rows that tie on every key share one partition.
-    ``spread_ties`` adds a hash of the row as last key, so a value that many rows share is spread too.
+    ``spread_ties`` adds a hash of the row as last key, so a value that many rows share is spread too. Columns
+    that cannot be hashed, such as maps, are left out of it.
     """
-    order = [sort_column(k) for k in ([keys] if isinstance(keys, (str, Column)) else keys)]
-    if spread_ties and len(set(df.columns)) == len(df.columns):
-        order.append(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    order = [sort_column(k) for k in split_sorts(keys)]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    if spread_ties and hashed and len(set(df.columns)) == len(df.columns):
+        order.append(F.xxhash64(*hashed))
     return df.orderBy(*order)
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))

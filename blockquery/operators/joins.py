@@ -2,29 +2,42 @@
 
 Spark picks the algorithm: a side is broadcast only when its known size is below
 ``spark.sql.autoBroadcastJoinThreshold``, and adaptive execution splits hot keys of inner joins and of
-the preserved side of outer joins. Three shapes that it cannot split are written differently here:
+the preserved side of outer joins. What it cannot split is written differently here:
 
 * semi and anti joins: the right side is first reduced to the distinct values the condition reads, so a
   hot key there shrinks to one row before the shuffle;
-* right and full joins (and left joins with a hot right side): matched rows come from an inner or left
-  join, unmatched ones from an anti join against the distinct values of the other side.
+* left, right and full joins whose other side is too large to be broadcast: matched rows come from an inner
+  join, of which both sides are split, and unmatched ones from an anti join against distinct values.
+
+The second form reads its inputs twice. In a chain of such joins the result so far is written once to shared
+storage, so scans grow by a constant per join. A condition without an equality compares all rows with all
+rows; it is accepted only if a side that Spark can broadcast is known to be small.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockquery.functions.names import join_type
+from blockquery.sources.checkpoints import reliable
+
+_NAME = re.compile(
+    r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|((?:(?:`[^`]+`|[A-Za-z_]\w*)\s*\.\s*)*)(`[^`]+`|[A-Za-z_]\w*)(?!\s*\()"""
+)  # texts in quotes (no group), or a name (group 2) with its qualifiers (group 1)
+_EQUALITY = re.compile(r"^(?P<a>[^=<>!]+)(?:=|==|<=>)(?P<b>[^=<>!]+)$", re.DOTALL)
+_SPLIT = "_blockquery_split"
+
+Aliases = tuple[Sequence[str], Sequence[str]]
 
 
 @dataclass(frozen=True)
 class Join:
-    """One join of a block. ``hot_right`` marks a left join whose right side has a hot key."""
+    """One join of a block. ``hot_right`` asks for the form that splits a hot right side whatever its size."""
 
     table: str
     condition: str
@@ -40,27 +53,79 @@ def unique_joins(joins: Iterable[Join]) -> list[Join]:
     return list(first.values())
 
 
-def join_on(left: DataFrame, right: DataFrame, condition: str, how: str = "inner", hot_right: bool = False) -> DataFrame:
-    """Join two aliased DataFrames on condition text."""
+def join_on(
+    left: DataFrame,
+    right: DataFrame,
+    condition: str,
+    how: str = "inner",
+    hot_right: bool = False,
+    aliases: Aliases | None = None,
+) -> DataFrame:
+    """Join two aliased DataFrames on condition text. ``aliases`` are the names that qualify columns of either side."""
     how = join_type(how)
     on = F.expr(condition)
+    if not has_equality(condition):
+        _guard(left, right, condition, how)
+    of_left, of_right = aliases or (None, None)
     if how == "cross":  # a condition is always present, so this is an inner join to the optimizer
         return left.crossJoin(right).filter(on)
     if how in ("left_semi", "left_anti"):
-        return left.join(_values_read(right, condition), on, how)
-    if how == "left" and hot_right:
-        rest = left.join(_values_read(right, condition), on, "left_anti")
-        return left.join(right, on, "inner").union(rest.select("*", *_nulls(right)))
+        return left.join(_values_read(right, condition, of_right), on, how)
+    small = {"left": is_small(right) and not hot_right, "right": is_small(left)}
+    if how == "inner" or small.get(how, False) or not has_equality(condition):
+        return left.join(right, on, how)
+    if getattr(left, _SPLIT, False):
+        left = reliable(left)
+    parts = [left.join(right, on, "inner")]
+    if how in ("left", "full"):
+        rest = left.join(_values_read(right, condition, of_right), on, "left_anti")
+        parts.append(rest.select("*", *_nulls(right)))
     if how in ("right", "full"):
-        rest = right.join(_values_read(left, condition), on, "left_anti")
-        matched = left.join(right, on, "inner" if how == "right" else "left")
-        return matched.union(rest.select(*_nulls(left), "*"))
-    return left.join(right, on, how)
-
-
-def _values_read(df: DataFrame, condition: str) -> DataFrame:
-    """The distinct values of the columns a condition may read; all of ``df`` if names are ambiguous."""
-    names = [c for c in df.columns if re.search(rf"(?<!\w){re.escape(c)}(?!\w)", condition, re.IGNORECASE)]
+        rest = right.join(_values_read(left, condition, of_left), on, "left_anti")
+        parts.append(rest.select(*_nulls(left), "*"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    setattr(out, _SPLIT, True)
+    return out
+
+
+def has_equality(condition: str) -> bool:
+    """Whether one of the ANDed parts equates two expressions that both read columns."""
+    parts = re.split(r"\band\b", re.sub(r"'[^']*'|\"[^\"]*\"", "''", condition), flags=re.IGNORECASE)
+    for part in parts:
+        match = _EQUALITY.match(part.strip().strip("()"))
+        if match and all(any(m[2] for m in _NAME.finditer(match[side])) for side in "ab"):
+            return True
+    return False
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark knows the size of a plan to be within its broadcast threshold."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= conf.autoBroadcastJoinThreshold()
+
+
+def _guard(left: DataFrame, right: DataFrame, condition: str, how: str) -> None:
+    sides = {"left": [right], "left_semi": [right], "left_anti": [right], "right": [left], "full": []}.get(how, [left, right])
+    if not any(map(is_small, sides)):
+        raise ValueError(
+            f"the condition {condition!r} of a {how} join has no equality, and no side that could be broadcast is known "
+            "to be below spark.sql.autoBroadcastJoinThreshold: add an equality, for example on a bucket of the compared values"
+        )
+
+
+def _values_read(df: DataFrame, condition: str, aliases: Sequence[str] | None) -> DataFrame:
+    """The distinct values of this side's columns that a condition reads; all of ``df`` if names are ambiguous."""
+    own = None if aliases is None else {a.lower() for a in aliases}
+    read = set()
+    for match in _NAME.finditer(condition):
+        if match[2]:
+            qualifier = match[1].rstrip(". \t\n").rsplit(".", 1)[-1].strip("` ").lower()
+            if not qualifier or own is None or qualifier in own:
+                read.add(match[2].strip("`").lower())
+    names = [c for c in df.columns if c.lower() in read]
     if not names or len({c.lower() for c in names}) < len(names):
         return df
     return df.select(*[F.col(f"`{c}`") for c in names]).distinct()

@@ -10,7 +10,9 @@ the chunk plus what the earlier chunks add up to, which is a window over one row
 Windows that look at a bounded number of neighbours run on blocks of consecutive positions, with the
 neighbouring rows copied into the block.
 
-Order columns should identify a row within its key; among ties the order is free, as in any window.
+Order columns should identify a row within its key; among ties the order is free, as in any window. Both ways
+have the same types and the same values, but for running sums of doubles, whose last bits may differ with the
+order of additions.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from blockquery.functions.names import sort_column
+from blockquery.functions.names import reversed_sort, sort_column, sort_name
 from blockquery.sources.checkpoints import reliable
 
 HOT_ROWS = 2_000_000
 """Rows of one key that a single task may sort, unless a call says otherwise."""
 
-BROADCAST_ROWS = 100_000
-"""Largest counted table of keys or chunks that is broadcast; larger ones are shuffled."""
+SPREAD = 128
+"""Parts of one key that are cut to their first rows separately."""
 
 _COMBINE: dict[str, Callable[[Column, Column], Column]] = {
     "sum": lambda a, b: F.coalesce(a + b, a, b),
@@ -41,12 +43,18 @@ _COMBINE: dict[str, Callable[[Column, Column], Column]] = {
 _TOTAL = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, hot_rows: int | None = None) -> DataFrame:
-    """The first ``n`` rows of each key. Up to 1000, Spark cuts to ``n`` per key before the shuffle."""
-    if n <= 1000:
-        window = W.partitionBy(*keys).orderBy(*map(sort_column, order))
-        return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= n).drop("_n")
-    return row_numbers(df, keys, order, "_n", hot_rows).filter(F.col("_n") <= n).drop("_n")
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each key.
+
+    Rows of a key are spread by hash and each part is cut to ``n`` first, so a hot key is sorted by many tasks
+    and its last one gets at most ``SPREAD`` times ``n`` rows.
+    """
+    sorts = [sort_column(o) for o in order]
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c in {sort_name(o) for o in order if isinstance(o, str)}] or [F.rand()]), F.lit(SPREAD))
+    parts = df.withColumn("_part", spread)
+    for by in ([*keys, "_part"], keys):
+        parts = parts.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*sorts))).filter(F.col("_n") <= n).drop("_n")
+    return parts.drop("_part")
 
 
 def partition_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
@@ -56,14 +64,25 @@ def partition_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Co
     small enough for Spark, else a join that adaptive execution splits on hot keys.
     """
     grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return _attach(df, grouped, keys, broadcast=False)
+    return _attach(df, grouped, keys)
 
 
 def first_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: Mapping[str, str], last: Mapping[str, str]) -> DataFrame:
-    """Values of the first and last row of each key, as ``{output: column}``; order columns ascending."""
-    position = F.struct(*order)
-    ends = {n: F.min_by(c, position) for n, c in first.items()} | {n: F.max_by(c, position) for n, c in last.items()}
-    return partition_totals(df, keys, ends)
+    """Values of the first and last row of each key, as ``{output: column}``.
+
+    Ascending columns: two aggregates. With a direction in an order text: the first row by the order and the
+    first one by its opposite.
+    """
+    if all(sort_name(o) == o.strip("` ") for o in order):
+        position = F.struct(*order)
+        ends = {n: F.min_by(c, position) for n, c in first.items()} | {n: F.max_by(c, position) for n, c in last.items()}
+        return partition_totals(df, keys, ends)
+    for ends, sorts in ((first, list(map(sort_column, order))), (last, list(map(reversed_sort, order)))):
+        if ends:
+            source = df.select(*keys, *{c: None for o in order if (c := sort_name(o)) not in keys}, *[F.col(c).alias(n) for n, c in ends.items()])
+            at = source.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*sorts)))
+            df = _attach(df, at.filter(F.col("_n") == 1).select(*keys, *ends), keys)
+    return df
 
 
 def running(
@@ -89,20 +108,22 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
 def ranks(
     df: DataFrame,
     keys: Sequence[str],
-    by: str,
+    by: str | Sequence[str],
     rank: str,
     dense_rank: str,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """``rank`` and ``dense_rank`` of each row by one ascending column.
+    """``rank`` and ``dense_rank`` of each row by one or more order texts, in either direction.
 
-    Rows are counted per key and value first, so ties cost nothing; the running count of those rows
+    Rows are counted per key and values first, so ties cost nothing; the running count of those rows
     gives both ranks, which are then joined back.
     """
-    counts = df.groupBy(*keys, by).agg(F.count("*").alias("_rows"))
-    upto = running(counts, keys, [by], {"_upto": ("sum", "_rows"), dense_rank: ("count", F.lit(1))}, hot_rows)
-    placed = upto.select(*keys, by, (F.col("_upto") - F.col("_rows") + 1).alias(rank), dense_rank)
-    return _attach(df, placed, [*keys, by], broadcast=False)
+    order = [by] if isinstance(by, str) else list(by)
+    values = [sort_name(o) for o in order]
+    counts = df.groupBy(*keys, *values).agg(F.count("*").alias("_rows"))
+    upto = running(counts, keys, order, {"_upto": ("sum", "_rows"), dense_rank: ("count", F.lit(1))}, hot_rows)
+    placed = upto.select(*keys, *values, (F.col("_upto") - F.col("_rows") + 1).alias(rank), dense_rank)
+    return _attach(df, placed, [*keys, *values])
 
 
 def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int, name: str, hot_rows: int | None = None) -> DataFrame:
@@ -113,7 +134,7 @@ def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int,
 
     def hot_way(hot: Hot) -> DataFrame:
         placed = _running_chunked(hot, keys, order, {"_n": ("count", F.lit(1))})
-        sized = _attach(placed, hot.counts.withColumnRenamed("_rows", "_size"), keys, hot.counted <= BROADCAST_ROWS)
+        sized = _attach(placed, hot.counts.withColumnRenamed("_rows", "_size"), keys)
         small, large = F.expr(f"_size div {tiles}"), F.expr(f"_size % {tiles}")
         before, n = large * (small + 1), F.col("_n") - 1
         tile = F.when(n < before, F.floor(n / (small + 1)) + 1).otherwise(large + F.floor((n - before) / small) + 1)
@@ -167,8 +188,8 @@ class Hot:
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> tuple[DataFrame, Hot | None]:
     """Rows of ordinary keys, and those of keys with more than ``hot_rows`` rows (if there are any).
 
-    One counting pass over the key columns finds them. There are fewer hot keys than
-    ``rows / hot_rows``; they are broadcast only if their count is within ``BROADCAST_ROWS``.
+    One counting pass over the key columns finds them, as soon as this is called. There are fewer hot keys
+    than ``rows / hot_rows``, and Spark broadcasts them if they are small enough.
     """
     hot_rows = hot_rows or HOT_ROWS
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
@@ -177,14 +198,16 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> tuple
         return df, None
     counts = reliable(counts)
     other = _renamed(counts.select(*keys), keys)
-    other = F.broadcast(other) if counted <= BROADCAST_ROWS else other
     cold = df.join(other, _same(keys), "left_anti")
     return cold, Hot(df.join(other, _same(keys), "left_semi"), counts, keys, counted, total, hot_rows)
 
 
 def _both(cold: DataFrame, hot: Hot | None, cold_way: Callable, hot_way: Callable) -> DataFrame:
     out = cold_way(cold)
-    return out if hot is None else out.unionByName(hot_way(hot).select(*out.columns))
+    if hot is None:
+        return out
+    # the types are those of the ordinary way, whether there is a hot key or not
+    return out.unionByName(hot_way(hot).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in out.schema.fields]))
 
 
 def _window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -202,17 +225,16 @@ def _running_chunked(hot: Hot, keys: Sequence[str], order: Sequence[str], column
     sums = rows.groupBy(*parts).agg(*[getattr(F, fn)(value).alias(f"_{n}") for n, (fn, value) in columns.items()])
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = sums.select(*parts, *[_TOTAL[fn](f"_{n}").over(earlier).alias(f"_before_{n}") for n, (fn, _) in columns.items()])
-    # one row per key and chunk: every chunk border adds at most one to the number of keys
-    joined = _attach(within, carried, parts, hot.counted + hot.chunks <= BROADCAST_ROWS)
+    joined = _attach(within, carried, parts)
     out = {n: _COMBINE[fn](F.col(n), F.col(f"_before_{n}")) for n, (fn, _) in columns.items()}
     return joined.withColumns(out).drop("_chunk", *[f"_before_{n}" for n in columns])
 
 
-def _attach(df: DataFrame, other: DataFrame, keys: Sequence[str], broadcast: bool) -> DataFrame:
+def _attach(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with the columns that ``other`` holds once per key; NULL keys match each other."""
     added = [c for c in other.columns if c not in keys]
     side = _renamed(other, keys)
-    joined = df.join(F.broadcast(side) if broadcast else side, _same(keys), "inner")
+    joined = df.join(side, _same(keys), "inner")
     return joined.select(*[F.col(c) for c in df.columns], *added)
 
 

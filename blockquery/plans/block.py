@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 
-from blockquery.functions.names import base_of, column, last_part
+from blockquery.functions.names import base_of, column, last_part, split_names
 from blockquery.operators.clauses import (
     Expressions,
     derive_columns,
@@ -30,7 +30,7 @@ def query_block(
     having: str | Iterable[str] = (),
     windows: Expressions | None = None,
     with_columns: Expressions | None = None,
-    select: Iterable[str | Column] | None = None,
+    select: str | Iterable[str | Column] | None = None,
     renames: Mapping[str, str] | None = None,
     distinct: bool = False,
     order_by: str | Iterable[str | Column] = (),
@@ -40,7 +40,8 @@ def query_block(
 
     ``tables`` finds a table by name (a lookup function or a mapping). Every table is aliased with its
     name, so ``orders.id`` resolves. Without ``base``, the qualifier of the first qualified column of
-    ``select`` names it. Applied in this order: joins (repeats dropped), where (ANDed), grouping, having,
+    ``select`` names it. Names of ``select`` and ``group_by`` and keys of ``order_by`` may be packed in one
+    string. Applied in this order: joins (repeats dropped), where (ANDed), grouping, having,
     windows, derived columns, select, renames, distinct, order, limit. A grouped block returns keys and
     aggregates; window and derived columns are appended to the output in both cases.
     """
@@ -51,9 +52,12 @@ def query_block(
         found = tables[name] if isinstance(tables, Mapping) else tables(name)
         return found.alias(last_part(name))
 
-    df = table(base or base_of(select))
+    chosen = None if select is None else split_names(select)
+    first = base or base_of(chosen)
+    df, aliases = table(first), [last_part(first)]
     for j in unique_joins(joins):
-        df = join_on(df, table(j.table), j.condition, j.how, j.hot_right)
+        df = join_on(df, table(j.table), j.condition, j.how, j.hot_right, (aliases, [last_part(j.table)]))
+        aliases = [*aliases, last_part(j.table)]
     df = where_all(df, where)
     if group_by:
         df = where_all(group_aggregate(df, group_by, aggs or {}), having)
@@ -61,8 +65,7 @@ def query_block(
     for expressions in (windows, with_columns):
         if expressions:
             df = derive_columns(df, expressions)
-    if select is not None and not group_by:
-        chosen = list(select)
+    if chosen is not None and not group_by:
         kept = {last_part(s) for s in chosen if isinstance(s, str)}
         df = df.select(*[column(s) for s in chosen], *[column(f"`{n}`") for n in added if n not in kept])
     if renames:

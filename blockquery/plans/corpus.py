@@ -37,8 +37,8 @@ CASE WHEN c_custkey % 2 = 0 THEN ', "left_outer"' ELSE '' END, ').', chr(10),
 '  join("regions", "customers.region = regions.id", "inner")', chr(10),
 '  .groupBy("date, kind").agg(sum("amount").as("total"), count("*").as("n"), max("net price"))', chr(10),
 '  .filter("n > 1 OR total > 5").orderBy(desc("total"), "n ASC").limit(', cast(c_nationkey + 1 AS varchar(20)), ')', chr(10),
-'val c = df.select("', lower(c_mktsegment), '.id", "coll outp vert").distinct()', chr(10),
-'  .withColumnRenamed("coll outp vert", "label").withColumnRenamed("absent", "other").orderBy("id DESC")', chr(10),
+'val c = df.select("', lower(c_mktsegment), '.id", "ship via port").distinct()', chr(10),
+'  .withColumnRenamed("ship via port", "label").withColumnRenamed("absent", "other").orderBy("id DESC")', chr(10),
 'val d = c.where("k = 1 OR k = 2").filter("v < ', cast(c_acctbal AS varchar(20)), '").filter("k = 1 OR k = 2")', chr(10),
 '  .withColumn("twice", expr("(v + (k * 2)) * 2")).select("k", "v")', chr(10),
 'val e = a.groupBy("x", "y").count()', chr(10),

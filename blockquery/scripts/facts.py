@@ -162,7 +162,8 @@ def unsupported(scripts: DataFrame) -> DataFrame:
     """
     found = assignments(scripts)
     judged = found.withColumn("steps", F.transform(all_matches("chain", SPARK.call), judged_call))
-    ops = F.transform("steps", lambda s: s["op"])
+    judged = judged.withColumns({"ops": F.transform("steps", lambda s: s["op"]), "quoted": F.transform("steps", lambda s: s["quoted"])})
+    judged = judged.withColumn("disordered", order_problem(F.col("ops"), F.col("quoted")))
 
     def finding(reason: str | Column, op: Column) -> Column:
         return F.struct((F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), op.alias("op"))
@@ -176,7 +177,7 @@ def unsupported(scripts: DataFrame) -> DataFrame:
                 F.concat(unread, cut_off),
                 lambda s: finding(F.when(s["op"].isin(*KNOWN_CALLS), "unread arguments").otherwise("unknown call"), s["op"]),
             ),
-            F.when(order_problem(ops, F.transform("steps", lambda s: s["quoted"])), F.array(finding("order of calls", nothing))).otherwise(F.array()),
+            F.when(F.col("disordered"), F.array(finding("order of calls", nothing))).otherwise(F.array()),
         )
     )
     return judged.select("script_id", "chain_no", F.inline(findings))

@@ -28,7 +28,8 @@ def sql_text(chains_df: DataFrame, namespace: str | None = None, base: str | Non
     read = split.withColumns({"ops": F.transform("steps", call_name), "quoted": F.transform("steps", strings)})
     readable = F.forall("steps", lambda s: s.rlike(SPARK.readable_call))
     expressible = F.col("whole") & ~order_problem(F.col("ops"), F.col("quoted")) & readable
-    kept = read.withColumns({n: F.when(expressible, F.col(n)) for n in ("steps", "ops", "quoted")})
+    judged = read.withColumn("expressible", expressible)  # a column of its own, or it is computed for each of the next ones
+    kept = judged.withColumns({n: F.when(F.col("expressible"), F.col(n)) for n in ("steps", "ops", "quoted")})
     items = kept.withColumns(_parts(namespace, base)).withColumn("items", _output_items()).withColumn("items", _renamed_items())
     return items.select("script_id", "chain_no", _sql())
 

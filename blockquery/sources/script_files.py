@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockquery.sources.checkpoints import reliable
+
 
 def read_scripts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(script_id, content)`` of the files under the paths (folders or globs); the id is the path.
@@ -16,10 +18,10 @@ def read_scripts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(script_id)`` of all files under the paths, from the file index that Spark keeps for a read.
+    """``(script_id)`` of all files under the paths, also of those of length 0, which text readers skip.
 
-    Readers skip files of length 0; the index has them. Only file names pass through the driver, which
-    holds that index for any read of the same files.
+    Spark keeps such a list for any read of the files, on the driver: some hundred bytes a file. Only names
+    pass through here, so this serves up to some millions of files; beyond that, take the expected names from a table.
     """
     files = spark.read.text(paths).inputFiles()
     named = spark.createDataFrame([(f,) for f in files], "script_id string")
@@ -44,17 +46,20 @@ def rejects(scripts: DataFrame, expected: DataFrame, listed: DataFrame | None =
 def write_sql(texts: DataFrame, folder: str, files: int) -> None:
     """Write SQL texts below a header per script, in order of script and chain, as text files.
 
+    The texts are computed once, into shared storage; headers, the sample of the range partitioner and the
+    files read them from there.
+
     Lines are range-partitioned, so files are of similar size whatever one script holds; a script that
     crosses from one file to the next goes on at the top of that file.
     """
     header = F.concat(
-        F.lit("-- Generated SQL Queries\n-- Source: "),
+        F.lit("-- blockquery: chains of "),
         F.col("script_id").cast("string"),
-        F.lit("\n-- Generated at: "),
+        F.lit(" as SQL, "),
         F.current_timestamp().cast("string"),
         F.lit("\n"),
     )
-    written = texts.filter("sql_text IS NOT NULL")
+    written = reliable(texts.filter("sql_text IS NOT NULL").select("script_id", "chain_no", "sql_text"))
     heads = written.groupBy("script_id").agg(F.lit(-1).alias("chain_no")).withColumn("value", header)
     bodies = written.select("script_id", "chain_no", F.concat("sql_text", F.lit(";\n")).alias("value"))
     lines = heads.select("script_id", "chain_no", "value").union(bodies)

@@ -17,8 +17,14 @@ def dept(spark):
 
 
 def spaced(spark):
-    return spark.createDataFrame([("up", 1), ("down", 2)], "`coll outp vert` string, `a.b` int")
+    return spark.createDataFrame([("up", 1), ("down", 2)], "`ship via port` string, `a.b` int")
 
 
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def of_known_size(spark, df):
+    """The same rows as values of the query itself, whose size Spark knows."""
+    values = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in df.collect())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(df.columns)})")

@@ -74,9 +74,9 @@ def test_renames(tables):
 
 
 def test_names_with_blanks_and_dots(tables):
-    out = query_block(tables, "spaced", select=["spaced.coll outp vert", "`a.b`"], order_by="coll outp vert DESC")
+    out = query_block(tables, "spaced", select=["spaced.ship via port", "`a.b`"], order_by="ship via port DESC")
     assert [tuple(r) for r in out.collect()] == [("up", 1), ("down", 2)]
-    grouped = query_block(tables, "spaced", group_by="coll outp vert", aggs={"n": "sum(`a.b`)"})
+    grouped = query_block(tables, "spaced", group_by="ship via port", aggs={"n": "sum(`a.b`)"})
     assert frames.rows_of(grouped) == [("down", 2), ("up", 1)]
 
 

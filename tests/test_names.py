@@ -55,7 +55,7 @@ def test_base_of():
 
 def test_columns_with_blanks_and_dots(spark):
     df = frames.spaced(spark).alias("t")
-    assert frames.rows_of(df.select(column("t.coll outp vert"), column("`a.b`"))) == [("down", 2), ("up", 1)]
+    assert frames.rows_of(df.select(column("t.ship via port"), column("`a.b`"))) == [("down", 2), ("up", 1)]
 
 
 @pytest.mark.parametrize(

@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 
 from blockquery.scripts.facts import chains
@@ -34,14 +35,12 @@ def test_write_sql(spark, tmp_path):
     out = tmp_path / "sql"
     write_sql(texts, str(out), files=1)
     (part,) = out.glob("part-*")
-    lines = [line for line in part.read_text().splitlines() if line and not line.startswith("-- Generated at: ")]
+    lines = [re.sub(r"(as SQL), .*", r"\1", line) for line in part.read_text().splitlines() if line]
     folder = f"file:{tmp_path}/scripts"
     assert lines == [
-        "-- Generated SQL Queries",
-        f"-- Source: {folder}/a.scala",
+        f"-- blockquery: chains of {folder}/a.scala as SQL",
         "SELECT * FROM `t` WHERE x > 1;",
         "SELECT k, count(*) AS count FROM `a` GROUP BY k;",
-        "-- Generated SQL Queries",
-        f"-- Source: {folder}/b.scala",
+        f"-- blockquery: chains of {folder}/b.scala as SQL",
         "SELECT * FROM `w`;",
     ]

@@ -69,10 +69,10 @@ CASES = {
     'df.select("a").withColumnRenamed("a", "b").withColumnRenamed("b", "c")': "SELECT a AS c FROM `df`",
     'df.withColumnRenamed("a", "b").withColumnRenamed("c d", "e")': "SELECT * EXCEPT (a, `c d`), a AS b, `c d` AS e FROM `df`",
     'df.groupBy("k").count().withColumnRenamed("count", "n")': "SELECT k, count(*) AS n FROM `df` GROUP BY k",
-    'spark.read.table("model_scores").select("coll outp vert", "cm11")\n  .join("transactions", "model_scores.cm13 = transactions.cm13")\n'
-    '  .groupBy("cm11,coll outp vert").agg(count("cm11").as("total")).orderBy(desc("total"))': (
-        "SELECT cm11, `coll outp vert`, count(cm11) AS total FROM `model_scores`"
-        " INNER JOIN `transactions` ON model_scores.cm13 = transactions.cm13 GROUP BY cm11, `coll outp vert` ORDER BY total DESC"
+    'spark.read.table("shipments").select("ship via port", "pier")\n  .join("transactions", "shipments.cargo = transactions.cargo")\n'
+    '  .groupBy("pier,ship via port").agg(count("pier").as("total")).orderBy(desc("total"))': (
+        "SELECT pier, `ship via port`, count(pier) AS total FROM `shipments`"
+        " INNER JOIN `transactions` ON shipments.cargo = transactions.cargo GROUP BY pier, `ship via port` ORDER BY total DESC"
     ),
 }
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from blockquery.functions.names import sort_column
 from blockquery.operators import windows as win
 
 ORDER = ["ts", "id"]
@@ -102,12 +103,28 @@ def test_partition_totals_and_ends(rows):
 @pytest.mark.parametrize("n", [3, 1100])
 def test_top_rows(rows, hot_rows, n):
     expected = rows.withColumn("n", F.row_number().over(plain())).filter(F.col("n") <= n).drop("n")
-    same(win.top_rows(rows, ["k"], ORDER, n, hot_rows), expected)
+    same(win.top_rows(rows, ["k"], ORDER, n), expected)
 
 
-def test_shuffled_instead_of_broadcast_when_there_are_many_hot_keys(rows, monkeypatch):
-    monkeypatch.setattr(win, "BROADCAST_ROWS", 0)
-    same(win.row_numbers(rows, ["k"], ORDER, "n", 12), rows.withColumn("n", F.row_number().over(plain()).cast("long")))
+@pytest.mark.parametrize("order", [["v DESC", "id"], ["v", "id DESC"]])
+def test_first_last_in_either_direction(rows, order):
+    w = W.partitionBy("k").orderBy(*map(sort_column, order)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    expected = rows.withColumns({"a": F.first("id").over(w), "b": F.last("id").over(w)})
+    same(win.first_last(rows, ["k"], order, {"a": "id"}, {"b": "id"}), expected)
+
+
+@pytest.mark.parametrize("hot_rows", [12, None])
+def test_ranks_by_several_columns_in_either_direction(rows, hot_rows):
+    tied = rows.withColumn("m", F.col("v") % 3)
+    w = W.partitionBy("k").orderBy(F.desc("m"), "v")
+    expected = tied.withColumns({"r": F.rank().over(w).cast("long"), "d": F.dense_rank().over(w).cast("long")})
+    same(win.ranks(tied, ["k"], ["m DESC", "v"], "r", "d", hot_rows), expected)
+
+
+def test_types_do_not_depend_on_hot_keys(rows):
+    exact = rows.withColumn("money", F.col("v").cast("decimal(18,2)"))
+    sums = {"s": ("sum", "money"), "c": ("count", F.lit(1))}
+    assert win.running(exact, ["k"], ORDER, sums, 12).dtypes == win.running(exact, ["k"], ORDER, sums, 10**9).dtypes
 
 
 def test_two_key_columns(rows):
