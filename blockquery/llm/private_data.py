@@ -1,8 +1,8 @@
 """Personal data: candidate spans from generators, boosted trees on their format and context, thresholds.
 
 Base kinds (email, ip, card, phone) are exact patterns with checks and always stay. Beside them,
-generators propose spans of further kinds, with high recall and overlaps: tokens that hold digits, and
-groups of digits with blanks between. Boosted regression trees score a candidate from its form and what
+generators propose spans of further kinds, with high recall and overlaps: tokens that hold digits or only
+capitals, and groups of digits with blanks between. Boosted regression trees score a candidate from its form and what
 stands around it; a candidate is taken if its score passes the threshold of its kind, overlaps no base
 span, and no better candidate overlaps it.
 
@@ -43,6 +43,7 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT_TOKEN = re.compile(r"[0-9]\S*")
+CAPITALS = re.compile(r"[A-Z]{16,}")
 DIGIT_GROUP = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
 EDGES = "\"'`.,;:!?()[]{}<>"
 KNOWN_SECRET = re.compile(r"AKIA[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|(?i:pass(?:word|wd)?|pwd|secret|token|api_?key)[=:]\S{6,}|[0-9a-f]{32,}|[0-9a-f-]{36}")
@@ -82,7 +83,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans that may be private: tokens with a digit and letters (secret), digits with or without separators (number)."""
+    """Spans that may be private: tokens with a digit and letters or of capitals (secret), digits with or without separators (number)."""
     found = []
     for m in DIGIT_TOKEN.finditer(text):
         start, end = m.span()
@@ -94,6 +95,9 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             end -= 1
         if end - start >= 8 and re.search("[A-Za-z]", text[start:end]):
             found.append(("secret", start, end))
+    for m in CAPITALS.finditer(text):
+        if not any(a <= m.start() < b for _, a, b in found):
+            found.append(("secret", *m.span()))
     for m in DIGIT_GROUP.finditer(text):
         found.append(("number", *m.span()))
     return found
@@ -205,7 +209,8 @@ def train(texts: list[str]) -> Model:
         right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
         good = np.flatnonzero(right >= PRECISION)
         if len(good) and t.sum():
-            thresholds[kind] = max(0.5, float(s[order][good[-1]]))
+            below = s[order][good[-1] + 1] if good[-1] + 1 < len(s) else 0.0
+            thresholds[kind] = max(0.5, float(s[order][good[-1]] + below) / 2)  # halfway to the first one left out
     return Model(bias, tuple(trees), thresholds)
 
 
