@@ -18,12 +18,6 @@ REGION_OF_NATION = Join("region", "nation.n_regionkey = region.r_regionkey")
 EXACT_SUM = "cast(sum(cast({} AS decimal(18,2))) AS double)"
 
 
-def _filtered(spark: SparkSession, sf_dir: str, **predicates: str):
-    """The tables, some of them filtered first, as a derived table in FROM would be."""
-    tables = parquet_tables(spark, sf_dir)
-    return lambda name: tables(name).filter(predicates[name]) if name in predicates else tables(name)
-
-
 # --- scans ---------------------------------------------------------------------------------------
 
 
@@ -55,6 +49,11 @@ def select_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(parquet_tables(spark, sf_dir), "customer", select=["c_custkey", "c_name", "c_mktsegment"])
 
 
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def select_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_block(parquet_tables(spark, sf_dir), "customer", select="c_custkey, c_name,c_mktsegment")
+
+
 @query("SELECT orders.o_orderkey, customer.c_name FROM orders JOIN customer ON orders.o_custkey = customer.c_custkey")
 def select_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
@@ -183,14 +182,14 @@ def filter_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT customer.c_custkey FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 0) nation"
-    " ON customer.c_nationkey = nation.n_nationkey WHERE nation.n_name IS NULL"
+    "SELECT customer.c_custkey FROM customer LEFT JOIN nation"
+    " ON customer.c_nationkey = nation.n_nationkey AND nation.n_regionkey = 0 WHERE nation.n_name IS NULL"
 )
 def filter_is_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
-        _filtered(spark, sf_dir, nation="n_regionkey = 0"),
+        parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("nation", NATION_OF_CUSTOMER.condition, "left")],
+        joins=[Join("nation", f"{NATION_OF_CUSTOMER.condition} AND nation.n_regionkey = 0", "left")],
         where="nation.n_name IS NULL",
         select=["customer.c_custkey"],
     )
@@ -231,79 +230,94 @@ def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT customer.c_custkey, nation.n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 0) nation"
-    " ON customer.c_nationkey = nation.n_nationkey"
+    "SELECT customer.c_custkey, nation.n_name FROM customer LEFT JOIN nation"
+    " ON customer.c_nationkey = nation.n_nationkey AND nation.n_regionkey = 0"
 )
 def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
-        _filtered(spark, sf_dir, nation="n_regionkey = 0"),
+        parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("nation", NATION_OF_CUSTOMER.condition, "left")],
+        joins=[Join("nation", f"{NATION_OF_CUSTOMER.condition} AND nation.n_regionkey = 0", "left")],
         select=["customer.c_custkey", "nation.n_name"],
     )
 
 
 @query(
     "SELECT customer.c_custkey, orders.o_orderkey FROM customer"
-    " LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) orders ON customer.c_custkey = orders.o_custkey"
+    " LEFT JOIN orders ON customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 400000"
 )
 def join_left_hot_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
-        _filtered(spark, sf_dir, orders="o_totalprice > 400000"),
+        parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("orders", "customer.c_custkey = orders.o_custkey", "left", hot_right=True)],
+        joins=[Join("orders", "customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 400000", "left", hot_right=True)],
         select=["customer.c_custkey", "orders.o_orderkey"],
     )
 
 
-@query(
-    "SELECT customer.c_custkey, nation.n_name FROM (SELECT * FROM customer WHERE c_acctbal > 9900) customer"
-    " RIGHT JOIN nation ON customer.c_nationkey = nation.n_nationkey"
-)
+@query("SELECT events.event_id, customer.c_custkey FROM events RIGHT JOIN customer ON events.user_id = customer.c_custkey")
 def join_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
-        _filtered(spark, sf_dir, customer="c_acctbal > 9900"),
+        parquet_tables(spark, sf_dir),
+        "events",
+        joins=[Join("customer", "events.user_id = customer.c_custkey", "right")],
+        select=["events.event_id", "customer.c_custkey"],
+    )
+
+
+BIG_ORDERS_OF_CUSTOMER = "customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 400000"
+
+
+@query(f"SELECT customer.c_custkey, orders.o_orderkey FROM customer FULL JOIN orders ON {BIG_ORDERS_OF_CUSTOMER}")
+def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_block(
+        parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("nation", NATION_OF_CUSTOMER.condition, "right")],
-        select=["customer.c_custkey", "nation.n_name"],
+        joins=[Join("orders", BIG_ORDERS_OF_CUSTOMER, "full")],
+        select=["customer.c_custkey", "orders.o_orderkey"],
     )
 
 
 @query(
-    "SELECT customer.c_custkey, nation.n_name FROM (SELECT * FROM customer WHERE c_acctbal > 9900) customer"
-    " FULL JOIN (SELECT * FROM nation WHERE n_regionkey < 2) nation ON customer.c_nationkey = nation.n_nationkey"
+    "SELECT customer.c_custkey, orders.o_orderkey, labels.doc_id, documents.source FROM customer"
+    f" FULL JOIN orders ON {BIG_ORDERS_OF_CUSTOMER} FULL JOIN labels ON customer.c_custkey = labels.doc_id"
+    " FULL JOIN documents ON labels.doc_id = documents.doc_id"
 )
-def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def join_full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
-        _filtered(spark, sf_dir, customer="c_acctbal > 9900", nation="n_regionkey < 2"),
+        parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("nation", NATION_OF_CUSTOMER.condition, "full")],
-        select=["customer.c_custkey", "nation.n_name"],
+        joins=[
+            Join("orders", BIG_ORDERS_OF_CUSTOMER, "full"),
+            Join("labels", "customer.c_custkey = labels.doc_id", "full"),
+            Join("documents", "labels.doc_id = documents.doc_id", "full"),
+        ],
+        select=["customer.c_custkey", "orders.o_orderkey", "labels.doc_id", "documents.source"],
     )
 
 
 @query(
-    "SELECT customer.c_custkey FROM customer SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) orders"
-    " ON customer.c_custkey = orders.o_custkey"
+    "SELECT customer.c_custkey FROM customer SEMI JOIN orders"
+    " ON customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 450000"
 )
 def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
-        _filtered(spark, sf_dir, orders="o_totalprice > 450000"),
+        parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("orders", "customer.c_custkey = orders.o_custkey", "semi")],
+        joins=[Join("orders", "customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 450000", "semi")],
         select=["customer.c_custkey"],
     )
 
 
 @query(
-    "SELECT customer.c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) orders"
-    " ON customer.c_custkey = orders.o_custkey"
+    "SELECT customer.c_custkey FROM customer ANTI JOIN orders"
+    " ON customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 450000"
 )
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
-        _filtered(spark, sf_dir, orders="o_totalprice > 450000"),
+        parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("orders", "customer.c_custkey = orders.o_custkey", "anti")],
+        joins=[Join("orders", "customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 450000", "anti")],
         select=["customer.c_custkey"],
     )
 
@@ -374,13 +388,13 @@ def join_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT customer.c_custkey, nation.n_name FROM customer"
-    " LEFT OUTER JOIN (SELECT * FROM nation WHERE n_regionkey = 1) nation ON customer.c_nationkey = nation.n_nationkey"
+    " LEFT OUTER JOIN nation ON customer.c_nationkey = nation.n_nationkey AND nation.n_regionkey = 1"
 )
 def join_type_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
-        _filtered(spark, sf_dir, nation="n_regionkey = 1"),
+        parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("nation", NATION_OF_CUSTOMER.condition, "Left Outer Join")],
+        joins=[Join("nation", f"{NATION_OF_CUSTOMER.condition} AND nation.n_regionkey = 1", "Left Outer Join")],
         select=["customer.c_custkey", "nation.n_name"],
     )
 
@@ -527,6 +541,16 @@ def window_rank_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win.ranks(part, ["p_brand"], "p_size", rank="rk", dense_rank="dr").select("p_partkey", "rk", "dr")
 
 
+@query(
+    "SELECT o_orderkey, cast(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderdate) AS bigint) AS rk,"
+    " cast(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderdate) AS bigint) AS dr FROM orders"
+)
+def window_rank_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = query_block(parquet_tables(spark, sf_dir), "orders", select="o_orderkey, o_custkey, o_orderstatus, o_orderdate")
+    ranked = win.ranks(orders, ["o_custkey"], ["o_orderstatus DESC", "o_orderdate"], rank="rk", dense_rank="dr")
+    return ranked.select("o_orderkey", "rk", "dr")
+
+
 @query(
     "SELECT c_custkey, cast(ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS bigint)"
     " AS quartile FROM customer"
@@ -631,6 +655,17 @@ def order_text_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_size DESC, p_brand, p_partkey DESC LIMIT 100")
+def order_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_block(
+        parquet_tables(spark, sf_dir),
+        "part",
+        select="p_partkey, p_brand, p_size",
+        order_by="p_size DESC, p_brand, desc(p_partkey)",
+        limit=100,
+    )
+
+
 @query("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC, p_partkey LIMIT 100")
 def order_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(

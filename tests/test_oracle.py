@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as spark_entry
 from blockquery.operators import windows
+from blockquery.plans.registry import QUERIES, SQL
 
 HOT_ROWS = {
     "window_row_number": 10,
@@ -15,6 +16,7 @@ HOT_ROWS = {
     "window_moving_avg": 66,
     "window_running_sum": 66,
     "window_rank_dense": 20,
+    "window_rank_multi": 10,
 }
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -69,8 +71,8 @@ def test_windows_with_hot_keys_split(spark, duck, name, monkeypatch):
     check(spark, duck, name)
 
 
-def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+def test_every_query_of_the_library_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
