@@ -23,8 +23,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from blockquery.llm.common import Steps, batches_of, texts_of
 
@@ -90,90 +92,124 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-BLOCK = "bucket int, h binary, doc binary, key binary, pos binary, span binary, flag binary"
-NAMES = ("h", "doc", "key", "pos", "span", "flag")
-KINDS = (np.uint32, np.int64, np.int64, np.uint32, np.uint16, np.uint8)
+BLOCK = "bucket int, data binary"
 ONE, SENT_ONCE, FOUND = 0, 1, 2
+# columns of a block: hash, document, key, position, windows before and in all, flag
+KINDS = (np.uint32, np.int64, np.int64, np.int64, np.uint16, np.uint8)
 
 
-def _blocks(buckets: int):  # noqa: ANN202
-    """Rows of ``(doc_id, key, text)`` to blocks of anchors by bucket."""
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns as compressed bytes; documents, keys and positions as differences, which are small or zero."""
+    packed = [np.diff(c, prepend=0) if k is np.int64 else c for c, k in zip(columns, KINDS, strict=True)]
+    raw = b"".join(np.ascontiguousarray(c.astype(k, copy=False).view(np.uint8).reshape(len(c), -1).T).tobytes() for c, k in zip(packed, KINDS, strict=True))
+    return len(columns[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(1).compress(raw)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    n, raw, at, out = int.from_bytes(data[:8], "little"), zstandard.ZstdDecompressor().decompress(data[8:]), 0, []
+    for kind in KINDS:
+        width = np.dtype(kind).itemsize
+        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+        at += n * width
+        out.append(np.cumsum(c) if kind is np.int64 else c)
+    return out
+
+
+def _blocks(labels: list[int]):  # noqa: ANN202
+    """Rows of ``(doc_id, key, text)`` to blocks of anchors by bucket; ``labels`` are the buckets' values."""
+    buckets = len(labels)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, BATCH, "text"):
             texts = texts_of(batch.column(2))
-            ends = np.cumsum([len(t) for t in texts])
+            lengths = np.array([len(t) for t in texts])
+            ends = np.cumsum(lengths)
             h, pos, left, count = anchors(np.frombuffer(b"".join(texts), np.uint8), ends)
             if not len(h):
                 continue
             of = np.searchsorted(ends, pos, side="right")
             doc, key = (c.to_numpy(zero_copy_only=False)[of] for c in batch.columns[:2])
-            pos = pos - (ends[of] - np.array([len(t) for t in texts])[of])
+            pos = pos - (ends - lengths)[of]
             order = np.argsort(h, kind="stable")
             group = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
             shared = np.minimum.reduceat(doc[order], group) != np.maximum.reduceat(doc[order], group)
             flag = np.zeros(len(h), np.uint8)
             flag[order] = np.where(np.repeat(shared, np.diff(np.append(group, len(h)))), FOUND, ONE)
             bucket = ((h >> U(32)) % U(buckets)).astype(np.int64)
-            bucket[flag == FOUND] = (pos[flag == FOUND] + of[flag == FOUND]) % buckets  # known: anywhere
+            bucket[flag == FOUND] = of[flag == FOUND] % buckets  # known: anywhere, all of a text together
             once = order[group[shared]]
             home = ((h[once] >> U(32)) % U(buckets)).astype(np.int64)
-            columns = [(h & U(0xFFFFFFFF)), doc, key, pos, left * 256 + count, flag]
-            columns = [np.append(c, c[once]).astype(k) for c, k in zip(columns, KINDS, strict=True)]
+            columns = [np.append(c, c[once]) for c in (h & U(0xFFFFFFFF), doc, key, pos, left * 256 + count, flag)]
             columns[5][len(h) :] = SENT_ONCE
             bucket = np.append(bucket, home)
             order = np.argsort(bucket, kind="stable")
             columns = [c[order] for c in columns]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            filled = np.flatnonzero(np.diff(cuts))
-            rows = [[c[cuts[b] : cuts[b + 1]].tobytes() for b in filled] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *[pa.array(r, pa.binary()) for r in rows]], ["bucket", *NAMES])
+            filled = np.flatnonzero(np.diff(cuts)).tolist()
+            data = [_pack([c[cuts[b] : cuts[b + 1]] for c in columns]) for b in filled]
+            yield pa.RecordBatch.from_arrays([pa.array([labels[b] for b in filled], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
     return run
 
 
+def _labels(spark: SparkSession, parts: int) -> list[int]:
+    """A value for each partition that a hash repartition into ``parts`` sends there."""
+    found: dict[int, int] = {}
+    n = 16 * parts
+    while len(found) < parts:
+        ids = spark.range(n).select(F.col("id").cast("int").alias("label"))
+        rows = ids.groupBy(F.pmod(F.hash("label"), F.lit(parts)).alias("place")).agg(F.min("label").alias("label")).collect()
+        found, n = {r.place: r.label for r in rows}, 2 * n
+    return [found[k] for k in range(parts)]
+
+
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a partition to the places of anchors that stand in two documents."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for batch in batches:
-        rows = [c.to_pylist() for c in batch.columns]
-        for j, kind in enumerate(KINDS):
-            parts[j] += [np.frombuffer(x, kind) for x in rows[j + 1]]
-        parts[6] += [np.full(len(x), b, np.uint64) for b, x in zip(rows[0], rows[6], strict=True)]
-    if not parts[0]:
+    """Blocks of a partition to the places, by document, of anchors that stand in two documents."""
+    blocks = [_unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
+    if not blocks:
         return
-    h, doc, key, pos, span, flag, bucket = (np.concatenate(p) for p in parts)
-    del parts
+    h, doc, key, pos, span, flag = (np.concatenate(c) for c in zip(*blocks, strict=True))
+    del blocks
     keep = flag == FOUND
     rest = np.flatnonzero(~keep)
-    full = bucket[rest] << U(32) | h[rest].astype(np.uint64)
-    order = rest[np.argsort(full, kind="stable")]
-    full = np.sort(full)
+    order = rest[np.argsort(h[rest], kind="stable")]
     if len(order):
-        group = np.flatnonzero(np.append(True, full[1:] != full[:-1]))
+        sorted_h = h[order]
+        group = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
         two = np.minimum.reduceat(doc[order], group) != np.maximum.reduceat(doc[order], group)
         two |= np.maximum.reduceat(flag[order], group) == SENT_ONCE
         keep[order] = np.repeat(two, np.diff(np.append(group, len(order))))
     keep &= flag != SENT_ONCE
-    out = [pa.array(key[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(span[keep].astype(np.int32))]
-    table = pa.RecordBatch.from_arrays(out, ["key", "pos", "span"])
-    for start in range(0, table.num_rows, 1 << 16):
-        yield table.slice(start, 1 << 16)
+    key, pos, span = key[keep], pos[keep].astype(np.uint32), span[keep]
+    order = np.argsort(key, kind="stable")
+    key, pos, span = key[order], pos[order], span[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(key))
+    for i in range(0, len(first), 1 << 14):
+        cuts = list(zip(first[i : i + (1 << 14)].tolist(), last[i : i + (1 << 14)].tolist(), strict=True))
+        arrays = [pa.array(key[first[i : i + (1 << 14)]]), *[pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary()) for c in (pos, span)]]
+        yield pa.RecordBatch.from_arrays(arrays, ["key", "pos", "span"])
 
 
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, key, text, places)`` to the segments around the places."""
-    for batch in batches:
-        docs, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))
-        rows = []
-        for doc, key, text, places in zip(docs, keys, texts, batch.column(3).to_pylist(), strict=True):
-            for place in places:
-                left, count = place["span"] >> 8, place["span"] & 255
-                start = place["pos"] - left
-                rows.append((doc, key, start, left, text[start : start + count + LENGTH - 1]))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "key", "start", "left", "segment"])
+    """``(doc_id, key, text, pos, span)`` to the segments around the places."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for batch in batches_of(batches, BATCH // 2, "text"):
+        docs, keys, texts, pos, span = (c.to_pylist() if i != 2 else texts_of(c) for i, c in enumerate(batch.columns))
+        out: list[list] = [[], [], [], [], []]
+        for doc, key, text, p, s in zip(docs, keys, texts, pos, span, strict=True):
+            at, spans = np.frombuffer(b"".join(p), np.uint32).astype(np.int64), np.frombuffer(b"".join(s), np.uint16).astype(np.int64)
+            left = spans >> 8
+            start = at - left
+            out[0].append(np.full(len(at), doc))
+            out[1].append(np.full(len(at), key))
+            out[2].append(start)
+            out[3].append(left)
+            ends = start + (spans & 255) + LENGTH - 1
+            out[4] += [text[a:b] for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
+        columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out[:4]]
+        arrays = [*[pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds, strict=False)], pa.array(out[4], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "start", "left", "segment"])
 
 
 def maximal_repeats(segments: list[bytes], least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,20 +218,22 @@ def maximal_repeats(segments: list[bytes], least: np.ndarray, most: np.ndarray)
     ``least`` and ``most`` are the smallest and largest document of each segment (the segments are distinct).
     Repeats that stand in one document only are left out.
     """
-    width = LONGEST + 80
-    flat = np.zeros(len(segments) * width + 8, np.uint8)
+    width = LONGEST + 6  # room for the last word of the last suffix of a segment
+    flat = np.zeros(len(segments) * width + 80, np.uint8)
     lengths = np.array([len(s) for s in segments])
     flat[np.repeat(np.arange(len(segments)) * width - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())] = np.frombuffer(b"".join(segments), np.uint8)
     words = np.zeros(len(flat) - 7, np.uint64)
     for k in range(8):
         words |= flat[k : len(flat) - 7 + k].astype(np.uint64) << U(56 - 8 * k)
+    masks = np.array([0, *[(1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 9)]], np.uint64)  # of the first k bytes
     windows = lengths - LENGTH + 1
     of = np.repeat(np.arange(len(segments)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     at = of * width + offset
     # suffix array: order by all bytes of the suffix, then by length
     room = lengths[of] - offset
-    keys = [words[at + 8 * j] for j in range(-(-LONGEST // 8))]
+    room = lengths[of] - offset
+    keys = [words[at + 8 * j] & masks[np.clip(room - 8 * j, 0, 8)] for j in range(-(-LONGEST // 8))]
     order = np.lexsort([room, *reversed(keys)])
     of, offset, at, room = of[order], offset[order], at[order], room[order]
     # common prefixes of neighbours
@@ -255,60 +293,80 @@ def maximal_repeats(segments: list[bytes], least: np.ndarray, most: np.ndarray)
     return tuple(np.append(x[useful], y) for x, y in zip(out, extra, strict=True))
 
 
+RANGES = "k1 long, k2 long, ranges array<struct<offset: int, length: int, document: long>>"
+GROUP = 20_000
+"""Segments whose suffixes are sorted together; an anchor is never split."""
+
+
 def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct segments of a partition to ``(k1, k2, ranges)``, a range being offset, length and smallest document."""
+    """Distinct segments of a partition to ranges of offset, length and smallest document."""
     table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
-    k1, k2, least, most = (table.column(c).to_numpy() for c in ("k1", "k2", "least", "most"))
-    of, offset, length, document = maximal_repeats(table.column("segment").to_pylist(), least, most)
-    out = [pa.array(k1[of]), pa.array(k2[of]), pa.array(offset.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(document)]
-    result = pa.RecordBatch.from_arrays(out, ["k1", "k2", "offset", "length", "document"])
-    for start in range(0, result.num_rows, 1 << 16):
-        yield result.slice(start, 1 << 16)
-
-
-RANGES = "k1 long, k2 long, offset int, length int, document long"
+    table = table.sort_by("anchor")
+    anchor = table.column("anchor").to_numpy()
+    starts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    cuts, last = [0], 0
+    for start in starts.tolist():
+        if start - last >= GROUP:
+            cuts.append(start)
+            last = start
+    for a, b in zip(cuts, [*cuts[1:], len(anchor)], strict=True):
+        part = table.slice(a, b - a)
+        k1, k2, least, most = (part.column(c).to_numpy() for c in ("k1", "k2", "least", "most"))
+        found = maximal_repeats(part.column("segment").to_pylist(), least, most)
+        order = np.argsort(found[0], kind="stable")
+        of, offset, length, document = (x[order] for x in found)
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+        entries = pa.StructArray.from_arrays([pa.array(offset.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(document)], ["offset", "length", "document"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), entries)
+        yield pa.RecordBatch.from_arrays([pa.array(k1[of[first]]), pa.array(k2[of[first]]), lists], ["k1", "k2", "ranges"])
 
 
 def shared_ranges(docs: DataFrame) -> DataFrame:
     """``(key, ranges)``: for each document, ``(start, end)`` of the bytes that a smaller document has in a common string.
 
-    ``docs`` has ``doc_id``, ``key`` (an id of the row's id and text) and ``text``; rows without a ``doc_id`` take no part.
+    ``docs`` has ``doc_id``, ``key`` (an id of the row's id and text) and ``text``; rows without a ``doc_id`` take
+    no part. A text that a smaller document has as a whole goes as a whole, and is not cut into segments.
     """
     spark = docs.sparkSession
     steps = Steps(spark, "repeats")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    named = docs.filter("doc_id IS NOT NULL")
-    blocks = named.filter(F.octet_length("text") >= LENGTH).mapInArrow(_blocks(4 * parts), BLOCK)
-    places = steps.keep(blocks.repartition(parts, "bucket").mapInArrow(_shared, "key long, pos int, span int"))
-    at = places.groupBy("key").agg(F.collect_set(F.struct("pos", "span")).alias("places"))
-    cut = named.join(at, "key").select("doc_id", "key", "text", "places")
+    named = docs.filter("doc_id IS NOT NULL").filter(F.octet_length("text") >= LENGTH)
+    content = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), F.octet_length("text").alias("n")]
+    texts = steps.keep(named.select("doc_id", "key", *content))
+    first = texts.groupBy("t1", "t2", "n").agg(F.min("doc_id").alias("first"))
+    copies = steps.keep(texts.join(first, ["t1", "t2", "n"]).filter(F.col("doc_id") > F.col("first")).select("key", "n").distinct())
+    blocks = named.select("doc_id", "key", "text").mapInArrow(_blocks(_labels(spark, parts)), BLOCK)
+    places = steps.keep(blocks.repartition(parts, "bucket").mapInArrow(_shared, "key long, pos binary, span binary"))
+    at = places.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("span").alias("span"))
+    cut = named.join(at, "key").select("doc_id", "key", "text", "pos", "span")
     cut = cut.mapInArrow(_segments, "doc_id long, key long, start int, left int, segment binary")
     cut = cut.withColumns({"k1": F.xxhash64("segment"), "k2": F.xxhash64(F.lit(50), "segment")})
     cut = steps.keep(cut)
-    steps.drop(places)
+    steps.drop(places, texts)
     distinct = cut.groupBy("k1", "k2", "segment", "left").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     distinct = steps.keep(distinct.withColumn("anchor", F.xxhash64(F.expr(f"substring(segment, left + 1, {ANCHOR})"))))
     hot = steps.keep(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"))
     some_hot = not hot.isEmpty()
     cold = distinct.join(hot, "anchor", "left_anti") if some_hot else distinct
-    ranges = cold.repartition(parts, "anchor").select("k1", "k2", "segment", "least", "most").mapInArrow(_ranges, RANGES)
+    ranges = cold.repartition(parts, "anchor").select("k1", "k2", "segment", "least", "most", "anchor").mapInArrow(_ranges, RANGES)
     if some_hot:
         window = F.explode(F.expr(f"sequence(0, octet_length(segment) - {LENGTH})"))
         windows = distinct.join(hot, "anchor", "left_semi").select("k1", "k2", "least", "most", "segment", window.alias("offset"))
         windows = windows.withColumn("content", F.expr(f"substring(segment, offset + 1, {LENGTH})")).drop("segment")
         seen = windows.groupBy("content").agg(F.min("least").alias("document"), F.max("most").alias("last")).filter("document < last")
         single = windows.join(seen, "content").filter("most > document")
-        ranges = ranges.union(single.select("k1", "k2", "offset", F.lit(LENGTH).alias("length"), "document"))
-    by_segment = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("offset", "length", "document")).alias("ranges"))
-    by_segment = steps.keep(by_segment)
+        single = single.select("k1", "k2", F.struct("offset", F.lit(LENGTH).alias("length"), "document").alias("r"))
+        ranges = ranges.union(single.groupBy("k1", "k2").agg(F.collect_list("r").alias("ranges")))
+    by_segment = steps.keep(ranges)
     found = cut.select("doc_id", "key", "start", "k1", "k2").join(by_segment, ["k1", "k2"])
     mine = F.filter("ranges", lambda r: r["document"] < F.col("doc_id"))
     place = F.transform(mine, lambda r: F.struct((F.col("start") + r["offset"]).alias("start"), (F.col("start") + r["offset"] + r["length"]).alias("end")))
     each = found.select("key", F.explode(place).alias("r"))
-    out = steps.keep(each.groupBy("key").agg(F.collect_set("r").alias("ranges")))
-    steps.drop(cut, distinct, by_segment)
+    whole = copies.select("key", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).alias("ranges"))
+    out = steps.keep(each.groupBy("key").agg(F.collect_list("r").alias("ranges")).union(whole))
+    steps.drop(cut, distinct, by_segment, copies)
     return out
 
 
@@ -323,31 +381,32 @@ def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``_kept`` (bytes that stay), ``_n_removed`` and ``_n_spans`` for each text.
 
+    With ``as_text``, ``_kept`` is a text, without the characters of which a part is removed.
+
     A byte goes if a string of 50 bytes that covers it also starts in a row of smaller ``doc_id``. NULL texts
     are empty; texts below 50 bytes, rows without an id, and repeats within one id lose nothing. Rows that
     repeat each other are treated alike. All rows and columns stay; strings are judged on the input.
     """
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.reverse(F.coalesce("text", F.lit("")))))
-    text = F.coalesce("text", F.lit("")).alias("text")
-    ranges = shared_ranges(rows.select(F.col("doc_id").cast("long"), F.col("_key").alias("key"), text))
-    joined = rows.join(ranges.select(F.col("key").alias("_key"), F.col("ranges").alias("_ranges")), "_key", "left")
+    text = F.coalesce("text", F.lit(""))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64("doc_id", text, F.reverse(text)).alias("key"))
+    joined = rows.join(shared_ranges(rows.select("doc_id", "key", "text")), "key", "left").select("doc", "text", "ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
             kept, removed, spans = [], [], []
-            for content, found in zip(texts_of(batch.column(names.index("text"))), batch.column(names.index("_ranges")).to_pylist(), strict=True):
+            for content, found in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 runs = merged(found)
                 starts, ends = [0, *[b for _, b in runs]], [*[a for a, _ in runs], len(content)]
                 kept.append(b"".join(content[a:b] for a, b in zip(starts, ends, strict=True)))
                 removed.append(sum(b - a for a, b in runs))
                 spans.append(len(runs))
-            added = [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
-            old = [(n, c) for n, c in zip(names, batch.columns, strict=True) if n not in ("_key", "_ranges")]
-            yield pa.RecordBatch.from_arrays([*[c for _, c in old], *added], [*[n for n, _ in old], "_kept", "_n_removed", "_n_spans"])
+            kept = [k.decode(errors="ignore") for k in kept] if as_text else kept
+            added = [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *added], ["doc", "_kept", "_n_removed", "_n_spans"])
 
-    kinds = docs.schema.add("_kept", "binary").add("_n_removed", "long").add("_n_spans", "long")
-    return joined.mapInArrow(run, kinds)
+    kinds = StructType([StructField("doc", docs.schema)]).add("_kept", "string" if as_text else "binary").add("_n_removed", "long").add("_n_spans", "long")
+    return joined.mapInArrow(run, kinds).select("doc.*", "_kept", "_n_removed", "_n_spans")
