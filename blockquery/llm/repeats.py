@@ -7,10 +7,10 @@
 3. Segments. Around each shared anchor the text of its windows (at most 74 bytes) is cut out. Equal segments
    are grouped first, with their smallest and largest document, so a passage found in a third of all
    documents is one row.
-4. Suffix array. Segments of the same anchors meet in one task, which sorts their suffixes, takes the common
-   prefixes of neighbours and scans them with a stack. Each interval of the tree whose members differ in the
-   byte to their left is a maximal repeat; all its members are its occurrences, not just neighbours. An
-   anchor with more than ``HOT`` segments is taken apart into single windows, grouped by content, instead.
+4. Suffix array. Segments of the same anchors meet in one task, which sorts those of their suffixes that share
+   50 bytes with another one, takes the common prefixes of neighbours and scans them with a stack. Each
+   interval of the tree whose members differ in the byte to their left is a maximal repeat; all its members
+   are its occurrences, not just neighbours. An anchor with more than ``HOT`` segments is taken apart into single windows, grouped by content, instead.
 5. Every occurrence outside the smallest document of its repeat is a range to remove.
 
 All windows are compared exactly in step 4; hashes only bring them together. Documents are identified by
@@ -230,15 +230,26 @@ def maximal_repeats(segments: list[bytes], least: np.ndarray, most: np.ndarray)
     of = np.repeat(np.arange(len(segments)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     at = of * width + offset
-    # suffix array: order by all bytes of the suffix, then by length
+    # suffix array: suffixes that share their first 50 bytes are brought together by a hash of these, and only
+    # those are ordered by what follows, then by length; no interval of interest spans two hashes
+    parts = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+    h = np.zeros(len(at), np.uint64)
+    for j in parts:
+        h += _mix(words[at + j] + U(j)) * U(pow(FACTOR, j + 1, 1 << 64))
+    order = np.argsort(h)
+    again = h[order][1:] == h[order][:-1]
+    order = order[np.append(again, False) | np.append(False, again)] if len(order) else order
+    h, of, offset, at = h[order], of[order], offset[order], at[order]
     room = lengths[of] - offset
-    room = lengths[of] - offset
-    keys = [words[at + 8 * j] & masks[np.clip(room - 8 * j, 0, 8)] for j in range(-(-LONGEST // 8))]
-    order = np.lexsort([room, *reversed(keys)])
-    of, offset, at, room = of[order], offset[order], at[order], room[order]
-    # common prefixes of neighbours
+    keys = [words[at + j] & masks[np.clip(room - j, 0, 8)] for j in range(LENGTH, LONGEST, 8)]
+    order = np.lexsort([room, *reversed(keys), h])
+    h, of, offset, at, room = h[order], of[order], offset[order], at[order], room[order]
+    # common prefixes of neighbours, by their bytes
     common = np.zeros(len(at), np.int64)
-    going = np.arange(1, len(at))
+    going = np.flatnonzero(h[1:] == h[:-1]) + 1
+    for j in parts:
+        going = going[words[at[going] + j] == words[at[going - 1] + j]]
+    common[going] = LENGTH
     for key in keys:
         differ = key[order[going]] ^ key[order[going - 1]]
         same = np.full(len(going), 8)
