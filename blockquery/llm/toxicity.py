@@ -20,15 +20,16 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockquery.llm.common import texts_of
+from blockquery.llm.common import smallest_hashes, texts_of
 
-POSITIVES, UNLABELLED = 3000, 9000
+POSITIVES, UNLABELLED = 2500, 6000
 """Texts to learn from, at most."""
 
 FEATURES = 6000
@@ -50,6 +51,10 @@ def features(text: bytes) -> set[bytes]:
     return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in PREFIXES)) if words else words
 
 
+def _mark(feature: bytes) -> int:
+    return crc32(feature) & ((1 << 22) - 1)
+
+
 @dataclass(frozen=True)
 class Model:
     """Weight by feature, and the bias."""
@@ -68,23 +73,27 @@ def train(positives: list[bytes], unlabelled: list[bytes], prior: float) -> Mode
     """A linear model from toxic and unlabelled texts, and the share of toxic ones among the unlabelled."""
     if not positives or not unlabelled:
         return Model({}, float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
-    p, u = [features(t) for t in positives], [features(t) for t in unlabelled]
-    in_p, in_u = Counter(chain.from_iterable(p)), Counter(chain.from_iterable(u))
-    often = [f for f, n in in_p.items() if n >= 3]
+    marks = np.zeros(1 << 22, np.int32)  # a rough count by hash spares counting most words by name
+    for t in positives:
+        marks[np.unique([_mark(f) for f in features(t)])] += 1
+    in_p = Counter(f for t in positives for f in features(t) if marks[_mark(f)] >= 3)
+    often = sorted(f for f, n in in_p.items() if n >= 3)
+    in_u = Counter(chain.from_iterable(features(t).intersection(in_p) for t in unlabelled))
+    n_p, n_u = len(positives), len(unlabelled)
     a, b = (np.array([c[f] for f in often], float) for c in (in_p, in_u))
-    mean = (a + b) / (len(p) + len(u))
-    contrast = (a / len(p) - b / len(u)) / np.sqrt(mean * (1 - mean) * (1 / len(p) + 1 / len(u)) + 1e-12)
+    mean = (a + b) / (n_p + n_u)
+    contrast = (a / n_p - b / n_u) / np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u) + 1e-12)
     order = sorted(zip(-contrast, often, strict=True))[:FEATURES]
     chosen = {f: j for j, (c, f) in enumerate(order) if c < -4.5}
     if not chosen:
         return Model({}, float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
     rows, columns = [], []
-    for i, found in enumerate(p + u):
-        hits = [chosen[f] for f in found & chosen.keys()]
+    for i, t in enumerate(chain(positives, unlabelled)):
+        hits = [chosen[f] for f in features(t) & chosen.keys()]
         rows += [i] * len(hits)
         columns += hits
-    rows, columns, n = np.array(rows), np.array(columns), len(p) + len(u)
-    is_p = np.arange(n) < len(p)
+    rows, columns, n = np.array(rows), np.array(columns), n_p + n_u
+    is_p = np.arange(n) < n_p
     w, bias = np.zeros(len(chosen) + 1), float(np.log(prior / (1 - prior)))
     first, second = np.zeros_like(w), np.zeros_like(w)
     w[-1] = bias
@@ -94,8 +103,8 @@ def train(positives: list[bytes], unlabelled: list[bytes], prior: float) -> Mode
         loss_0 = np.logaddexp(0, z)
         negative = loss_0[~is_p].mean() - prior * loss_0[is_p].mean()
         # derivative of each part of the risk by the score of each text
-        d_positive = np.where(is_p, prior * (s - 1) / len(p), 0.0)
-        d_negative = np.where(is_p, -prior * s / len(p), s / len(u))
+        d_positive = np.where(is_p, prior * (s - 1) / n_p, 0.0)
+        d_negative = np.where(is_p, -prior * s / n_p, s / n_u)
         d = d_positive + d_negative if negative >= 0 else -d_negative
         g = np.append(np.bincount(columns, d[rows], len(chosen)), d.sum())
         g[:-1] += SHRINK * w[:-1]
@@ -118,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
 
     def sample(ids: DataFrame, n: int) -> list[bytes]:
-        chosen = ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        chosen = smallest_hashes(ids.select("doc_id"), ["doc_id"], n)
         # at most n ids, so the broadcast is bounded
         found = texts.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
         return [(r.text or "").encode() for r in found.orderBy("doc_id").collect()]
