@@ -23,7 +23,7 @@ from blockquery.sources.tables import parquet_tables
 
 # One script per customer, the same text in both engines: comments that hold code, comment signs inside
 # strings, chains over several lines, packed keys, two aggregates, names with blanks, a rename of an absent
-# column, repeated predicates, filters on a derived column, calls that SQL cannot say, a stray quote, and
+# column, repeated predicates, filters on a derived column, calls that SQL cannot say, orders of calls that SQL would change, a stray quote, and
 # assignments without a chain.
 SCRIPT = """concat(
 '// header val z = spark.read.table("no")', chr(10),
@@ -45,6 +45,15 @@ CASE WHEN c_custkey % 2 = 0 THEN ', "left_outer"' ELSE '' END, ').', chr(10),
 CASE WHEN c_custkey % 5 = 0 THEN concat('val f = spark.read.table("t").select("a"", "b")', chr(10)) ELSE '' END,
 CASE WHEN c_acctbal < 1000 THEN concat('val g = a.filter(col("x") > 1).limit(5).filter("y = 2")', chr(10)) ELSE '' END,
 'val h = a.withColumn("w', cast(c_nationkey AS varchar(20)), '", expr("x * 2")).filter("x > 1").where("w7 > 3")', chr(10),
+CASE c_custkey % 8
+ WHEN 0 THEN 'val p = t.select("a", "b").distinct().select("a")'
+ WHEN 1 THEN 'val p = t.select("a").distinct().withColumn("a", expr("a % 2"))'
+ WHEN 2 THEN 'val p = t.select("a", "b").withColumn("a", expr("a + 1")).withColumn("c", expr("a * 2"))'
+ WHEN 3 THEN 'val p = t.select("a").withColumn("a", expr("a + 1")).withColumn("a", expr("a * 2"))'
+ WHEN 4 THEN 'val p = t.withColumn("a", expr("a + 1")).orderBy("b, c")'
+ WHEN 5 THEN concat('val p = t.filter("a > 1").join("u", "t.a = u.a", "', CASE WHEN c_nationkey < 12 THEN 'full' ELSE 'right' END, '")')
+ WHEN 6 THEN 'val p = t.orderBy("x").groupBy("k").count()'
+ ELSE 'val p = t.select("k", "v").withColumn("twice", expr("v * 2")).distinct()' END, chr(10),
 'val n = ', cast(c_nationkey AS varchar(20)), chr(10))"""
 
 # A corpus with blank scripts, and customers without a script.
@@ -128,13 +137,23 @@ ordered AS (SELECT script_id, chain_no, concat(' ', string_agg(op, ' ' ORDER BY
 made AS (SELECT script_id, chain_no, step_no, {_string_sql("step", 0)} AS name FROM calls WHERE op = 'withColumn'
  UNION ALL SELECT script_id, chain_no, step_no, {_string_sql("step", 1)} FROM calls WHERE op = 'withColumnRenamed'),
 reads AS (SELECT script_id, chain_no, step_no, {_string_sql("step", 0)} AS condition FROM calls WHERE op IN ('filter', 'where')
- UNION ALL SELECT script_id, chain_no, step_no, {_string_sql("step", 1)} FROM calls WHERE op = 'join'),
+ UNION ALL SELECT script_id, chain_no, step_no, {_string_sql("step", 1)} FROM calls WHERE op = 'join'
+ UNION ALL SELECT script_id, chain_no, step_no, array_to_string({_extract_all("step", QUOTED, 1)}, ' ') FROM calls WHERE op = 'withColumn'),
 clashes AS (SELECT DISTINCT r.script_id, r.chain_no, true AS clash FROM reads r JOIN made m
  ON r.script_id = m.script_id AND r.chain_no = m.chain_no AND m.step_no < r.step_no
- WHERE list_contains(regexp_split_to_array(r.condition, '\\W+'), m.name)),
+ WHERE list_contains(regexp_split_to_array(r.condition, '\\W+'), m.name)
+ UNION SELECT m.script_id, m.chain_no, true FROM calls m JOIN calls s
+ ON s.script_id = m.script_id AND s.chain_no = m.chain_no AND m.step_no < s.step_no
+ WHERE m.op = 'withColumn' AND s.op = 'select' AND NOT list_contains({_names_sql("s.step")}, {_string_sql("m.step", 0)})
+ UNION SELECT m.script_id, m.chain_no, true FROM calls m WHERE m.op = 'withColumn'
+ AND list_contains(regexp_split_to_array(array_to_string({_extract_all("m.step", QUOTED, 1)}[2:], ' '), '\\W+'), {_string_sql("m.step", 0)})
+ AND NOT EXISTS (SELECT 1 FROM calls s WHERE s.script_id = m.script_id AND s.chain_no = m.chain_no AND s.op = 'select')),
+outer_joins AS (SELECT DISTINCT j.script_id, j.chain_no, true AS late FROM (SELECT script_id, chain_no, step_no, step, {JOIN_KEYWORD_SQL} AS kind FROM calls WHERE op = 'join') j
+ JOIN calls f ON f.script_id = j.script_id AND f.chain_no = j.chain_no AND f.step_no < j.step_no
+ WHERE f.op IN ('filter', 'where') AND j.kind IN ('RIGHT OUTER', 'FULL OUTER')),
 judged AS (SELECT ordered.*, {_like("ops", ORDER_CHANGES_MEANING)} OR
- {_like(f"regexp_replace(ops, {_text(GROUPED_CALLS)}, ' ', 'g')", LOOSE_GROUPING)} OR (grouped_at IS NULL AND clash IS NOT NULL) AS bad_order
- FROM ordered LEFT JOIN clashes USING (script_id, chain_no))"""
+ {_like(f"regexp_replace(ops, {_text(GROUPED_CALLS)}, ' ', 'g')", LOOSE_GROUPING)} OR (grouped_at IS NULL AND clash IS NOT NULL) OR late IS NOT NULL AS bad_order
+ FROM ordered LEFT JOIN clashes USING (script_id, chain_no) LEFT JOIN outer_joins USING (script_id, chain_no))"""
 LINEAGE_SQL = f"""SELECT script_id, chain_no, step_no, CASE WHEN op = 'join' THEN 'join' ELSE 'from' END AS role,
  {_string_sql("step", 0)} AS tbl, CASE WHEN op = 'join' THEN {JOIN_KEYWORD_SQL} END AS join_type,
  CASE WHEN op = 'join' THEN {_string_sql("step", 1)} END AS cond FROM calls WHERE op IN ('table', 'join') AND readable"""

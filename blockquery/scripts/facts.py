@@ -134,11 +134,16 @@ def order_problem(ops: Column, quoted: Column) -> Column:
     """Whether the order of calls means something that one query block cannot say."""
     text = F.concat(F.lit(" "), F.array_join(ops, " "), F.lit(" "))
     ungrouped = F.regexp_replace(text, GROUPED_CALLS, " ").rlike(LOOSE_GROUPING)
-    return text.rlike(ORDER_CHANGES_MEANING) | ungrouped | _reads_new_names(ops, quoted)
+    return text.rlike(ORDER_CHANGES_MEANING) | ungrouped | _names_clash(ops, quoted) | _filter_before_outer_join(ops, quoted)
 
 
-def _reads_new_names(ops: Column, quoted: Column) -> Column:
-    """Whether a filter or join reads a name that an earlier call made: WHERE and ON come before the select list."""
+def _names_clash(ops: Column, quoted: Column) -> Column:
+    """Whether the names that calls make get in the way of each other, in a chain without groups.
+
+    A later filter, join or derived column reads or makes such a name again (WHERE, ON and the select list do
+    not see the select list's names), a later select leaves a derived column out, or a column is derived from
+    itself where no select tells which columns there are.
+    """
 
     def new_name(strings_of: Column, i: Column) -> Column:
         op = F.get(ops, i)
@@ -147,12 +152,33 @@ def _reads_new_names(ops: Column, quoted: Column) -> Column:
     def words(strings_of: Column, i: Column) -> Column:
         op = F.get(ops, i)
         read = F.when(op.isin("filter", "where"), F.get(strings_of, 0)).when(op == "join", F.get(strings_of, 1))
-        return F.split(read, r"\W+")
+        return F.split(read.when(op == "withColumn", F.array_join(strings_of, " ")), r"\W+")
+
+    def derived_and_left_out(strings_of: Column, i: Column) -> Column:
+        derived = F.filter(F.transform(F.slice(quoted, 1, i), lambda q, k: F.when(F.get(ops, k) == "withColumn", F.get(q, 0))), lambda n: n.isNotNull())
+        return (F.get(ops, i) == "select") & (F.size(F.array_except(derived, names(strings_of))) > 0)
+
+    def from_itself(strings_of: Column, i: Column) -> Column:
+        sources = F.split(F.array_join(F.slice(strings_of, 2, F.greatest(F.size(strings_of) - 1, F.lit(0))), " "), r"\W+")
+        return (F.get(ops, i) == "withColumn") & F.array_contains(sources, F.get(strings_of, 0))
 
     made = F.transform(quoted, new_name)
     clashes = F.transform(F.transform(quoted, words), lambda w, i: F.arrays_overlap(w, F.slice(made, 1, i)))
+    left_out = F.array_contains(F.transform(quoted, derived_and_left_out), True)
+    doubled = F.array_contains(F.transform(quoted, from_itself), True) & ~F.array_contains(ops, "select")
     renamed = F.array_contains(ops, "withColumn") | F.array_contains(ops, "withColumnRenamed")
-    return F.when(renamed & ~F.array_contains(ops, "groupBy"), F.array_contains(clashes, True)).otherwise(False).eqNullSafe(True)
+    any_ = F.array_contains(clashes, True).eqNullSafe(True) | left_out.eqNullSafe(True) | doubled.eqNullSafe(True)
+    return F.when(renamed & ~F.array_contains(ops, "groupBy"), any_).otherwise(False).eqNullSafe(True)
+
+
+def _filter_before_outer_join(ops: Column, quoted: Column) -> Column:
+    """Whether a right or full join comes after a filter: WHERE would also take the rows it keeps from its right side."""
+
+    def late(strings_of: Column, i: Column) -> Column:
+        outer = join_keyword(F.get(strings_of, 2)).isin("RIGHT OUTER", "FULL OUTER")
+        return (F.get(ops, i) == "join") & outer & F.arrays_overlap(F.slice(ops, 1, i), F.array(F.lit("filter"), F.lit("where")))
+
+    return F.when(F.array_contains(ops, "join"), F.array_contains(F.transform(quoted, late), True)).otherwise(False).eqNullSafe(True)
 
 
 def unsupported(scripts: DataFrame) -> DataFrame:

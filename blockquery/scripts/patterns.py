@@ -37,7 +37,8 @@ ORDER_CHANGES_MEANING = (
     r"| groupBy (?:.* )?(?:join|groupBy) "
     r"| withColumn(?:Renamed)? (?:.* )?groupBy "
     r"| withColumnRenamed (?:.* )?select "
-    r"| distinct (?:.* )?(?:join|groupBy) "
+    r"| distinct (?:.* )?(?:join|groupBy|select|withColumn) "
+    r"| orderBy (?:.* )?groupBy "
 )
 GROUPED_CALLS = r" groupBy (?:agg|count) "
 LOOSE_GROUPING = r" (?:groupBy|agg|count) "
@@ -85,7 +86,7 @@ class Patterns:
         """Known calls with arguments that the SQL form understands."""
         string = r'"[^"\n]*"'
         strings = self._list(string)
-        sort = rf"(?:(?:asc|desc)\s*\(\s*{string}\s*\)|{string})"
+        sort = r'(?:(?:asc|desc)\s*\(\s*"[^",\n]*"\s*\)|"[^",\n]*")'
         aggregate = rf"\w+\s*\(\s*{string}\s*\)(?:\s*\.\s*as\s*\(\s*{string}\s*\))?"
         shapes = {
             "table|filter|where": string,

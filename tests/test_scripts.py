@@ -64,7 +64,7 @@ CASES = {
     'df.select("t.a", "b c", "d").withColumnRenamed("a", "x").withColumnRenamed("b c", "y z").withColumnRenamed("no", "n")': (
         "SELECT t.a AS x, `b c` AS `y z`, d FROM `t`"
     ),
-    'df.filter("y > 1").withColumn("y", expr("y + 1")).filter("x > 1")': "SELECT *, y + 1 AS y FROM `df` WHERE (y > 1) AND (x > 1)",
+    'df.filter("y > 1").select("x", "y").withColumn("y", expr("y + 1")).filter("x > 1")': "SELECT x, y + 1 AS y FROM `df` WHERE (y > 1) AND (x > 1)",
     'df.limit(99999999999999999999)': "SELECT * FROM `df`",
     'df.select("a").withColumnRenamed("a", "b").withColumnRenamed("b", "c")': "SELECT a AS c FROM `df`",
     'df.withColumnRenamed("a", "b").withColumnRenamed("c d", "e")': "SELECT * EXCEPT (a, `c d`), a AS b, `c d` AS e FROM `df`",
@@ -125,6 +125,16 @@ GAPS = {
     'val a = df.distinct().groupBy("k").count()': [(0, "order of calls", None)],
     'val a = df.withColumn("y", expr("year(d)")).groupBy("y").count()': [(0, "order of calls", None)],
     'val a = df.withColumn("y", expr("x * 2")).filter("y > 1")': [(0, "order of calls", None)],
+    'val a = df.select("a", "b").distinct().select("a")': [(0, "order of calls", None)],
+    'val a = df.select("a").distinct().withColumn("a", expr("a % 2"))': [(0, "order of calls", None)],
+    'val a = df.select("a", "b").withColumn("a", expr("a + 1")).withColumn("c", expr("a * 2"))': [(0, "order of calls", None)],
+    'val a = df.select("a").withColumn("a", expr("a + 1")).withColumn("a", expr("a * 2"))': [(0, "order of calls", None)],
+    'val a = df.withColumn("a", expr("a + 1"))': [(0, "order of calls", None)],
+    'val a = df.filter("a > 1").join("t", "df.a = t.a", "full")': [(0, "order of calls", None)],
+    'val a = df.filter("a > 1").join("t", "df.a = t.a", "right")': [(0, "order of calls", None)],
+    'val a = df.orderBy("x").groupBy("k").count()': [(0, "order of calls", None)],
+    'val a = df.select("k", "v").withColumn("t", expr("v * 2")).select("k")': [(0, "order of calls", None)],
+    'val a = df.orderBy("a, b DESC")': [(0, "unread arguments", "orderBy")],
     'val a = df.withColumnRenamed("x", "y").join("t", "df.y = t.k")': [(0, "order of calls", None)],
     "val a = df.read [": [(0, "unread arguments", "read")],
 }
