@@ -35,7 +35,7 @@ RUN = LENGTH - ANCHOR + 1  # windows that one anchor can serve
 LONGEST = LENGTH + RUN - 1  # bytes of a segment
 STEP = 1 << 20
 POSITION = np.uint64((1 << 21) - 1)
-BATCH = 8 << 20
+BATCH = 4 << 20
 """Bytes of text whose anchors a task compares before it sends them."""
 
 HOT = 20_000
@@ -350,7 +350,8 @@ def shared_ranges(docs: DataFrame) -> DataFrame:
     copies = steps.keep(texts.join(first, ["t1", "t2", "n"]).filter(F.col("doc_id") > F.col("first")).select("key", "n").distinct())
     blocks = named.select("doc_id", "key", "text").mapInArrow(_blocks(_labels(spark, parts)), BLOCK)
     places = steps.keep(blocks.repartition(parts, "bucket").mapInArrow(_shared, "key long, pos binary, span binary"))
-    at = places.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("span").alias("span"))
+    at = places.groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("span").alias("span"))
+    at = at.join(copies, "key", "left_anti")  # after grouping: a row for each text, not for each text and bucket
     cut = named.join(at, "key").select("doc_id", "key", "text", "pos", "span")
     cut = cut.mapInArrow(_segments, "doc_id long, key long, start int, left int, segment binary")
     cut = cut.withColumns({"k1": F.xxhash64("segment"), "k2": F.xxhash64(F.lit(50), "segment")})
