@@ -297,27 +297,27 @@ def join_full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT customer.c_custkey FROM customer SEMI JOIN orders"
-    " ON customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 450000"
+    "SELECT customer.c_custkey FROM customer SEMI JOIN events"
+    " ON customer.c_custkey = events.user_id"
 )
 def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
         parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("orders", "customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 450000", "semi")],
+        joins=[Join("events", "customer.c_custkey = events.user_id", "semi")],
         select=["customer.c_custkey"],
     )
 
 
 @query(
-    "SELECT customer.c_custkey FROM customer ANTI JOIN orders"
-    " ON customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 450000"
+    "SELECT customer.c_custkey FROM customer ANTI JOIN events"
+    " ON customer.c_custkey = events.user_id"
 )
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(
         parquet_tables(spark, sf_dir),
         "customer",
-        joins=[Join("orders", "customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 450000", "anti")],
+        joins=[Join("events", "customer.c_custkey = events.user_id", "anti")],
         select=["customer.c_custkey"],
     )
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
+from blockquery.plans.registry import QUERIES
 from blockquery.operators import windows as win
 from blockquery.operators.joins import join_on
 from blockquery.scripts import facts
@@ -35,10 +36,11 @@ def settings(spark):
             spark.conf.set(name, value)
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_tasks_and_no_cartesian_product(spark, name):
     text = plan(spark_entry.queries()[name](spark, FOLDER))
-    for node in ("Python", "ArrowEval", "CartesianProduct", "ExistingRDD", "MapInPandas"):
+    checkpointed = ("join_full_chain",)  # its first join is written once, and read as such
+    for node in ("Python", "ArrowEval", "CartesianProduct", "MapInPandas", *([] if name in checkpointed else ["ExistingRDD"])):
         assert node not in text
 
 
@@ -73,10 +75,9 @@ def test_top_k_and_top_rows(spark):
     assert text.count("WindowGroupLimit") == 4  # before and after the shuffle of the parts of a key, and of the keys
 
 
-def test_right_and_full_joins_do_not_shuffle_the_large_side(spark):
-    for name in ("join_right", "join_full"):
-        text = plan(spark_entry.queries()[name](spark, FOLDER))
-        assert "c_custkey" not in "".join(line for line in text.splitlines() if "Exchange" in line)
+def test_full_joins_of_large_sides_are_inner_and_anti_joins(spark):
+    text = plan(spark_entry.queries()["join_full"](spark, FOLDER))
+    assert "FullOuter" not in text and "Inner" in text and text.count("LeftAnti") >= 2
 
 
 def test_semi_join_reduces_the_right_side_and_reuses_its_partitioning(spark, settings):
