@@ -239,7 +239,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                 moved = both != both[root]
                 yield pa.RecordBatch.from_arrays([pa.array(both[moved]), pa.array(both[root][moved])], ["a", "b"])
 
-    links_found = _tile_pairs(groups, (0,)).mapInArrow(verify, "a long, b long")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = _tile_pairs(groups, (0,)).repartition(parts)  # all pairs of a large group would be one task's
+    links_found = spread.mapInArrow(verify, "a long, b long")
     classes = components(links_found, steps)
     least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
     placed = least.join(classes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
