@@ -6,12 +6,13 @@ capitals, and groups of digits with blanks between. Boosted regression trees sco
 stands around it; a candidate is taken if its score passes the threshold of its kind, overlaps no base
 span, and no better candidate overlaps it.
 
-There are no labels for such spans. The trees learn from a bounded sample of candidates with weak labels:
-forms that are known to be credentials or personal numbers, or that stand behind a word that announces
-one, against all other candidates. The thresholds are the lowest ones whose precision on a part of the
-sample that the trees have not seen reaches ``PRECISION``.
+There are no labels for such spans. The trees learn from weak labels: forms that are known to be credentials
+or personal numbers, against all other candidates. Their sample is bounded for each kind and label, so a rare
+form is in it however large the corpus is; each kind and label weighs the same. The thresholds are the lowest ones
+whose precision reaches ``PRECISION`` on the candidates of all documents that the trees have not seen, by
+histograms of scores that tasks count.
 
-Each text is scanned whole in one narrow pass: no shuffle. Only the trees are sent to the tasks.
+Each text is scanned whole in narrow passes; only counts and the sample are shuffled, only the trees are sent to the tasks.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockquery.llm.common import smallest_hashes
-
-SAMPLE_DOCS = 4000
-"""Documents, those of smallest hash, whose candidates train the trees."""
+SAMPLE = 4000
+"""Distinct candidates of each kind and weak label, those of smallest hash, that train the trees."""
 
 PRECISION = 0.9
+SCORE_BINS = 1024
 TREES, DEPTH, RATE, BINS = 30, 3, 0.3, 32
 
 BASE = ("email", "ip", "card", "phone")
@@ -158,15 +159,17 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
-    """Boosted trees of logistic loss: cuts at quantiles, leaves by one Newton step."""
-    bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list]:
+    """Boosted trees of logistic loss: cuts at quantiles of both labels, leaves by one Newton step."""
+    bias = float(np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1)))
     total, trees = np.full(len(y), bias), []
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[:-1])) for j in range(x.shape[1])]
+    shares = np.linspace(0, 1, BINS + 1)[:-1]
+    sides = [x[y == label] for label in (0, 1) if (y == label).any()]  # the cuts of a rare label are not those of the other
+    cuts = [np.unique(np.concatenate([np.quantile(s[:, j], shares) for s in sides])) for j in range(x.shape[1])]
     inner, size = 2**DEPTH - 1, 2 ** (DEPTH + 1) - 1
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-total))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         feature, cut, value = np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size)
         node = np.zeros(len(y), np.int64)
         for at in range(inner):
@@ -189,29 +192,18 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     return bias, trees
 
 
-def train(texts: list[str]) -> Model:
-    """Trees from the candidates of some texts; without both labels, a model that takes no candidate."""
-    found = [(t, *c) for t in texts for c in candidates(t)]
-    never = {k: 2.0 for k in KINDS}
-    if not found:
-        return Model(0.0, (), never)
-    x = np.array([features(*f) for f in found], float)
-    y = np.array([weak_label(*f) for f in found], float)
-    held = np.arange(len(y)) % 4 == 3
-    if not 0 < y[~held].sum() < (~held).sum():
-        return Model(0.0, (), never)
-    bias, trees = boost(x[~held], y[~held])
-    model = Model(bias, tuple(trees), never)
-    scores, kinds, thresholds = model.scores(x), np.array([f[1] for f in found]), dict(never)
-    for kind in KINDS[len(BASE) :]:
-        s, t = scores[held & (kinds == kind)], y[held & (kinds == kind)]
-        order = np.argsort(-s, kind="stable")
-        right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        if len(good) and t.sum():
-            below = s[order][good[-1] + 1] if good[-1] + 1 < len(s) else 0.0
-            thresholds[kind] = max(0.5, float(s[order][good[-1]] + below) / 2)  # halfway to the first one left out
-    return Model(bias, tuple(trees), thresholds)
+def threshold(counts: np.ndarray) -> float:
+    """The lowest score from which on ``PRECISION`` of the candidates have the label, 0.5 at least; 2.0, i.e. never, if there is none.
+
+    ``counts`` holds the candidates by label (0, 1) and bin of their score.
+    """
+    at = np.flatnonzero(counts.sum(axis=0))[::-1]
+    zeros, ones = counts[:, at].cumsum(axis=1)
+    good = np.flatnonzero(ones >= PRECISION * (zeros + ones))
+    if not len(good):
+        return 2.0
+    below = at[good[-1] + 1] + 1 if good[-1] + 1 < len(at) else 0
+    return max(0.5, float(at[good[-1]] + below) / 2 / SCORE_BINS)  # halfway to the first bin left out
 
 
 def spans_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]:
@@ -228,10 +220,80 @@ def spans_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]
     return [b + sorted(c, key=lambda s: (KINDS.index(s[0]), s[1])) for b, c in zip(base, chosen, strict=True)]
 
 
+def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each batch with candidates: ``(text, kind, start, end)``, weak labels, hashes by text and place, whether the text is held out."""
+    for batch in batches:
+        found, keys, held = [], [], []
+        for text in batch.column(0).to_pylist():
+            own = candidates(text)
+            if own:
+                of_text = xxhash.xxh64_intdigest(text.encode())
+                found += [(text, *c) for c in own]
+                keys += [xxhash.xxh64_intdigest(b"%d %d" % (a, b), of_text) >> 11 for _, a, b in own]
+                held += [of_text % 4 == 3] * len(own)
+        if found:
+            yield found, np.array([weak_label(*f) for f in found]), np.array(keys, np.int64), np.array(held)
+
+
 def fit(docs: DataFrame) -> Model:
-    """The model from the ``SAMPLE_DOCS`` documents of smallest hash among those where a digit meets a letter or ``=``."""
-    texts = docs.select("text").filter(F.col("text").rlike("[A-Za-z=][0-9]|[0-9][A-Za-z]"))
-    return train([r.text for r in smallest_hashes(texts, ["text"], SAMPLE_DOCS).collect()])
+    """The model from the candidates of all documents; without any weak label, one that takes no candidate.
+
+    Copies of a text count once for the trees. A quarter of the texts, by hash, is held out for the thresholds; of
+    a kind whose labels are all on one side, both sides serve for both.
+    """
+    texts = docs.select("text").filter(F.col("text").rlike("[0-9]|[A-Z]{16}"))  # every candidate has one of these
+    never = {k: 2.0 for k in KINDS}
+
+    def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, labels, keys, held in _found(batches):
+            columns = [pa.array([f[1] for f in found]), pa.array(labels), pa.array(held), pa.array(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "label", "held", "key"])
+
+    marked = texts.mapInArrow(marks, "kind string, label boolean, held boolean, key long")
+    counted = marked.groupBy("kind", "label", "held").agg(F.approx_count_distinct("key").alias("n")).collect()
+    n = {(r.kind, r.label, r.held): r.n for r in counted}
+    kinds = [k for k in KINDS if (k, True, True) in n or (k, True, False) in n]
+    if not kinds:
+        return Model(0.0, (), never)
+    whole = {k for k in KINDS if k not in kinds or (k, True, True) not in n or (k, True, False) not in n}
+    limits = {}
+    for kind, label, _ in n:
+        size = n.get((kind, label, False), 0) + (n.get((kind, label, True), 0) if kind in whole else 0)
+        limits[kind, label] = int((1 << 53) * min(1.0, (2 * SAMPLE + 1000) / max(size, 1)))
+
+    def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, labels, keys, held in _found(batches):
+            chosen = [i for i, f in enumerate(found) if keys[i] < limits[f[1], bool(labels[i])] and (f[1] in whole or not held[i])]
+            x = pa.array([features(*found[i]) for i in chosen], pa.list_(pa.float64()))
+            columns = [pa.array([found[i][1] for i in chosen], pa.string()), pa.array(labels[chosen]), pa.array(keys[chosen]), x]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "label", "key", "x"])
+
+    sampled = texts.mapInArrow(sample, "kind string, label boolean, key long, x array<double>")
+    strata: dict[tuple, list] = {}
+    for r in sorted(sampled.dropDuplicates(["kind", "label", "key"]).collect()):  # some thousands of each kind and label
+        strata.setdefault((r.kind, r.label), []).append(r.x)
+    strata = {k: v[:SAMPLE] for k, v in strata.items()}
+    x = np.array([row for rows in strata.values() for row in rows], float)
+    y = np.concatenate([np.full(len(rows), float(label)) for (_, label), rows in strata.items()])
+    weight = np.concatenate([np.full(len(rows), len(x) / len(strata) / len(rows)) for rows in strata.values()])
+    bias, trees = boost(x, y, weight)
+    model = Model(bias, tuple(trees), never)
+
+    def histograms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(KINDS), 2, SCORE_BINS), np.int64)
+        for found, labels, _, held in _found(batches):
+            use = [i for i, f in enumerate(found) if held[i] or f[1] in whole]
+            if use:
+                scores = model.scores(np.array([features(*found[i]) for i in use], float))
+                at = np.minimum((scores * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
+                np.add.at(counts, ([KINDS.index(found[i][1]) for i in use], labels[use].astype(np.int64), at), 1)
+        where = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, where), pa.array(counts[where])], ["kind", "label", "bin", "n"])
+
+    counts = np.zeros((len(KINDS), 2, SCORE_BINS), np.int64)
+    for r in texts.mapInArrow(histograms, "kind long, label long, bin long, n long").groupBy("kind", "label", "bin").agg(F.sum("n").alias("n")).collect():
+        counts[r.kind, r.label, r.bin] = r.n
+    return Model(bias, tuple(trees), never | {k: threshold(counts[KINDS.index(k)]) for k in kinds})
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

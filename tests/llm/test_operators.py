@@ -353,6 +353,20 @@ def test_private_data(spark):
     assert private_data.redact("abcdef", [("x", 1, 3), ("y", 2, 4), ("z", 5, 6)]) == "a[X]e[Z]"
 
 
+def test_private_data_of_rare_forms_and_texts_without_joints(spark):
+    rng = np.random.default_rng(19)
+    texts = [f"{frames.text(12, i)} order{i}abcdef {frames.text(4, i)} 2024 10 {1000 + i}" for i in range(300)]
+    numbers = [f"{frames.text(9, i)}, {rng.integers(100, 999)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)} {frames.text(5, i)}" for i in range(40)]
+    secret = "ghp_" + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789"), 36))
+    texts += [*numbers, f"{frames.text(9, 1)} {secret} {frames.text(9, 2)}", *[texts[0]] * 200]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [s.kind for s in r.spans] for r in private_data.find(data, private_data.fit(data)).collect()}
+    assert all(found[i] == ["number"] for i in range(300, 340)) and found[340] == ["secret"]
+    assert not any(found[i] for i in [*range(300), *range(341, 541)])
+    alone = data.filter("doc_id BETWEEN 300 AND 339")  # no candidate without a label
+    assert all([s.kind for s in r.spans] == ["number"] for r in private_data.find(alone, private_data.fit(alone)).collect())
+
+
 # 10
 
 
