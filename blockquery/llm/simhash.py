@@ -178,8 +178,21 @@ def _alike(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, similar
     return x[fine], y[fine]
 
 
+def text_key() -> F.Column:
+    """What tells rows of one id, or of none, apart: a hash of the text; NULL texts are empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)``: components of texts whose word shingles have a Jaccard similarity of ``similarity`` or more.
+    """``(doc_id, component_id)`` of every row of ``similar_rows``."""
+    return similar_rows(docs, words, similarity).select("doc_id", "component_id")
+
+
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, text_key, component_id, first)``: components of texts whose word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``first`` is the ``(no_id, doc_id, text_key)`` of one row of the component: that of smallest id, any id before none,
+    and of smallest ``text_key`` among these.
 
     Fingerprints of several words find candidates; tiles are bands of set sizes here, since sets whose sizes
     differ more than by the similarity cannot be that similar. Candidates form loose groups, and inside these
@@ -194,13 +207,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, words)) for t in texts_of(batch.column(1))]
             found = list(zip(*map(wide_fingerprint, sets), strict=True)) or [()] * LANES
-            columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), *[pa.array(f, pa.int64()) for f in found]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", *lanes])
+            columns = [batch.column(0), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), *[pa.array(f, pa.int64()) for f in found]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", *lanes])
 
-    kinds = "doc_id long, n long, " + ", ".join(f"{w} long" for w in lanes)
-    printed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prints, kinds)
+    kinds = "doc_id long, text_key long, n long, " + ", ".join(f"{w} long" for w in lanes)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    printed = keyed.mapInArrow(prints, kinds)
     printed = steps.keep(printed.withColumn("fp", F.xxhash64("n", *lanes)))
-    distinct = printed.groupBy("fp", "n", *lanes).agg(F.min("doc_id").alias("least"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    distinct = printed.groupBy("fp", "n", *lanes).agg(first)
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("int")
     tiles = _tiles(steps.keep(distinct.withColumn("cell", band)), F.struct("fp", "n", *lanes), TILE)
     tiles = steps.keep(tiles)
@@ -218,9 +233,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     loose = components(_tile_pairs(tiles, (0, 1)).mapInArrow(compare, "a long, b long"), steps)
     roots = loose.select("root").distinct()
     members = steps.keep(loose.union(roots.select(F.col("root").alias("node"), "root")).distinct())
-    chosen = distinct.join(members, F.col("fp") == F.col("node")).select(F.col("least").alias("doc_id"), "fp", F.col("root").alias("cell"))
-    # one text for each fingerprint: rows that share an id are told apart by their fingerprint
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    chosen = distinct.join(members, F.col("fp") == F.col("node")).select("first.doc_id", "first.text_key", "fp", F.col("root").alias("cell"))
+    # one text for each fingerprint, by id and text: ids may be missing or shared
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("text_key").alias("chosen_key"), "fp", "cell")
+    same = (F.col("text_key") == F.col("chosen_key")) & F.col("doc_id").eqNullSafe(F.col("chosen_id"))
+    sets = keyed.join(chosen, same).groupBy("fp", "cell").agg(F.first("text").alias("text"))
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,11 +260,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     spread = _tile_pairs(groups, (0,)).repartition(parts)  # all pairs of a large group would be one task's
     links_found = spread.mapInArrow(verify, "a long, b long")
     classes = components(links_found, steps)
-    least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    placed = least.join(classes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = steps.keep(placed.join(ids, "root").select("fp", "component_id"))
-    return printed.select("doc_id", "fp").join(table, "fp").select("doc_id", "component_id")
+    each = printed.groupBy("fp").agg(first)
+    placed = each.join(classes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
+    table = steps.keep(placed.drop("first").join(firsts, "root").select("fp", "first"))
+    return printed.select("doc_id", "text_key", "fp").join(table, "fp").select("doc_id", "text_key", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def _tiles(rows: DataFrame, item: F.Column, size: int) -> DataFrame:

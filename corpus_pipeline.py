@@ -28,11 +28,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents alike in 0.8 of their 5-word shingles, directly or by way of others, the one of smallest id stays.
 
-    Rows that share an id are one document. A group without any id stays whole.
+    Of several texts of that id, the one of smallest hash stays; rows that repeat both its id and its text are one
+    document and stay with it. Only a group without any id keeps a row without one, and exactly one.
     """
-    found = simhash.similar_documents(docs, words=5, similarity=0.8)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    found = simhash.similar_rows(docs, words=5, similarity=0.8)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = found.filter(~stays).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    # rows without an id and of the same text cannot be told apart: one stands for all, before the others are removed
+    whole = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_doc")
+    nameless = docs.filter("doc_id IS NULL").groupBy(simhash.text_key().alias("_key")).agg(whole).select("_doc.*")
+    rows = docs.filter("doc_id IS NOT NULL").union(nameless)
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (simhash.text_key() == F.col("_gone_key")), "left_anti")
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

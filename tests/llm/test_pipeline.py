@@ -60,6 +60,21 @@ def test_stages(spark, folder):
     assert dict(found) == {i: n * times[i] for i, n in lengths.items()}
 
 
+def test_near_dedup_of_missing_and_shared_ids(spark, folder):
+    def near(text):
+        return text + " other end"
+
+    a, b, c, d, e = (frames.text(100, 950 + i) for i in range(5))
+    rows = [(1, a), (None, near(a)), (None, b), (None, b), (None, near(b)), (None, c), (5, near(a)), (5, d), (7, e), (7, near(e)), (8, near(d))]
+    docs = frames.documents(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    found = corpus_pipeline.near_dedup(spark, docs, folder)
+    kept = [(r.doc_id, r.text) for r in found.collect()]
+    one_of = {b: {b, near(b)}, e: {e, near(e)}}
+    assert found.columns == docs.columns and len(kept) == 5
+    assert {(1, a), (None, c), (5, d)} <= set(kept)
+    assert sum(i is None and t in one_of[b] for i, t in kept) == 1 and sum(i == 7 and t in one_of[e] for i, t in kept) == 1
+
+
 def test_run_is_all_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
