@@ -21,9 +21,6 @@ from blockquery.llm.common import Steps
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-POSITION_BITS = 21
-"""Low bits of a sort key that hold the position of a window: texts of up to two million words."""
-
 ROUNDS = 30
 """Rounds of expectation-maximisation."""
 
@@ -36,24 +33,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """Words in 3-word windows found twice or more in the text, the first one included.
 
-    Windows are sorted by hash with their position in the low bits; equal neighbours are compared word by word,
+    Windows are sorted by two hashes with their position in a field of its own; equal neighbours are compared word by word,
     so hashes that meet by chance do not count. The windows found again, in text order, cover up to three new words each.
     """
-    low = (1 << POSITION_BITS) - 1
 
     def same(keys: Column, a: Column, b: Column) -> Column:
         x, y = keys[a], keys[b]
-        p, q = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
-        near = F.shiftright(x.bitwiseXOR(y), POSITION_BITS) == 0
+        p, q = x["i"], y["i"]
+        near = (x["h"] == y["h"]) & (x["g"] == y["g"])
         return near & (words[p] == words[q]) & (words[p + 1] == words[q + 1]) & (words[p + 2] == words[q + 2])
 
     def window(w: Column, i: Column) -> Column:
-        hashed = F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
-        return hashed.bitwiseAND(~low).bitwiseOR(i.cast("long"))
+        second, third = F.get(words, i + 1), F.get(words, i + 2)
+        return F.struct(F.xxhash64(w, second, third).alias("h"), F.hash(third, w, second).alias("g"), i.alias("i"))
 
     def covered(keys: Column) -> Column:
         found = F.filter(keys, lambda k, i: ((i > 0) & same(keys, F.greatest(i - 1, F.lit(0)), i)) | ((i < F.size(keys) - 1) & same(keys, i, F.least(i + 1, F.size(keys) - 1))))
-        places = F.array_sort(F.transform(found, lambda k: k.bitwiseAND(low)))
+        places = F.sort_array(F.transform(found, lambda k: k["i"].cast("long")))
         return _let(places, lambda p: F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, x: F.struct((s["n"] + x + 3 - F.greatest(s["end"], x)).alias("n"), (x + 3).alias("end")), lambda s: s["n"]))
 
     windows = F.slice(F.transform(words, window), 1, F.greatest(F.size(words) - 2, F.lit(0)))

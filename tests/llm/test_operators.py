@@ -127,6 +127,14 @@ def test_quality(docs):
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)
 
 
+def test_repeated_words_beyond_two_million(spark):
+    n = 2_100_000  # the window at 3 is found again behind the place of 2 ** 21
+    words = [f"{i:x}" for i in range(n)]
+    words[-10:-7] = words[3:6]
+    data = spark.createDataFrame([(" ".join(words),)], "text string").select(F.split("text", " ").alias("words"))
+    assert data.select(quality.n_repeat_words(F.col("words"))).first()[0] == 6
+
+
 def test_vote_posteriors_follow_the_plain_algorithm(spark):
     patterns = {(1, 0, 0): 70, (1, -1, 0): 5, (0, -1, -1): 20, (0, 0, 0): 5}
     data = spark.createDataFrame([(list(v), n) for v, n in patterns.items()], "votes array<int>, rows long")
