@@ -117,7 +117,7 @@ def train(positives: list[bytes], unlabelled: list[bytes], prior: float) -> Mode
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the documents that are not held out. Rows of ``labels`` without an id or a label count for none.
 
-    An id with several labels is toxic if one of them says so. The prior is the share of toxic ids among all
+    An id with several labels is toxic if one of them says so, and one with several texts gives one. The prior is the share of toxic ids among all
     labelled ids that are not held out, kept within 0.01 and 0.9.
     """
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
@@ -127,10 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
 
     def sample(ids: DataFrame, n: int) -> list[bytes]:
-        chosen = smallest_hashes(ids.select("doc_id"), ["doc_id"], n)
-        # at most n ids, so the broadcast is bounded
-        found = texts.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
-        return [(r.text or "").encode() for r in found.orderBy("doc_id").collect()]
+        chosen = smallest_hashes(ids.select("doc_id").distinct(), ["doc_id"], n)
+        # at most n ids, so the broadcast is bounded; of an id that repeats, the text of smallest hash
+        found = texts.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        each_once = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        return [(r.text or "").encode() for r in each_once.orderBy("doc_id").collect()]
 
     return train(sample(each.filter("toxic = 1"), POSITIVES), sample(texts, UNLABELLED), prior)
 

@@ -198,6 +198,18 @@ def test_toxicity(spark):
     assert all(r.h == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 4 == 2) for r in flags)
 
 
+def test_toxicity_samples_one_text_of_an_id(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda positives, unlabelled, prior: seen.update(p=positives, u=unlabelled))
+    monkeypatch.setattr(toxicity, "UNLABELLED", 30)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    rows = [(i, f"text {i} {k}") for i in ids for k in range(50 if i in ids[:20] else 1)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i in ids[:5])) for i in ids], "doc_id long, quality int, toxic int")
+    toxicity.fit(data, labels)
+    assert len(seen["p"]) == 5 and len(seen["u"]) == len({t.split()[1] for t in seen["u"]}) == 30
+
+
 # 5
 
 
