@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from blockquery.llm import byte_bpe, language_model, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc
+from blockquery.llm import byte_bpe, language_model, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,12 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
     return found.select("doc_id", n_bytes, F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Four whitened components of every vector; a deviation that a long cannot hold is NULL there, and whole in its text."""
+    found = whitening.whiten(table(spark, folder, "embeddings"), k=4)
+    exact = F.col("deviation").alias("deviation_text")
+    deviation = F.expr("try_cast(deviation AS BIGINT)").alias("deviation")
+    return found.select("vec_id", "component", "n", deviation, "whitened", "explained", "identity_error", exact)
