@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from blockquery.llm import byte_bpe, language_model, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc, whitening
+from blockquery.llm import alignment, byte_bpe, language_model, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,6 +114,14 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", n_bytes, F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+@query
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers over each text, and how often the corpus has the links."""
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(table(spark, folder, "documents"), *paths, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 @query
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Four whitened components of every vector; a deviation that a long cannot hold is NULL there, and whole in its text."""
