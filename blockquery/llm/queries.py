@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from blockquery.llm import alignment, byte_bpe, language_model, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc, whitening
+from blockquery.llm import alignment, byte_bpe, language_model, languages, neighbours, packing, private_data, quality, repeats, simhash, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,6 +114,15 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", n_bytes, F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each text by machines that have not seen the held-out documents."""
+    docs = table(spark, folder, "documents")
+    model = languages.fit(docs.filter(~languages.held_out(F.col("doc_id"))))
+    found = languages.predict(docs, model)
+    return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups and links of the tokens of two tokenizers over each text, and how often the corpus has the links."""
