@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,9 @@ CHUNK = 8 << 20
 KNOWN_WORDS = 1 << 18
 """Words whose tokens a task remembers before it starts anew."""
 
+TOGETHER = 500
+"""Words that are encoded as one text."""
+
 CHUNKS = (
     "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, "
     "distinct array<long>, places binary, times binary, pairs array<long>, counts array<long>"
@@ -69,8 +73,8 @@ class Pair:
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         of_character = byte_characters()
-        entries = sorted((i, t) for t, i in self.a.get_vocab(with_added_tokens=False).items())
-        self.bytes_a = {i: bytes(map(of_character.__getitem__, t)) for i, t in entries}
+        entries = {i: bytes(map(of_character.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [entries.get(i, b"") for i in range(max(entries) + 1)]
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.space_b = self.b.piece_to_id("▁")
         pieces = [self.b.id_to_piece(i).replace("▁", " ") for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
@@ -79,7 +83,7 @@ class Pair:
         cuts = "".join(c for c in " \n\t" if c not in joined)
         # white space, and what follows up to a place where both tokenizers cut
         self.words = re.compile(rf"\s*\S+(?:[^\S{cuts}]\s*\S+)*(?:[^\S{cuts}]\s*)?|\s+" if cuts else r"(?s).+").findall
-        self.written = [f"{i}{mark}" for i in range(max(max(self.bytes_a) + 1, len(self.bytes_b))) for mark in ",|;"]
+        self.written = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"]
         self.clear()
 
     def _piece(self, i: int) -> bytes:
@@ -89,55 +93,72 @@ class Pair:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.sides = [Tokens(), Tokens()]
+        self.sides = [Tokens(self.bytes_a), Tokens(self.bytes_b)]
         self.whole = np.empty(0, bool)
 
-    def _ids_b(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word as they are inside a text. The library puts a space before, in place of the word's own."""
-        coded = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        return [c or [self.space_b] if w[0] == " " else c[1:] for w, c in zip(words, coded, strict=True)]
+    def _ids_b(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text as they are inside a longer one. The library puts a space before, in place of the text's own."""
+        coded = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        return [c or [self.space_b] if t[0] == " " else c[1:] for t, c in zip(texts, coded, strict=True)]
 
     def places(self, words: set[str]) -> None:
-        """Remember the tokens of words."""
+        """Remember the tokens of words.
+
+        Both tokenizers cut between two words unless the first ends in white space, so many are encoded as one text.
+        """
         fresh = list(words.difference(self.known))
         if fresh:
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            ids_a = [c.ids for c in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-            ids_b = self._ids_b(fresh)
-            spelled = [w.encode() for w in fresh]
-            same_a = [b"".join(map(self.bytes_a.__getitem__, ids)) == s for ids, s in zip(ids_a, spelled, strict=True)]
-            same_b = [b"".join(map(self.bytes_b.__getitem__, ids)) == s for ids, s in zip(ids_b, spelled, strict=True)]
-            self.sides[0].add(ids_a, self.bytes_a)
-            self.sides[1].add(ids_b, self.bytes_b)
-            self.whole = np.append(self.whole, np.logical_and(same_a, same_b))
+            apart = [[w] for w in fresh if w[-1].isspace()]
+            joint = [w for w in fresh if not w[-1].isspace()]
+            groups = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)] + apart
+            self._add(groups)
+
+    def _add(self, groups: list[list[str]]) -> None:
+        texts = ["".join(g) for g in groups]
+        ids_a = [c.ids for c in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        again = []
+        for words, text, *ids in zip(groups, texts, ids_a, self._ids_b(texts), strict=True):
+            whole = all(b"".join(map(side.spelled.__getitem__, i)) == text.encode() for side, i in zip(self.sides, ids, strict=True))
+            if whole or len(words) == 1:
+                self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+                self.whole = np.append(self.whole, np.full(len(words), whole))
+                ends = np.cumsum([len(w.encode()) for w in words])
+                for side, i in zip(self.sides, ids, strict=True):
+                    side.add(np.array(i, np.int64), ends)
+            else:
+                again += [[w] for w in words]  # one of them is not spelled out again
+        if again:
+            self._add(again)
 
 
 class Tokens:
-    """Ids and byte lengths of the tokens of words, by number of the word. Room grows by doubling."""
-
-    def __init__(self) -> None:
-        self.ids, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
-        self.starts, self.counts, self.used = np.empty(0, np.int64), np.empty(0, np.int64), 0
-
-    def add(self, ids: list[list[int]], spelled: dict[int, bytes] | list[bytes]) -> None:
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = [i for word in ids for i in word]
-        end = self.used + len(flat)
-        if end > len(self.ids):
-            room = np.empty(max(end, 2 * len(self.ids)) - len(self.ids), np.int64)
-            self.ids, self.sizes = np.append(self.ids, room), np.append(self.sizes, room)
-        self.ids[self.used : end] = flat
-        self.sizes[self.used : end] = [len(spelled[i]) for i in flat]
-        self.starts = np.append(self.starts, self.used + np.cumsum(counts) - counts)
-        self.counts = np.append(self.counts, counts)
-        self.used = end
+    """Ids of the tokens of words on one side, by number of the word. Room grows by doubling."""
+
+    def __init__(self, spelled: list[bytes]) -> None:
+        self.spelled, self.sizes = spelled, np.array(list(map(len, spelled)), np.int64)
+        self.ids, self.starts, self.counts = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.used = self.words = 0
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Tokens of some words, which end at the bytes ``ends``. What is not spelled out again belongs to a single word."""
+        upto = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right") if len(ends) > 1 else np.array([len(ids)])
+        words, used = self.words + len(ends), self.used + len(ids)
+        if used > len(self.ids):
+            self.ids = np.append(self.ids, np.empty(used, np.int64))
+        if words > len(self.starts):
+            self.starts, self.counts = (np.append(x, np.empty(words, np.int64)) for x in (self.starts, self.counts))
+        self.ids[self.used : used] = ids
+        self.counts[self.words : words] = np.diff(upto, prepend=0)
+        self.starts[self.words : words] = self.used + upto - self.counts[self.words : words]
+        self.words, self.used = words, used
 
     def of(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, id and byte length of each token of the words ``at``, whose documents are ``doc``."""
         counts = self.counts[at]
         ends = np.cumsum(counts)
         places = np.repeat(self.starts[at] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return np.repeat(doc, counts), self.ids[places], self.sizes[places]
+        ids = self.ids[places]
+        return np.repeat(doc, counts), ids, self.sizes[ids]
 
 
 @cache
@@ -163,7 +184,8 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def grouped(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group of each token of both sides, from 0: a group ends where tokens of both sides end."""
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    near = np.searchsorted(ends_b, ends_a)  # both end at the same byte, so none is beyond
+    common = ends_a[ends_b[near] == ends_a]
     return np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
 
 
@@ -187,7 +209,7 @@ def aligned(pair: Pair, texts: list[str | None], digest: bool) -> tuple[list[np.
     n = len(texts)
     words_of = [pair.words(" " + t) if t else [] for t in texts]
     pair.places(set().union(*words_of))
-    at = np.fromiter((place for words in words_of for place in map(pair.known.__getitem__, words)), np.int64)
+    at = np.fromiter(map(pair.known.__getitem__, chain.from_iterable(words_of)), np.int64)
     doc = np.repeat(np.arange(n), list(map(len, words_of)))
     whole = np.bincount(doc, ~pair.whole[at], n) == 0  # texts that both sides spell out again
     at, doc = at[whole[doc]], doc[whole[doc]]
@@ -225,9 +247,12 @@ class Chunk:
 
     def row(self, number: int) -> pa.RecordBatch:
         doc, pairs = (np.concatenate(x) for x in zip(*self.links, strict=True))
-        pairs, place, n = np.unique(pairs, return_inverse=True, return_counts=True)
-        keys, times = np.unique(doc * max(len(pairs), 1) + place, return_counts=True)
-        doc, place = np.divmod(keys, max(len(pairs), 1))
+        place, pairs = pd.factorize(pairs, sort=True)
+        n = np.bincount(place, minlength=len(pairs))
+        each, keys = pd.factorize(doc * max(len(pairs), 1) + place)
+        order = np.argsort(keys)
+        times = np.bincount(each, minlength=len(keys))[order]
+        doc, place = np.divmod(keys[order], max(len(pairs), 1))
         packer = zstandard.ZstdCompressor(level=3)
         packed = [packer.compress(np.diff(x, prepend=0).astype("<i4").tobytes()) for x in (place, times)]
         counts = [np.concatenate(c) for c in zip(*self.counts, strict=True)]
