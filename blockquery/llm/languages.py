@@ -52,6 +52,9 @@ SAMPLE = 500
 FAMILY_SAMPLE = 4000
 """Texts of all languages together that a family is told from the rest by, at most."""
 
+PARTS = 64
+"""Parts of a language of which the smallest hashes are taken separately."""
+
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 PIECE = 1 << 20
@@ -221,14 +224,18 @@ SPARSE = "lang string, n int, marks binary, roots binary"
 
 
 def _sample(docs: DataFrame, n: int) -> DataFrame:
-    """Of each language ``n`` distinct texts of smallest hash, numbered; rows that cannot be among them go where they are read."""
+    """Of each language ``n`` distinct texts of smallest hash, numbered.
+
+    Hashes are chosen without their texts, of parts of a language first, so no task sorts a whole language; texts are
+    then picked where they are read. There are ``n`` choices a language, and the model grows with the languages too.
+    """
     place = F.xxhash64("text").bitwiseAND((1 << 53) - 1).alias("place")
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", place).filter(F.col("text").rlike(r"\p{L}"))
-    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("place").alias("texts"))
-    low = labelled.join(sizes, "lang").filter(F.col("place") < F.lit(float((1 << 53) * (2 * n + 200))) / F.col("texts"))
-    each = low.groupBy("lang", "place").agg(F.min("text").alias("text"))
-    numbered = each.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("place")))
-    return numbered.filter(F.col("n") <= n).select("lang", "n", "text")
+    chosen = labelled.select(F.col("lang").alias("of"), F.col("place").alias("at")).distinct().withColumn("part", F.col("at") % PARTS)
+    for by in (["of", "part"], ["of"]):
+        chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("at"))).filter(F.col("n") <= n)
+    picked = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (F.col("place") == F.col("at")))
+    return picked.groupBy("lang", "n").agg(F.min("text").alias("text"))
 
 
 def _sparse(sample: DataFrame) -> DataFrame:
