@@ -55,12 +55,17 @@ def sort_by(df: DataFrame, keys: str | Iterable[str | Column], spread_ties: bool
     that cannot be hashed, such as maps, are left out of it.
     """
     order = [sort_column(k) for k in split_sorts(keys)]
-    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
-    if spread_ties and hashed and len(set(df.columns)) == len(df.columns):
-        order.append(F.xxhash64(*hashed))
+    if spread_ties and len(set(df.columns)) == len(df.columns):
+        order.append(row_hash(df))
     return df.orderBy(*order)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of each row: of all columns that can be hashed and whose name is theirs alone."""
+    names = [c.lower() for c in df.columns]
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType) and names.count(f.name.lower()) == 1])
+
+
 def _hashable(kind: DataType) -> bool:
     if isinstance(kind, ArrayType):
         return _hashable(kind.elementType)

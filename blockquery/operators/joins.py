@@ -10,8 +10,11 @@ the preserved side of outer joins. What it cannot split is written differently h
   join, of which both sides are split, and unmatched ones from an anti join against distinct values.
 
 The second form reads its inputs twice. In a chain of such joins the result so far is written once to shared
-storage, so scans grow by a constant per join. A condition without an equality compares all rows with all
-rows; it is accepted only if a side that Spark can broadcast is known to be small.
+storage, so scans grow by a constant per join.
+
+Whether a condition has an equality over both sides is what Spark finds in the analysed join. Without one, Spark
+compares all rows with all rows; that is accepted if a side it can broadcast is known to be small. Else
+a condition that bounds one side by the other from above and from below goes to ``range_join``, and any other is refused.
 """
 
 from __future__ import annotations
@@ -20,16 +23,16 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockquery.functions.names import join_type
+from blockquery.operators.ranges import Reach, range_join
 from blockquery.sources.checkpoints import reliable
 
 _NAME = re.compile(
     r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|((?:(?:`[^`]+`|[A-Za-z_]\w*)\s*\.\s*)*)(`[^`]+`|[A-Za-z_]\w*)(?!\s*\()"""
 )  # texts in quotes (no group), or a name (group 2) with its qualifiers (group 1)
-_EQUALITY = re.compile(r"^(?P<a>[^=<>!]+)(?:=|==|<=>)(?P<b>[^=<>!]+)$", re.DOTALL)
 _SPLIT = "_blockquery_split"
 
 Aliases = tuple[Sequence[str], Sequence[str]]
@@ -64,15 +67,21 @@ def join_on(
     """Join two aliased DataFrames on condition text. ``aliases`` are the names that qualify columns of either side."""
     how = join_type(how)
     on = F.expr(condition)
-    if not has_equality(condition):
-        _guard(left, right, condition, how)
+    equality, reaches = _judged(left, right, on)
+    if not equality and not _may_broadcast(left, right, how):
+        if reaches is None:
+            raise ValueError(
+                f"the condition {condition!r} of a {how} join has no equality, and no side that could be broadcast is known "
+                "to be below spark.sql.autoBroadcastJoinThreshold: add an equality, or bound one side by the other from above and from below"
+            )
+        return range_join(left, right, on, *reaches, "inner" if how == "cross" else how)
     of_left, of_right = aliases or (None, None)
     if how == "cross":  # a condition is always present, so this is an inner join to the optimizer
         return left.crossJoin(right).filter(on)
     if how in ("left_semi", "left_anti"):
         return left.join(_values_read(right, condition, of_right), on, how)
     small = {"left": is_small(right) and not hot_right, "right": is_small(left)}
-    if how == "inner" or small.get(how, False) or not has_equality(condition):
+    if how == "inner" or small.get(how, False) or not equality:
         return left.join(right, on, how)
     if getattr(left, _SPLIT, False):
         left = reliable(left)
@@ -90,14 +99,45 @@ def join_on(
     return out
 
 
-def has_equality(condition: str) -> bool:
-    """Whether one of the ANDed parts equates two expressions that both read columns."""
-    parts = re.split(r"\band\b", re.sub(r"'[^']*'|\"[^\"]*\"", "''", condition), flags=re.IGNORECASE)
-    for part in parts:
-        match = _EQUALITY.match(part.strip().strip("()"))
-        if match and all(any(m[2] for m in _NAME.finditer(match[side])) for side in "ab"):
-            return True
-    return False
+def _judged(left: DataFrame, right: DataFrame, on: Column) -> tuple[bool, tuple[Reach, Reach] | None]:
+    """Whether the analysed join has an equality over both sides, and the reaches of its sides if it is a range."""
+    node = left.join(right, on, "inner")._jdf.queryExecution().analyzed()
+    keys = left.sparkSession._jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys
+    if keys.unapply(node).isDefined():
+        return True, None
+    below = above = None  # (expression of the left side, of the right side) where left <= right, and where left >= right
+    for low, high in _rising(node.condition().get()):
+        sides = _side_of(low, node), _side_of(high, node)
+        if sides == ("l", "r"):
+            below = below or (low.sql(), high.sql())
+        elif sides == ("r", "l"):
+            above = above or (high.sql(), low.sql())
+    if below is None or above is None:
+        return False, None
+    return False, (Reach(below[0], above[0]), Reach(below[1], above[1]))
+
+
+def _rising(expression) -> list[tuple]:
+    """Pairs of expressions of which the first is not above the second, of all ANDed parts that say so."""
+    kind = expression.getClass().getSimpleName()
+    if kind == "And":
+        return _rising(expression.left()) + _rising(expression.right())
+    if kind == "Between":
+        value, lower, upper = map(expression.parameters().apply, range(3))
+        return [(lower, value), (value, upper)]
+    if kind in ("LessThan", "LessThanOrEqual"):
+        return [(expression.left(), expression.right())]
+    if kind in ("GreaterThan", "GreaterThanOrEqual"):
+        return [(expression.right(), expression.left())]
+    return []
+
+
+def _side_of(expression, node) -> str | None:
+    """The side that an expression reads, if it reads one and only that."""
+    read = expression.references()
+    if read.isEmpty() or not expression.deterministic():
+        return None
+    return next((s for s, child in (("l", node.left()), ("r", node.right())) if read.subsetOf(child.outputSet())), None)
 
 
 def is_small(df: DataFrame) -> bool:
@@ -107,13 +147,9 @@ def is_small(df: DataFrame) -> bool:
     return int(str(size)) <= conf.autoBroadcastJoinThreshold()
 
 
-def _guard(left: DataFrame, right: DataFrame, condition: str, how: str) -> None:
+def _may_broadcast(left: DataFrame, right: DataFrame, how: str) -> bool:
     sides = {"left": [right], "left_semi": [right], "left_anti": [right], "right": [left], "full": []}.get(how, [left, right])
-    if not any(map(is_small, sides)):
-        raise ValueError(
-            f"the condition {condition!r} of a {how} join has no equality, and no side that could be broadcast is known "
-            "to be below spark.sql.autoBroadcastJoinThreshold: add an equality, for example on a bucket of the compared values"
-        )
+    return any(map(is_small, sides))
 
 
 def _values_read(df: DataFrame, condition: str, aliases: Sequence[str] | None) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from blockquery.functions.names import reversed_sort, sort_column, sort_name
+from blockquery.operators.clauses import row_hash
 from blockquery.sources.checkpoints import reliable
 
 HOT_ROWS = 2_000_000
@@ -46,12 +47,11 @@ _TOTAL = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key.
 
-    Rows of a key are spread by hash and each part is cut to ``n`` first, so a hot key is sorted by many tasks
+    Rows of a key are spread by a hash of the whole row, also where they tie, and each part is cut to ``n`` first, so a hot key is sorted by many tasks
     and its last one gets at most ``SPREAD`` times ``n`` rows.
     """
     sorts = [sort_column(o) for o in order]
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c in {sort_name(o) for o in order if isinstance(o, str)}] or [F.rand()]), F.lit(SPREAD))
-    parts = df.withColumn("_part", spread)
+    parts = df.withColumn("_part", F.pmod(row_hash(df), F.lit(SPREAD)))
     for by in ([*keys, "_part"], keys):
         parts = parts.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*sorts))).filter(F.col("_n") <= n).drop("_n")
     return parts.drop("_part")

@@ -17,6 +17,7 @@ from blockquery.scripts.patterns import (
     QUOTED,
     Patterns,
 )
+from blockquery.scripts.nested_sql import nested_sql_text
 from blockquery.scripts.sql_text import AGGREGATE, PLAIN_NAME, SORT_KEY, sql_text
 from blockquery.sources.script_files import rejects
 from blockquery.sources.tables import parquet_tables
@@ -288,3 +289,49 @@ WHERE f.role = 'from' AND j.role = 'join' GROUP BY f.tbl, j.tbl"""
 )
 def script_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.join_pairs(facts.chains(corpus(spark, sf_dir)))
+
+
+# What each chain of SCRIPT says, written out by hand: none of the library's patterns takes part.
+NESTED = {
+    "a": (1, """concat('SELECT x, y FROM `t', c_nationkey, '` WHERE (x >= ', c_custkey, ') AND (y <> ', chr(39), 'http://', c_mktsegment, chr(39), ')')"""),
+    "b": (
+        1,
+        """concat('SELECT date, kind, sum(amount) AS total, count(*) AS n, max(`net price`) FROM `sales` ',
+ CASE WHEN c_custkey % 2 = 0 THEN 'LEFT OUTER' ELSE 'INNER' END, ' JOIN `customers` ON sales.customer_id = customers.id',
+ ' INNER JOIN `regions` ON customers.region = regions.id GROUP BY date, kind HAVING n > 1 OR total > 5 ORDER BY total DESC, n ASC LIMIT ', c_nationkey + 1)""",
+    ),
+    "c": (1, "concat('SELECT DISTINCT ', lower(c_mktsegment), '.id, `ship via port` AS label FROM `', lower(c_mktsegment), '` ORDER BY id DESC')"),
+    "d": (
+        2,
+        "concat('SELECT k, v FROM (SELECT *, (v + (k * 2)) * 2 AS twice FROM `c` WHERE (k = 1 OR k = 2) AND (v < ', cast(c_acctbal AS varchar(20)), ')) AS `c`')",
+    ),
+    "e": (1, "'SELECT x, y, count(*) AS count FROM `a` GROUP BY x, y'"),
+    "h": (
+        "CASE WHEN c_nationkey = 7 THEN 2 ELSE 1 END",
+        """CASE WHEN c_nationkey = 7 THEN 'SELECT * FROM (SELECT *, x * 2 AS w7 FROM `a` WHERE x > 1) AS `a` WHERE w7 > 3'
+ ELSE concat('SELECT *, x * 2 AS w', c_nationkey, ' FROM `a` WHERE (x > 1) AND (w7 > 3)') END""",
+    ),
+    "p": (
+        "CASE WHEN c_custkey % 8 IN (4, 7) THEN 1 ELSE 2 END",
+        """CASE c_custkey % 8 WHEN 0 THEN 'SELECT a FROM (SELECT DISTINCT a, b FROM `t`) AS `t`'
+ WHEN 1 THEN 'SELECT * EXCEPT (a), a % 2 AS a FROM (SELECT DISTINCT a FROM `t`) AS `t`'
+ WHEN 2 THEN 'SELECT *, a * 2 AS c FROM (SELECT a + 1 AS a, b FROM `t`) AS `t`'
+ WHEN 3 THEN 'SELECT * EXCEPT (a), a * 2 AS a FROM (SELECT a + 1 AS a FROM `t`) AS `t`'
+ WHEN 4 THEN 'SELECT * EXCEPT (a), a + 1 AS a FROM `t` ORDER BY b, c'
+ WHEN 5 THEN concat('SELECT * FROM (SELECT * FROM `t` WHERE a > 1) AS `t` ', CASE WHEN c_nationkey < 12 THEN 'FULL' ELSE 'RIGHT' END, ' OUTER JOIN `u` ON t.a = u.a')
+ WHEN 6 THEN 'SELECT k, count(*) AS count FROM (SELECT * FROM `t` ORDER BY x) AS `t` GROUP BY k'
+ ELSE 'SELECT DISTINCT k, v, v * 2 AS twice FROM `t`' END""",
+    ),
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT c_custkey AS script_id, '{variable}' AS variable, CAST({blocks} AS INTEGER) AS blocks, {text} AS sql_text FROM customer"
+        for variable, (blocks, text) in NESTED.items()
+    )
+)
+def script_sql_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chain that can be read has text, in as many blocks as the order of its calls needs."""
+    found = nested_sql_text(facts.chains(corpus(spark, sf_dir)))
+    return found.filter("sql_text IS NOT NULL").select("script_id", "variable", "blocks", "sql_text")

@@ -361,6 +361,23 @@ def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "SELECT o_orderpriority, l_returnflag, count(*) AS pairs, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity"
+    " FROM lineitem JOIN orders ON lineitem.l_shipdate >= orders.o_orderdate AND lineitem.l_shipdate < orders.o_orderdate + INTERVAL 2 DAY"
+    " AND lineitem.l_extendedprice > orders.o_totalprice GROUP BY o_orderpriority, l_returnflag"
+)
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines shipped within two days of orders that cost less, of whatever order they are; both sides may be of any size."""
+    within = "lineitem.l_shipdate >= orders.o_orderdate AND lineitem.l_shipdate < orders.o_orderdate + INTERVAL 2 DAY"
+    return query_block(
+        parquet_tables(spark, sf_dir),
+        "lineitem",
+        joins=[Join("orders", f"{within} AND lineitem.l_extendedprice > orders.o_totalprice")],
+        group_by=["o_orderpriority", "l_returnflag"],
+        aggs={"pairs": "count(*)", "quantity": EXACT_SUM.format("l_quantity")},
+    )
+
+
 @query(
     "SELECT lineitem.l_orderkey, lineitem.l_linenumber, lineitem.l_partkey, orders.o_custkey FROM lineitem JOIN orders"
     " ON lineitem.l_orderkey = orders.o_orderkey AND lineitem.l_shipdate > orders.o_orderdate"

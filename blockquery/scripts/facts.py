@@ -130,14 +130,17 @@ def predicates(calls_df: DataFrame) -> DataFrame:
     return used.select("script_id", "chain_no", F.get(strings("step"), 0).alias("predicate"))
 
 
-def order_problem(ops: Column, quoted: Column) -> Column:
-    """Whether the order of calls means something that one query block cannot say."""
+def order_problem(ops: Column, quoted: Column, from_star: bool = False) -> Column:
+    """Whether the order of calls means something that one query block cannot say.
+
+    ``from_star`` tells that a block can take a column out of ``*`` that is derived from itself.
+    """
     text = F.concat(F.lit(" "), F.array_join(ops, " "), F.lit(" "))
     ungrouped = F.regexp_replace(text, GROUPED_CALLS, " ").rlike(LOOSE_GROUPING)
-    return text.rlike(ORDER_CHANGES_MEANING) | ungrouped | _names_clash(ops, quoted) | _filter_before_outer_join(ops, quoted)
+    return text.rlike(ORDER_CHANGES_MEANING) | ungrouped | _names_clash(ops, quoted, from_star) | _filter_before_outer_join(ops, quoted)
 
 
-def _names_clash(ops: Column, quoted: Column) -> Column:
+def _names_clash(ops: Column, quoted: Column, from_star: bool) -> Column:
     """Whether the names that calls make get in the way of each other, in a chain without groups.
 
     A later filter, join or derived column reads or makes such a name again (WHERE, ON and the select list do
@@ -158,19 +161,25 @@ def _names_clash(ops: Column, quoted: Column) -> Column:
         derived = F.filter(F.transform(F.slice(quoted, 1, i), lambda q, k: F.when(F.get(ops, k) == "withColumn", F.get(q, 0))), lambda n: n.isNotNull())
         return (F.get(ops, i) == "select") & (F.size(F.array_except(derived, names(strings_of))) > 0)
 
-    def from_itself(strings_of: Column, i: Column) -> Column:
-        sources = F.split(F.array_join(F.slice(strings_of, 2, F.greatest(F.size(strings_of) - 1, F.lit(0))), " "), r"\W+")
-        return (F.get(ops, i) == "withColumn") & F.array_contains(sources, F.get(strings_of, 0))
-
     made = F.transform(quoted, new_name)
     clashes = F.transform(F.transform(quoted, words), lambda w, i: F.arrays_overlap(w, F.slice(made, 1, i)))
     left_out = F.array_contains(F.transform(quoted, derived_and_left_out), True)
-    doubled = F.array_contains(F.transform(quoted, from_itself), True) & ~F.array_contains(ops, "select")
+    doubled = F.exists(from_themselves(ops, quoted), lambda n: n.isNotNull()) & ~F.array_contains(ops, "select") & F.lit(not from_star)
     renamed = F.array_contains(ops, "withColumn") | F.array_contains(ops, "withColumnRenamed")
     any_ = F.array_contains(clashes, True).eqNullSafe(True) | left_out.eqNullSafe(True) | doubled.eqNullSafe(True)
     return F.when(renamed & ~F.array_contains(ops, "groupBy"), any_).otherwise(False).eqNullSafe(True)
 
 
+def from_themselves(ops: Column, quoted: Column) -> Column:
+    """The name that each call derives a column of from that column itself, or NULL."""
+
+    def name(strings_of: Column, i: Column) -> Column:
+        sources = F.split(F.array_join(F.slice(strings_of, 2, F.greatest(F.size(strings_of) - 1, F.lit(0))), " "), r"\W+")
+        return F.when((F.get(ops, i) == "withColumn") & F.array_contains(sources, F.get(strings_of, 0)), F.get(strings_of, 0))
+
+    return F.transform(quoted, name)
+
+
 def _filter_before_outer_join(ops: Column, quoted: Column) -> Column:
     """Whether a right or full join comes after a filter: WHERE would also take the rows it keeps from its right side."""
 

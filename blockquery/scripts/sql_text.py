@@ -30,8 +30,8 @@ def sql_text(chains_df: DataFrame, namespace: str | None = None, base: str | Non
     expressible = F.col("whole") & ~order_problem(F.col("ops"), F.col("quoted")) & readable
     judged = read.withColumn("expressible", expressible)  # a column of its own, or it is computed for each of the next ones
     kept = judged.withColumns({n: F.when(F.col("expressible"), F.col(n)) for n in ("steps", "ops", "quoted")})
-    items = kept.withColumns(_parts(namespace, base)).withColumn("items", _output_items()).withColumn("items", _renamed_items())
-    return items.select("script_id", "chain_no", _sql())
+    items = kept.withColumns(parts(namespace, base)).withColumn("items", output_items()).withColumn("items", renamed_items())
+    return items.select("script_id", "chain_no", sql())
 
 
 # Of a chain: ``steps`` are the texts of its calls, ``ops`` their names, ``quoted`` their quoted strings.
@@ -65,13 +65,13 @@ def _last_part(name: Column) -> Column:
     return F.regexp_extract(name, r"([^.]*)$", 1)
 
 
-def _item(text: Column, natural: Column, name: Column) -> Column:
+def item(text: Column, natural: Column, name: Column) -> Column:
     """A select item: its text, the name it has by itself, and the name it shall have."""
     return F.struct(text.alias("text"), natural.alias("natural"), name.alias("name"))
 
 
 def _plain_item(name: Column) -> Column:
-    return _item(quote_if_needed(name), _last_part(name), _last_part(name))
+    return item(quote_if_needed(name), _last_part(name), _last_part(name))
 
 
 def _aggregate_item(text: Column) -> Column:
@@ -79,14 +79,14 @@ def _aggregate_item(text: Column) -> Column:
         F.regexp_extract(text, AGGREGATE, 1), F.lit("("), quote_if_needed(F.regexp_extract(text, AGGREGATE, 2)), F.lit(")")
     )
     alias = F.regexp_extract(text, AGGREGATE, 3)
-    return _item(call, call, F.when(alias == "", call).otherwise(alias))
+    return item(call, call, F.when(alias == "", call).otherwise(alias))
 
 
 def _derived_item(step: Column) -> Column:
     expression = F.trim(F.regexp_extract(step, r'"[^"\n]*"\s*,([\s\S]*)\)$', 1))
     for wrapper in (r'^expr\s*\(\s*"([^"\n]*)"\s*\)$', r'\bcol\s*\(\s*"([^"\n]*)"\s*\)', r"\blit\s*\(([^()]*)\)"):
         expression = F.regexp_replace(expression, wrapper, "$1")
-    return _item(expression, F.lit(None).cast("string"), F.get(strings(step), 0))
+    return item(expression, F.lit(None).cast("string"), F.get(strings(step), 0))
 
 
 def _sort_item(text: Column) -> Column:
@@ -96,25 +96,29 @@ def _sort_item(text: Column) -> Column:
     return F.concat_ws(" ", quote_if_needed(F.trim(packed)), F.nullif(F.upper(direction), F.lit("")))
 
 
-def _table(name: Column, namespace: str | None) -> Column:
+def table_text(name: Column, namespace: str | None) -> Column:
     return _back_ticked(F.concat(F.lit(f"{namespace}."), name) if namespace else name)
 
 
-def _parts(namespace: str | None, base: str | None) -> dict[str, Column]:
+def base_table(base: str | None) -> Column:
+    """The table that a chain reads, else the qualifier of its first selected column, else ``base``, else its variable."""
+    qualifier = F.nullif(F.regexp_extract(F.get(_first("quoted", "select"), 0), r"^([^.,]*)\.", 1), F.lit(""))
+    return F.coalesce(F.get(_first("quoted", "table"), 0), qualifier, F.lit(base), F.col("root"))
+
+
+def parts(namespace: str | None, base: str | None) -> dict[str, Column]:
     """What each call of a chain contributes, as arrays of texts or items."""
     grouped_at = F.array_position("ops", "groupBy")
     filters = _each("quoted", ["filter", "where"], lambda q: F.trim(F.get(q, 0)), "string")
     ungrouped_ops = F.when(grouped_at > 0, F.slice("ops", 1, F.greatest(grouped_at, F.lit(1)))).otherwise(F.col("ops"))
     before = F.size(F.filter(ungrouped_ops, lambda op: op.isin("filter", "where")))
     early, late = F.slice(filters, 1, before), F.slice(filters, before + 1, F.size(filters))
-    qualifier = F.nullif(F.regexp_extract(F.get(_first("quoted", "select"), 0), r"^([^.,]*)\.", 1), F.lit(""))
-    table = F.coalesce(F.get(_first("quoted", "table"), 0), qualifier, F.lit(base), F.col("root"))
-    counted = _item(F.lit("count(*)"), F.lit(None).cast("string"), F.lit("count"))
+    counted = item(F.lit("count(*)"), F.lit(None).cast("string"), F.lit("count"))
     aggregates = F.transform(all_matches(_first("steps", "agg"), AGGREGATE), _aggregate_item)
     joins = _each("quoted", ["join"], lambda q: _join(q, namespace), "string")
     limits = _each("steps", ["limit"], lambda s: F.regexp_extract(s, r"(\d+)", 1).try_cast("bigint"), "bigint")
     return {
-        "tbl": F.when(F.col("steps").isNotNull(), _table(table, namespace)),
+        "tbl": F.when(F.col("steps").isNotNull(), table_text(base_table(base), namespace)),
         "selected": names(_last("quoted", "select")),
         "select_last": F.array_contains(F.slice("ops", F.greatest(grouped_at, F.lit(1)), F.size("ops")), "select"),
         "keys": names(_first("quoted", "groupBy")),
@@ -134,7 +138,7 @@ def _named(items: Column, name: Column) -> Column:
     return F.get(F.filter(items, lambda i: i["name"] == name), 0)
 
 
-def _output_items() -> Column:
+def output_items() -> Column:
     """Select items of a chain: keys and aggregates, or the selected columns; derived columns join them."""
     grouped = F.concat(F.transform("keys", _plain_item), F.col("aggregates"))
     picked = F.transform("selected", lambda n: F.coalesce(_named(grouped, n), _plain_item(n)))
@@ -146,24 +150,24 @@ def _output_items() -> Column:
 
 def _join(parts: Column, namespace: str | None) -> Column:
     return F.concat(
-        join_keyword(F.get(parts, 2)), F.lit(" JOIN "), _table(F.get(parts, 0), namespace), F.lit(" ON "), F.get(parts, 1)
+        join_keyword(F.get(parts, 2)), F.lit(" JOIN "), table_text(F.get(parts, 0), namespace), F.lit(" ON "), F.get(parts, 1)
     )
 
 
-def _renamed_items() -> Column:
+def renamed_items() -> Column:
     """A rename replaces the name of the item that has it, also inside ``*``; else it changes nothing."""
 
     def rename(items: Column, pair: Column) -> Column:
         old, new = F.get(pair, 0), F.get(pair, 1)
         in_star = F.exists(items, lambda i: i["name"] == "*") & ~F.exists(items, lambda i: i["name"] == old)
-        listed = F.transform(items, lambda i: F.when(i["name"] == old, _item(i["text"], i["natural"], new)).otherwise(i))
-        cut = F.transform(items, lambda i: F.when(i["name"] == "*", _item(_without(i["text"], old), F.lit("*"), F.lit("*"))).otherwise(i))
-        return F.when(in_star, F.concat(cut, F.array(_item(quote_if_needed(old), old, new)))).otherwise(listed)
+        listed = F.transform(items, lambda i: F.when(i["name"] == old, item(i["text"], i["natural"], new)).otherwise(i))
+        cut = F.transform(items, lambda i: F.when(i["name"] == "*", item(without(i["text"], old), F.lit("*"), F.lit("*"))).otherwise(i))
+        return F.when(in_star, F.concat(cut, F.array(item(quote_if_needed(old), old, new)))).otherwise(listed)
 
     return F.when(F.size("renames") > 0, F.aggregate("renames", F.col("items"), rename)).otherwise(F.col("items"))
 
 
-def _without(star: Column, name: Column) -> Column:
+def without(star: Column, name: Column) -> Column:
     """``*`` or ``* EXCEPT (...)`` with one more column left out."""
     more = F.concat(F.regexp_replace(star, r"\)$", ", "), quote_if_needed(name), F.lit(")"))
     return F.when(star == "*", F.concat(F.lit("* EXCEPT ("), quote_if_needed(name), F.lit(")"))).otherwise(more)
@@ -183,7 +187,7 @@ def _listed(array: Column) -> Column:
     return F.when(F.size(array) > 0, F.array_join(array, ", "))
 
 
-def _sql() -> Column:
+def sql() -> Column:
     items = F.transform(
         "items",
         lambda i: F.when(i["natural"].eqNullSafe(i["name"]), i["text"]).otherwise(
