@@ -39,10 +39,10 @@ PACKED = f"{PIECES}, sequence_id long, offset long, fill long, certified boolean
 
 
 @cache
-def _tokenizer(path: str) -> Tokenizer:
+def _tokenizer(path: str, plain: bool) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = plain  # strings of added tokens in a text are then ordinary text
     return tokenizer
 
 
@@ -57,18 +57,28 @@ def _stem(word: bytes) -> tuple[bytes, bytes]:
     """
     low = word.lower()
     stem = low.rstrip(STOPS)
-    if stem and len(stem) < len(low) and (stem[-1] < 128 and stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].isalpha()):
+    # a letter whose lower case ends in a mark, as that of U+0130 does, is joined with what follows
+    if stem and len(stem) < len(low) and (stem[-1] < 128 and stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].lower()[-1].isalpha()):
         return stem, low[len(stem) :]
     return low, b""
 
 
 class WordIds:
-    """Token ids of texts by way of their distinct words; tokens never cross white space."""
+    """Token ids of texts by way of their distinct words; tokens never cross white space.
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+    With ``plain``, strings of added tokens in a text are ordinary text; else they are those tokens, in their own case only.
+    """
+
+    def __init__(self, path: str, plain: bool = True):
+        self.tokenizer = _tokenizer(path, plain)
+        self.added = () if plain else tuple(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.clear()
 
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        if self.added and any(a in word.lower() for a in self.added):
+            return word, b""
+        return _stem(word) if word[-1] in STOPS else (word.lower(), b"")
+
     def clear(self) -> None:
         self.places: dict[bytes, int] = {}
         self.stems: dict[bytes, list[int]] = {b"": []}
@@ -82,7 +92,7 @@ class WordIds:
         fresh = list(set().union(*words_of).difference(self.places))
         if fresh:
             self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh)), strict=True))
-            parts = [_stem(w) if w[-1] in STOPS else (w.lower(), b"") for w in fresh]
+            parts = [self._parts(w) for w in fresh]
             new = list(set(chain.from_iterable(parts)).difference(self.stems))
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
             self.stems.update(zip(new, [c.ids for c in coded], strict=True))
@@ -102,11 +112,12 @@ class WordIds:
 def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each text's ids and ``end_id``, cut only if longer than ``size``.
 
-    NULL and empty texts are one piece of ``end_id``. Repeated rows and NULL ids give pieces of their own.
+    Ids are those of the library's defaults without special tokens around a text; the string of an added token in a
+    text is that token. NULL and empty texts are one piece of ``end_id``. Repeated rows and NULL ids give pieces of their own.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = WordIds(path, plain=False)
         for batch in batches_of(batches, 4 << 20, "text"):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.ids(texts_of(batch.column(1))), strict=True):
