@@ -350,13 +350,14 @@ def shared_ranges(docs: DataFrame) -> DataFrame:
     copies = steps.keep(texts.join(first, ["t1", "t2", "n"]).filter(F.col("doc_id") > F.col("first")).select("key", "n").distinct())
     blocks = named.select("doc_id", "key", "text").mapInArrow(_blocks(_labels(spark, parts)), BLOCK)
     places = steps.keep(blocks.repartition(parts, "bucket").mapInArrow(_shared, "key long, pos binary, span binary"))
-    at = places.groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("span").alias("span"))
-    at = at.join(copies, "key", "left_anti")  # after grouping: a row for each text, not for each text and bucket
+    # written, or the join would go below the grouping, to rows by text and bucket
+    grouped = steps.keep(places.groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("span").alias("span")))
+    at = grouped.join(copies, "key", "left_anti")
     cut = named.join(at, "key").select("doc_id", "key", "text", "pos", "span")
     cut = cut.mapInArrow(_segments, "doc_id long, key long, start int, left int, segment binary")
     cut = cut.withColumns({"k1": F.xxhash64("segment"), "k2": F.xxhash64(F.lit(50), "segment")})
     cut = steps.keep(cut)
-    steps.drop(places, texts)
+    steps.drop(places, texts, grouped)
     distinct = cut.groupBy("k1", "k2", "segment", "left").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     distinct = steps.keep(distinct.withColumn("anchor", F.xxhash64(F.expr(f"substring(segment, left + 1, {ANCHOR})"))))
     hot = steps.keep(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"))
