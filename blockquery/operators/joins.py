@@ -13,8 +13,8 @@ The second form reads its inputs twice. In a chain of such joins the result so f
 storage, so scans grow by a constant per join.
 
 Whether a condition has an equality over both sides is what Spark finds in the analysed join. Without one, Spark
-compares all rows with all rows; that is accepted if a side it can broadcast is known to be small. Else
-a condition that bounds one side by the other from above and from below goes to ``range_join``, and any other is refused.
+compares all rows with all rows. A condition that bounds one side by the other from above and from below goes to ``range_join``
+instead, unless a side is tiny; any other is accepted only if a side that Spark can broadcast is known to be small.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ _NAME = re.compile(
 )  # texts in quotes (no group), or a name (group 2) with its qualifiers (group 1)
 _SPLIT = "_blockquery_split"
 
+TINY = 10_000
+"""Bytes of a side with which all rows of the other are compared although the condition is a range."""
+
 Aliases = tuple[Sequence[str], Sequence[str]]
 
 
@@ -68,7 +71,7 @@ def join_on(
     how = join_type(how)
     on = F.expr(condition)
     equality, reaches = _judged(left, right, on)
-    if not equality and not _may_broadcast(left, right, how):
+    if not equality and not _may_broadcast(left, right, how, None if reaches is None else TINY):
         if reaches is None:
             raise ValueError(
                 f"the condition {condition!r} of a {how} join has no equality, and no side that could be broadcast is known "
@@ -140,16 +143,17 @@ def _side_of(expression, node) -> str | None:
     return next((s for s, child in (("l", node.left()), ("r", node.right())) if read.subsetOf(child.outputSet())), None)
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether Spark knows the size of a plan to be within its broadcast threshold."""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether Spark knows the size of a plan to be within its broadcast threshold, and within ``limit`` bytes."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= conf.autoBroadcastJoinThreshold()
+    return int(str(size)) <= (threshold if limit is None else min(threshold, limit))
 
 
-def _may_broadcast(left: DataFrame, right: DataFrame, how: str) -> bool:
+def _may_broadcast(left: DataFrame, right: DataFrame, how: str, limit: int | None) -> bool:
+    """Whether a side that Spark could broadcast is known to be within its threshold, and within ``limit`` bytes."""
     sides = {"left": [right], "left_semi": [right], "left_anti": [right], "right": [left], "full": []}.get(how, [left, right])
-    return any(map(is_small, sides))
+    return any(is_small(side, limit) for side in sides)
 
 
 def _values_read(df: DataFrame, condition: str, aliases: Sequence[str] | None) -> DataFrame:

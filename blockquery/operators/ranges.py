@@ -2,10 +2,11 @@
 
 A row of either side reaches from a low to a high value, and two rows can only match if their reaches meet: a
 condition with one "not above" and one "not below" between the sides has that form. Both
-sides are cut at common boundaries, the quantiles of all low values, so a bucket holds about as many rows as
-any other however the values are spread. A row is copied into the buckets that it reaches and no others, the
-join runs on the bucket as an equality, and the condition itself is checked on every pair that meets. A pair that
-shares several buckets is taken in the one where the later of its two low values lies.
+sides are cut at common boundaries, the quantiles of all low values, and between two of them evenly, so
+a bucket holds about ``BUCKET`` rows however many there are and however their values are spread. A row is copied
+into the buckets that it reaches and no others, the join runs on the bucket as an equality, and the
+condition itself is checked on every pair that meets. A pair that shares several buckets is taken in the one where the
+later of its two low values lies.
 
 A bucket that stays crowded, because one value holds a large share of the rows, is cut into a grid: each
 row goes to one part of its own side by hash, and is copied to all parts of the other one. So no task
@@ -26,11 +27,11 @@ from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType,
 from blockquery.operators.clauses import row_hash
 from blockquery.sources.checkpoints import reliable
 
-BUCKET = 20_000
-"""Rows that a bucket should hold."""
+BUCKET = 500
+"""Low values that a bucket should hold: a row is compared with about as many others."""
 
-MOST_BUCKETS = 1 << 14
-"""Buckets at most. Beyond that they hold more rows, and are cut into parts."""
+QUANTILES = 4096
+"""Boundaries at most; beyond that, each stretch between two of them is cut evenly."""
 
 PART = 200_000
 """Rows of one side of a bucket that meet in one task."""
@@ -114,16 +115,41 @@ def _placed(df: DataFrame, reach: Reach, side: str) -> DataFrame:
     return known.withColumns({f"_{side}_low": F.least(*ends), f"_{side}_high": F.greatest(*ends)})
 
 
-def _boundaries(sides: list[DataFrame]) -> list[float]:
-    """Quantiles of the low values of both sides, each once."""
+@dataclass(frozen=True)
+class Buckets:
+    """Rising boundaries, the first of which is the least value, and the number of buckets from one to the next."""
+
+    bounds: list[float]
+    even: int
+
+    def of(self, value: Column) -> Column:
+        """The bucket of a value; it never falls when the value rises."""
+        if not self.bounds:
+            return F.lit(0).cast("long")
+        at = F.greatest(bucket_of(value, self.bounds) - 1, F.lit(0))
+        if self.even == 1:
+            return at.cast("long")
+        widths = [self.even / (b - a) if b - a > 0 else 0.0 for a, b in zip(self.bounds, self.bounds[1:])] + [0.0]
+        inside = F.floor((value - F.get(_numbers(self.bounds), at)) * F.get(_numbers(widths), at))
+        return at.cast("long") * self.even + F.greatest(F.least(inside.cast("long"), F.lit(self.even - 1)), F.lit(0))
+
+
+def _boundaries(sides: list[DataFrame]) -> Buckets:
+    """Quantiles of the low values of both sides, each once, between the least and the largest."""
     lows = sides[0].select(F.col("_l_low").alias("low")).union(sides[1].select(F.col("_r_low").alias("low")))
-    rows = lows.count()
-    buckets = min(MOST_BUCKETS, -(-rows // BUCKET))
-    if buckets < 2:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
-    found = lows.agg(F.percentile_approx("low", shares, max(10_000, 4 * buckets)).alias("b")).first()["b"]
-    return sorted(set(found))
+    rows, least, most = lows.filter("NOT isnan(low)").agg(F.count("*"), F.min("low"), F.max("low")).first()
+    wanted = -(-rows // BUCKET)
+    if wanted < 2 or least == most:
+        return Buckets([], 1)
+    quantiles = min(QUANTILES, wanted)
+    shares = [i / quantiles for i in range(1, quantiles)]
+    found = lows.agg(F.percentile_approx("low", shares, 4 * QUANTILES).alias("b")).first()["b"]
+    return Buckets(sorted({least, most, *found} - {float("inf"), float("-inf")} | {least}), -(-wanted // quantiles))
+
+
+def _numbers(values: list[float]) -> Column:
+    """An array as one literal, also of many thousand numbers."""
+    return F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>")
 
 
 def bucket_of(value: Column, bounds: list[float]) -> Column:
@@ -131,29 +157,27 @@ def bucket_of(value: Column, bounds: list[float]) -> Column:
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    table = F.split(F.lit(" ".join(map(repr, bounds))), " ").cast("array<double>")  # one literal, also of many thousand
+    table = _numbers(bounds)
     # beyond the last boundary the table gives NULL, and the place stays
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at))
 
 
-def _cut(df: DataFrame, bounds: list[float], side: str) -> DataFrame:
+def _cut(df: DataFrame, bounds: Buckets, side: str) -> DataFrame:
     """Each row once for every bucket that it reaches."""
-    first, last = (bucket_of(F.col(f"_{side}_{end}"), bounds) for end in ("low", "high"))
+    first, last = (bounds.of(F.col(f"_{side}_{end}")) for end in ("low", "high"))
     placed = df.withColumns({f"_{side}_first": first, f"_{side}_last": last}).drop(f"_{side}_low", f"_{side}_high")
     return placed.withColumn(f"_{side}_bucket", F.explode(F.sequence(f"_{side}_first", f"_{side}_last"))).drop(f"_{side}_last")
 
 
 def _grid(cut: list[DataFrame], part: int) -> DataFrame | None:
-    """Parts of each side of the buckets that need several; no more rows than there are buckets."""
+    """Parts of each side of the buckets that need several, or nothing."""
     counts = [
         side.groupBy(F.col(f"_{s}_bucket").alias("bucket")).agg(F.count("*").alias(f"n_{s}")) for side, s in zip(cut, "lr", strict=True)
     ]
     both = counts[0].join(counts[1], "bucket")  # a bucket without rows of one side has no pairs
     parts = both.select("bucket", *[F.ceil(F.col(f"n_{s}") / part).cast("int").alias(f"parts_{s}") for s in "lr"])
-    crowded = [tuple(r) for r in parts.filter("parts_l > 1 OR parts_r > 1").collect()]
-    if not crowded:
-        return None
-    return cut[0].sparkSession.createDataFrame(crowded, "bucket int, parts_l int, parts_r int")
+    crowded = reliable(parts.filter("parts_l > 1 OR parts_r > 1"))
+    return None if crowded.isEmpty() else crowded
 
 
 def _dealt(df: DataFrame, grid: DataFrame | None, side: str, other: str) -> DataFrame:
@@ -163,8 +187,7 @@ def _dealt(df: DataFrame, grid: DataFrame | None, side: str, other: str) -> Data
         names.reverse()
     if grid is None:
         return df.withColumns({n: F.lit(0) for n in names})
-    # no more rows than buckets, which are bounded
-    parts = F.broadcast(grid.withColumnsRenamed({c: f"_{side}_{c}" for c in ("parts_l", "parts_r")}))
+    parts = grid.withColumnsRenamed({c: f"_{side}_{c}" for c in ("parts_l", "parts_r")})
     joined = df.join(parts, F.col(f"_{side}_bucket") == F.col("bucket"), "left").drop("bucket")
     hashed = row_hash(df)
     mine, theirs = (F.coalesce(F.col(f"_{side}_parts_{s}"), F.lit(1)) for s in (side, other))

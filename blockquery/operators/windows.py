@@ -10,7 +10,7 @@ the chunk plus what the earlier chunks add up to, which is a window over one row
 Windows that look at a bounded number of neighbours run on blocks of consecutive positions, with the
 neighbouring rows copied into the block.
 
-Order columns should identify a row within its key; among ties the order is free, as in any window. Both ways
+``keys`` may be empty: the table is then one key. Order columns should identify a row within its key; among ties the order is free, as in any window. Both ways
 have the same types and the same values, but for running sums of doubles, whose last bits may differ with the
 order of additions.
 """
@@ -18,7 +18,7 @@ order of additions.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import reduce, wraps
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -35,13 +35,28 @@ HOT_ROWS = 2_000_000
 SPREAD = 128
 """Parts of one key that are cut to their first rows separately."""
 
+ALL = "_blockquery_all"
+"""The key of windows without keys: a column with one value."""
+
 _COMBINE: dict[str, Callable[[Column, Column], Column]] = {
     "sum": lambda a, b: F.coalesce(a + b, a, b),
     "count": lambda a, b: a + F.coalesce(b, F.lit(0)),
     "min": F.least,
     "max": F.greatest,
 }
-_TOTAL = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+TOTAL = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def _keyed(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``function`` also for no keys at all: the whole table is then one key, cut like any other hot one."""
+
+    @wraps(function)
+    def run(df: DataFrame, keys: Sequence[str], *args, **options) -> DataFrame:
+        if keys:
+            return function(df, keys, *args, **options)
+        return function(df.withColumn(ALL, F.lit(0)), [ALL], *args, **options).drop(ALL)
+
+    return run
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -57,6 +72,7 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -
     return parts.drop("_part")
 
 
+@_keyed
 def partition_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     """Aggregates of the whole partition beside each row: grouped first, then joined back on the key.
 
@@ -64,9 +80,10 @@ def partition_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Co
     small enough for Spark, else a join that adaptive execution splits on hot keys.
     """
     grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return _attach(df, grouped, keys)
+    return attach(df, grouped, keys)
 
 
+@_keyed
 def first_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: Mapping[str, str], last: Mapping[str, str]) -> DataFrame:
     """Values of the first and last row of each key, as ``{output: column}``.
 
@@ -81,10 +98,11 @@ def first_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], first:
         if ends:
             source = df.select(*keys, *{c: None for o in order if (c := sort_name(o)) not in keys}, *[F.col(c).alias(n) for n, c in ends.items()])
             at = source.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*sorts)))
-            df = _attach(df, at.filter(F.col("_n") == 1).select(*keys, *ends), keys)
+            df = attach(df, at.filter(F.col("_n") == 1).select(*keys, *ends), keys)
     return df
 
 
+@_keyed
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -100,11 +118,13 @@ def running(
     return _both(cold, hot, lambda part: _running(part, keys, order, columns), lambda h: _running_chunked(h, keys, order, columns))
 
 
+@_keyed
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot_rows: int | None = None) -> DataFrame:
     """Position of each row within its key, from 1."""
     return running(df, keys, order, {name: ("count", F.lit(1))}, hot_rows)
 
 
+@_keyed
 def ranks(
     df: DataFrame,
     keys: Sequence[str],
@@ -123,9 +143,10 @@ def ranks(
     counts = df.groupBy(*keys, *values).agg(F.count("*").alias("_rows"))
     upto = running(counts, keys, order, {"_upto": ("sum", "_rows"), dense_rank: ("count", F.lit(1))}, hot_rows)
     placed = upto.select(*keys, *values, (F.col("_upto") - F.col("_rows") + 1).alias(rank), dense_rank)
-    return _attach(df, placed, [*keys, *values])
+    return attach(df, placed, [*keys, *values])
 
 
+@_keyed
 def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int, name: str, hot_rows: int | None = None) -> DataFrame:
     """Number of the tile of each row when a key is cut into ``tiles`` parts as equal as possible."""
 
@@ -134,7 +155,7 @@ def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int,
 
     def hot_way(hot: Hot) -> DataFrame:
         placed = _running_chunked(hot, keys, order, {"_n": ("count", F.lit(1))})
-        sized = _attach(placed, hot.counts.withColumnRenamed("_rows", "_size"), keys)
+        sized = attach(placed, hot.counts.withColumnRenamed("_rows", "_size"), keys)
         small, large = F.expr(f"_size div {tiles}"), F.expr(f"_size % {tiles}")
         before, n = large * (small + 1), F.col("_n") - 1
         tile = F.when(n < before, F.floor(n / (small + 1)) + 1).otherwise(large + F.floor((n - before) / small) + 1)
@@ -143,6 +164,7 @@ def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int,
     return _both(*split_hot(df, keys, hot_rows), cold_way, hot_way)
 
 
+@_keyed
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -197,6 +219,8 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> tuple
     if not counted:
         return df, None
     counts = reliable(counts)
+    if list(keys) == [ALL]:
+        return df.filter(F.lit(False)), Hot(df, counts, keys, counted, total, hot_rows)
     other = _renamed(counts.select(*keys), keys)
     cold = df.join(other, _same(keys), "left_anti")
     return cold, Hot(df.join(other, _same(keys), "left_semi"), counts, keys, counted, total, hot_rows)
@@ -224,17 +248,18 @@ def _running_chunked(hot: Hot, keys: Sequence[str], order: Sequence[str], column
     within = _running(rows, parts, order, columns)
     sums = rows.groupBy(*parts).agg(*[getattr(F, fn)(value).alias(f"_{n}") for n, (fn, value) in columns.items()])
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = sums.select(*parts, *[_TOTAL[fn](f"_{n}").over(earlier).alias(f"_before_{n}") for n, (fn, _) in columns.items()])
-    joined = _attach(within, carried, parts)
+    carried = sums.select(*parts, *[TOTAL[fn](f"_{n}").over(earlier).alias(f"_before_{n}") for n, (fn, _) in columns.items()])
+    joined = attach(within, carried, parts)
     out = {n: _COMBINE[fn](F.col(n), F.col(f"_before_{n}")) for n, (fn, _) in columns.items()}
     return joined.withColumns(out).drop("_chunk", *[f"_before_{n}" for n in columns])
 
 
-def _attach(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with the columns that ``other`` holds once per key; NULL keys match each other."""
     added = [c for c in other.columns if c not in keys]
     side = _renamed(other, keys)
-    joined = df.join(side, _same(keys), "inner")
+    # one row where there are no keys
+    joined = df.crossJoin(F.broadcast(side)) if list(keys) == [ALL] else df.join(side, _same(keys), "inner")
     return joined.select(*[F.col(c) for c in df.columns], *added)
 
 

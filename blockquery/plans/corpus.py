@@ -19,6 +19,7 @@ from blockquery.scripts.patterns import (
 )
 from blockquery.scripts.nested_sql import nested_sql_text
 from blockquery.scripts.sql_text import AGGREGATE, PLAIN_NAME, SORT_KEY, sql_text
+from blockquery.scripts.variables import base_tables
 from blockquery.sources.script_files import rejects
 from blockquery.sources.tables import parquet_tables
 
@@ -240,6 +241,26 @@ def script_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.lineage(corpus_calls(spark, sf_dir))
 
 
+@query(
+    f"""{CALLS_SQL.replace("WITH s", "WITH RECURSIVE s", 1)}, edges AS ({LINEAGE_SQL}),
+linked AS (SELECT a.script_id, a.chain_no, a.variable, a.root, max(b.chain_no) AS def_no FROM assigned a LEFT JOIN assigned b
+ ON b.script_id = a.script_id AND b.variable = a.root AND b.chain_no < a.chain_no WHERE a.chain IS NOT NULL GROUP BY ALL),
+reading AS (SELECT DISTINCT script_id, chain_no, true AS reads FROM edges WHERE role = 'from'),
+parents AS (SELECT l.*, CASE WHEN reads IS NULL AND p.chain IS NOT NULL THEN def_no END AS parent, reads IS NULL AND p.chain IS NULL AS alone FROM linked l
+ LEFT JOIN reading USING (script_id, chain_no) LEFT JOIN assigned p ON p.script_id = l.script_id AND p.chain_no = l.def_no),
+qualified AS (SELECT script_id, chain_no, arg_min(nullif({_extract(_string_sql("step", 0), "^([^.,]*)[.]")}, ''), step_no) AS qualifier
+ FROM calls WHERE op = 'select' AND readable GROUP BY ALL),
+own AS (SELECT script_id, chain_no, tbl FROM edges UNION
+ SELECT script_id, chain_no, coalesce(qualifier, root) FROM parents LEFT JOIN qualified USING (script_id, chain_no) WHERE alone),
+reach AS (SELECT script_id, chain_no, variable, chain_no AS place FROM parents
+ UNION ALL SELECT r.script_id, r.chain_no, r.variable, p.parent FROM reach r JOIN parents p ON p.script_id = r.script_id AND p.chain_no = r.place WHERE p.parent IS NOT NULL)
+SELECT DISTINCT r.script_id, r.chain_no, r.variable, o.tbl FROM reach r JOIN own o ON o.script_id = r.script_id AND o.chain_no = r.place"""
+)
+def script_base_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables that each chain rests on, also through the variables it starts from."""
+    return base_tables(corpus(spark, sf_dir))
+
+
 @query(
     f"{CALLS_SQL} SELECT script_id, chain_no, op, unnest({_names_sql('step')}) AS name FROM calls"
     " WHERE op IN ('select', 'groupBy') AND readable"

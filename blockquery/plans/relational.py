@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockquery.operators import frames
 from blockquery.operators import windows as win
 from blockquery.operators.joins import Join
 from blockquery.plans.block import query_block
@@ -647,6 +648,34 @@ def window_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("o_custkey", "o_orderkey")
 
 
+@query(
+    "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running_total,"
+    " row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place, ntile(10) OVER (ORDER BY o_orderdate, o_orderkey) AS tenth FROM orders"
+)
+def window_without_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running total, position and tile over the whole table, which is cut into ordered chunks where it is large."""
+    orders = parquet_tables(spark, sf_dir)("orders").select("o_orderkey", "o_orderdate", F.expr("cast(o_totalprice AS decimal(18,2))").alias("price"))
+    order = ["o_orderdate", "o_orderkey"]
+    found = win.running(orders, [], order, {"running_total": ("sum", "price"), "place": ("count", F.lit(1))})
+    found = win.ntiles(found, [], order, 10, "tenth")
+    return found.select("o_orderkey", F.col("running_total").cast("double").alias("running_total"), "place", "tenth")
+
+
+@query(
+    "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DOUBLE) AS near_total, count(*) OVER w AS near_orders"
+    " FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders)"
+    " WINDOW w AS (PARTITION BY o_orderpriority ORDER BY day RANGE BETWEEN 30 PRECEDING AND 7 FOLLOWING)"
+)
+def window_value_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the same priority from thirty days before to a week after each order."""
+    orders = parquet_tables(spark, sf_dir)("orders").select(
+        "o_orderkey", "o_orderpriority", F.expr("unix_date(cast(o_orderdate AS date))").alias("day"), F.expr("cast(o_totalprice AS decimal(18,2))").alias("price")
+    )
+    columns = {"near_total": ("sum", "price"), "near_orders": ("count", F.lit(1))}
+    found = frames.value_frames(orders, ["o_orderpriority"], "day", columns, before=30, after=7)
+    return found.select("o_orderkey", F.col("near_total").cast("double").alias("near_total"), "near_orders")
+
+
 # --- sorts and limits ----------------------------------------------------------------------------
 
 
