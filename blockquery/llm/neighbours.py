@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -116,14 +117,11 @@ def open_leaves(forest: list[Tree], query: np.ndarray) -> list[tuple[int, int]]:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v)``: vectors as doubles, those of the commonest length that are finite and not all zero, with an id."""
+    """``(vec_id, v)``: vectors as doubles, those that are finite and not all zero, with an id."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    fine = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").filter(
+    return rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").filter(
         F.forall("v", lambda x: F.coalesce(x.between(-1.7976931348623157e308, 1.7976931348623157e308), F.lit(False))) & F.exists("v", lambda x: x != 0)
     )
-    sizes = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    length = sizes.first()
-    return fine.filter(F.size("v") == (length.n if length else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -158,12 +156,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` largest cosines found for each row of ``queries``.
 
     Both tables have ``vec_id`` and ``embedding``. A row is no neighbour of the query of its id; ties go to the
-    smaller id. Rows without an id, NULL or zero vectors, vectors with NULL or non-finite parts, and those of
-    another than the commonest length take no part. Equal rows count once. Other columns are not read.
+    smaller id. Rows without an id, NULL or zero vectors, and vectors with NULL or non-finite parts take no part. A
+    query meets the vectors of its own length, and each length has its own forest. Equal rows count once. Other columns
+    are not read.
     """
-    spark = vectors.sparkSession
-    steps = Steps(spark, "neighbours")
-    rows = usable(vectors)
+    steps = Steps(vectors.sparkSession, "neighbours")
+    rows, asked = usable(vectors), usable(queries)
+    lengths = sorted(r.n for r in asked.select(F.size("v").alias("n")).distinct().collect())
+    found = [_search(rows.filter(F.size("v") == n), asked.filter(F.size("v") == n), k, steps) for n in lengths or [0]]
+    return reduce(DataFrame.union, found)
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, steps: Steps) -> DataFrame:
+    """The search among vectors of one length."""
     sample = smallest_hashes(rows, ["vec_id"], SAMPLE).select("v").toArrow().column("v").combine_chunks()
     points = _unit(_matrix(sample)) if len(sample) else np.empty((0, 1))
     forest = [build(points, seed) for seed in range(TREES)] if len(points) else []
@@ -191,10 +196,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return salted.groupBy("tree", "leaf", "part").agg(*lists).drop("part")
 
     indexed = blocks(steps.keep(rows.distinct().mapInArrow(index, kinds)), BLOCK, "row")
-    asked = usable(queries).distinct()
-    if forest:
-        asked = asked.filter(F.size("v") == points.shape[1])
-    asked = blocks(steps.keep(asked.mapInArrow(opened, kinds)), QUERY_BLOCK, "query")
+    asked = blocks(steps.keep(asked.distinct().mapInArrow(opened, kinds)), QUERY_BLOCK, "query")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
