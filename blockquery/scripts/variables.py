@@ -16,7 +16,7 @@ from blockquery.operators.windows import running
 from blockquery.scripts import sql_text as block
 from blockquery.scripts.facts import all_matches, assignments, call_name, strings
 from blockquery.scripts.patterns import SPARK
-from blockquery.sources.checkpoints import reliable
+from blockquery.sources.checkpoints import reliable, written
 
 
 def reaching(assigned: DataFrame, hot_rows: int | None = None) -> DataFrame:
@@ -49,10 +49,10 @@ def base_tables(scripts: DataFrame, hot_rows: int | None = None) -> DataFrame:
     stands_alone = ~F.col("reads") & F.col("ptr").isNull()
     tables = F.when(stands_alone, F.array_union("tables", F.array("leaf"))).otherwise(F.col("tables"))
     # a chain that reads a table starts there, whatever its root is called
-    nodes = reliable(nodes.select("script_id", "chain_no", "variable", F.when(~F.col("reads"), F.col("ptr")).alias("ptr"), tables.alias("tables")))
+    nodes = written(nodes.select("script_id", "chain_no", "variable", F.when(~F.col("reads"), F.col("ptr")).alias("ptr"), tables.alias("tables")))
     while not nodes.filter("ptr IS NOT NULL").isEmpty():
         below = nodes.select(F.col("script_id").alias("s"), F.col("chain_no").alias("c"), F.col("ptr").alias("further"), F.col("tables").alias("more"))
         joined = nodes.join(below, (F.col("script_id") == F.col("s")) & (F.col("ptr") == F.col("c")), "left")
         more = F.array_union("tables", F.coalesce("more", F.array().cast("array<string>")))
-        nodes = reliable(joined.select("script_id", "chain_no", "variable", F.col("further").alias("ptr"), more.alias("tables")))
+        nodes = written(joined.select("script_id", "chain_no", "variable", F.col("further").alias("ptr"), more.alias("tables")), instead_of=nodes)
     return nodes.select("script_id", "chain_no", "variable", F.explode("tables").alias("tbl"))
