@@ -6,8 +6,15 @@ neighbours, each word contracts its leftmost pair of minimum rank, and words wit
 done. An ordered aggregation gives the ids of each word, and another one, over the ids joined with the
 vocabulary, gives the bytes back. A text is the concatenation of its words.
 
-Memory: the words of ``CHUNK`` bytes at a time are in the database, and the distinct words of a partition
-in the task.
+A word of more than ``LONG`` bytes is encoded in blocks, which is exact: no merge ever crosses a border of two
+blocks if the last token of the one and the first of the other, joined and encoded by themselves, stay apart.
+(Merges inside both tokens come in the same order there as in the whole word, so the first merge across the
+border would come there too.) Borders are taken from windows encoded beforehand; blocks on both sides of a border
+that fails are joined and encoded again. Blocks that stay long that way are periodic: they have few distinct
+pairs, and a round contracts all of the least one.
+
+Memory: the words of ``CHUNK`` bytes at a time are in the database, and up to ``KNOWN_WORDS`` words in a worker
+process, which keeps them from task to task.
 """
 
 from __future__ import annotations
@@ -27,6 +34,12 @@ from blockquery.llm.common import batches_of
 CHUNK = 1 << 20
 """Bytes of distinct words that one recursive query encodes."""
 
+KNOWN_WORDS = 1 << 19
+"""Words that a worker process remembers before it starts anew."""
+
+LONG, BLOCK, WINDOW = 512, 128, 64
+"""Bytes of a word that is cut, of a block, and on either side of the place where a border is looked for."""
+
 # One round: ``pair`` is rank and position of the merge that starts at a row, ``best`` the least of its word.
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -47,6 +60,38 @@ SELECT w, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, count(*) AS
 FROM step SEMI JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round)
 GROUP BY w ORDER BY w
 """
+# The same for long periodic words: where no token made of the result of a merge has a lower rank, all pairs of the
+# least rank go at once, from the left; in a run of overlapping ones every other.
+ENCODE_RUNS = """
+WITH RECURSIVE step AS (
+  SELECT w, pos, tok, 0 AS round FROM start
+  UNION ALL
+  SELECT w, pos, CASE WHEN goes THEN merged ELSE tok END, round + 1
+  FROM (
+    SELECT w, pos, tok, round, merged, goes, lag(goes, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
+    FROM (
+      SELECT *, coalesce(least_one, false) AND (n = 1 OR alone = 0 AND row_number() OVER (PARTITION BY w, run, least_one ORDER BY pos) % 2 = 1) AS goes
+      FROM (
+        SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) - row_number() OVER (PARTITION BY w, least_one ORDER BY pos) AS run,
+          row_number() OVER (PARTITION BY w, least_one ORDER BY pos) AS n
+        FROM (
+          SELECT *, merged = min(merged) OVER (PARTITION BY w) AS least_one, min(merged) OVER (PARTITION BY w) AS best
+          FROM (
+            SELECT s.w, s.pos, s.tok, s.round, m.merged, m.alone
+            FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS following FROM step) s
+            LEFT JOIN merges m ON m.a = s.tok AND m.b = s.following
+          )
+        )
+        WHERE best IS NOT NULL
+      )
+    )
+  )
+  WHERE NOT gone
+)
+SELECT w, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, count(*) AS n
+FROM step SEMI JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round)
+GROUP BY w ORDER BY w
+"""
 DECODE = """
 SELECT w, unhex(string_agg(v.hexed, '' ORDER BY pos)) AS bytes
 FROM (SELECT w, generate_subscripts(ids, 1) AS pos, unnest(ids) AS tok FROM (SELECT w, CAST(string_split(ids, ' ') AS INTEGER[]) AS ids FROM coded))
@@ -62,75 +107,135 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def _database(path: str) -> tuple[duckdb.DuckDBPyConnection, dict[bytes, int]]:
-    """An in-memory database with the merge table: every pair of tokens whose concatenation is a token."""
+def _database(path: str) -> tuple[duckdb.DuckDBPyConnection, dict[bytes, int], dict[int, bytes], np.ndarray]:
+    """An in-memory database with the merge table, every pair of tokens whose concatenation is a token; ranks, tokens by rank, single bytes.
+
+    ``alone`` is 1 where a token that a pair makes is part of a merge of lower rank, so that one contraction may bring forth another before its equals.
+    """
     ranks = read_ranks(path)
     pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     con = duckdb.connect()
     con.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
     a, b, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-    con.register("pairs_in", pa.table({"a": a, "b": b, "merged": merged}))
+    sooner = {t for x, y, r in pairs for t in (x, y) if r < t}
+    con.register("pairs_in", pa.table({"a": a, "b": b, "merged": merged, "alone": pa.array([int(r in sooner) for _, _, r in pairs], pa.int32())}))
     con.execute("CREATE TABLE merges AS SELECT * FROM pairs_in")
     con.register("tokens_in", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hexed": [t.hex() for t in ranks]}))
     con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens_in")
-    return con, ranks
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    return con, ranks, {r: t for t, r in ranks.items()}, single
 
 
-def encode_words(path: str, words: list[bytes]) -> tuple[list[str], list[int], list[bytes]]:
-    """Ids as text, number of ids and decoded bytes of each word."""
-    con, ranks = _database(path)
-    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    ids: list[str] = []
-    n: list[int] = []
-    back: list[bytes] = []
+def _chunks(words: list[bytes]) -> Iterator[list[bytes]]:
     first = 0
     while first < len(words):
         last, size = first, 0
         while last < len(words) and (last == first or size + len(words[last]) <= CHUNK):
             size += len(words[last])
             last += 1
-        part = words[first:last]
-        tokens = [np.array([ranks[w]], np.int32) if w in ranks else single[np.frombuffer(w, np.uint8)] for w in part]
-        lengths = np.array([len(t) for t in tokens])
-        ends = np.cumsum(lengths)
-        start = pa.table(
-            {
-                "w": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), lengths)),
-                "pos": pa.array((np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32)),
-                "tok": pa.array(np.concatenate(tokens)),
-            }
-        )
-        con.register("start", start)
-        coded = con.sql(ENCODE).to_arrow_table()
-        con.register("coded", coded)
-        decoded = con.sql(DECODE).to_arrow_table()
-        ids += coded.column("ids").to_pylist()
-        n += coded.column("n").to_pylist()
-        back += decoded.column("bytes").to_pylist()
+        yield words[first:last]
         first = last
+
+
+def _coded(path: str, part: list[bytes], whole: bool, query: str = ENCODE) -> pa.Table:
+    """Ids as text and their number of each word of a chunk; with ``whole``, a word that is a token is that token."""
+    con, ranks, _, single = _database(path)
+    tokens = [np.array([ranks[w]], np.int32) if whole and w in ranks else single[np.frombuffer(w, np.uint8)] for w in part]
+    lengths = np.array([len(t) for t in tokens])
+    ends = np.cumsum(lengths)
+    start = pa.table(
+        {
+            "w": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), lengths)),
+            "pos": pa.array((np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32)),
+            "tok": pa.array(np.concatenate(tokens)),
+        }
+    )
+    con.register("start", start)
+    return con.sql(query).to_arrow_table()
+
+
+def _merged_ids(path: str, words: list[bytes]) -> dict[bytes, list[int]]:
+    """Ids of byte strings by merges alone."""
+    out = {}
+    for long in (False, True):
+        for part in _chunks([w for w in dict.fromkeys(words) if (len(w) > 1024) is long]):
+            ids = _coded(path, part, False, ENCODE_RUNS if long else ENCODE).column("ids").to_pylist()
+            out |= {w: list(map(int, i.split())) for w, i in zip(part, ids, strict=True)}
+    return out
+
+
+def long_word_ids(path: str, word: bytes) -> list[int]:
+    """Ids of a long word by blocks whose borders no merge crosses."""
+    tokens = _database(path)[2]
+    middles = range(BLOCK, len(word) - WINDOW, BLOCK)
+    windows = [word[m - WINDOW : m + WINDOW] for m in middles]
+    coded = _merged_ids(path, windows)
+    cuts = [0]
+    for m, window in zip(middles, windows, strict=True):
+        ends = np.cumsum([len(tokens[i]) for i in coded[window]])
+        cuts.append(m - WINDOW + int(ends[np.abs(ends - WINDOW).argmin()]))
+    cuts = [*sorted({c for c in cuts if c < len(word)}), len(word)]
+    known: dict[bytes, list[int]] = {}
+    apart: dict[tuple[int, int], bool] = {}
+    while True:
+        blocks = [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        known |= _merged_ids(path, [b for b in blocks if b not in known])
+        borders = [(known[x][-1], known[y][0]) for x, y in zip(blocks, blocks[1:], strict=False)]
+        fresh = [b for b in dict.fromkeys(borders) if b not in apart]
+        joined = _merged_ids(path, [tokens[a] + tokens[b] for a, b in fresh])
+        apart |= {(a, b): joined[tokens[a] + tokens[b]] == [a, b] for a, b in fresh}
+        if all(apart[b] for b in borders):
+            return [i for b in blocks for i in known[b]]
+        cuts = [0, *(c for c, b in zip(cuts[1:-1], borders, strict=True) if apart[b]), len(word)]
+
+
+def encode_words(path: str, words: list[bytes]) -> tuple[list[str], list[int], list[bytes]]:
+    """Ids as text, number of ids and decoded bytes of each word."""
+    con, ranks, _, _ = _database(path)
+    long = {w: long_word_ids(path, w) for w in words if len(w) > LONG and w not in ranks}
+    ids: list[str] = []
+    n: list[int] = []
+    back: list[bytes] = []
+    for part in _chunks(words):
+        if short := [w for w in part if w not in long]:
+            coded = _coded(path, short, True)
+            own = iter(zip(coded.column("ids").to_pylist(), coded.column("n").to_pylist(), strict=True))
+        both = [(" ".join(map(str, long[w])), len(long[w])) if w in long else next(own) for w in part]
+        con.register("coded", pa.table({"w": pa.array(range(len(part)), pa.int32()), "ids": [i for i, _ in both]}))
+        ids += [i for i, _ in both]
+        n += [k for _, k in both]
+        back += con.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
     return ids, n, back
 
 
+@cache
+def _known(path: str) -> tuple[dict[str, int], list[str], list[int], list[bytes]]:
+    """Places of the words that this worker process has encoded, and their ids as text, numbers of ids and bytes."""
+    return {}, [], [], []
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids, n_tokens, decoded)`` of every row: ids as decimal text joined by spaces, decoded bytes.
 
     NULL and empty texts have no ids and empty bytes. Each match of ``pattern`` is encoded separately; a match
-    that is a token itself is that token. Characters that no match covers are left out, as in a tokenizer.
+    that is a token itself is that token. Characters that no match covers are left out, as in a tokenizer. Very long
+    texts and matches take time in proportion to their length. An empty table gives no rows.
     Repeated rows and NULL ids are encoded like others; other columns are not read.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
-        known: dict[str, int] = {}
-        ids: list[str] = []
-        counts: list[int] = []
-        back: list[bytes] = []
+        words = _known(path)
+        known, ids, counts, back = words
         for batch in batches_of(batches, 4 << 20, "text"):
+            if len(known) > KNOWN_WORDS:
+                for part in words:
+                    part.clear()
             words_of = [split(t or "") for t in batch.column(1).to_pylist()]
             fresh = list(set().union(*words_of).difference(known))
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             for have, new in zip((ids, counts, back), encode_words(path, [w.encode() for w in fresh]), strict=True):
                 have.extend(new)
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             places = [[known[w] for w in words] for words in words_of]
             out = [
                 batch.column(0),
