@@ -31,8 +31,8 @@ from blockquery.llm.common import Steps, batches_of, texts_of
 SHARE = 60_000
 """Pieces of a partition."""
 
-KNOWN_WORDS = 1 << 20
-"""Words whose ids a task remembers before it starts anew."""
+KNOWN_WORDS = 1 << 19
+"""Words whose ids a worker process remembers, from task to task, before it starts anew."""
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, fill long, certified boolean"
@@ -63,6 +63,22 @@ def _stem(word: bytes) -> tuple[bytes, bytes]:
     return low, b""
 
 
+class Growing:
+    """An array that doubles when it is full."""
+
+    def __init__(self, kind: type):
+        self.values, self.used = np.empty(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.used + len(more)
+        if end > len(self.values):
+            larger = np.empty(max(end, 2 * len(self.values)), self.values.dtype)
+            larger[: self.used] = self.values[: self.used]
+            self.values = larger
+        self.values[self.used : end] = more
+        self.used = end
+
+
 class WordIds:
     """Token ids of texts by way of their distinct words; tokens never cross white space.
 
@@ -82,7 +98,7 @@ class WordIds:
     def clear(self) -> None:
         self.places: dict[bytes, int] = {}
         self.stems: dict[bytes, list[int]] = {b"": []}
-        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -91,22 +107,28 @@ class WordIds:
         words_of = [t.split() for t in texts]
         fresh = list(set().union(*words_of).difference(self.places))
         if fresh:
-            self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh)), strict=True))
             parts = [self._parts(w) for w in fresh]
             new = list(set(chain.from_iterable(parts)).difference(self.stems))
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
             self.stems.update(zip(new, [c.ids for c in coded], strict=True))
             ids = [self.stems[stem] + self.stems[stops] for stem, stops in parts]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
-            self.lengths = np.append(self.lengths, lengths)
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+            self.starts.add(self.flat.used + np.cumsum(lengths) - lengths)
+            self.lengths.add(lengths)
+            self.flat.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+            self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh)), strict=True))
         for words in words_of:
             at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-            lengths = self.lengths[at]
+            lengths = self.lengths.values[at]
             ends = np.cumsum(lengths)
             total = int(ends[-1]) if len(at) else 0
-            yield self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)]
+            yield self.flat.values[np.repeat(self.starts.values[at] - ends + lengths, lengths) + np.arange(total)]
+
+
+@cache
+def known_words(path: str, plain: bool) -> WordIds:
+    """The words that this worker process knows already."""
+    return WordIds(path, plain)
 
 
 def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
@@ -117,7 +139,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path, plain=False)
+        words = known_words(path, False)
         for batch in batches_of(batches, 4 << 20, "text"):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.ids(texts_of(batch.column(1))), strict=True):
