@@ -18,6 +18,7 @@ Each text is scanned whole in narrow passes; only counts and the sample are shuf
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ KINDS = (*BASE, "secret", "number")
 # The forms of the base kinds and of candidates, and words that announce private data.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # runs of digits are taken whole: a match never starts or ends inside one
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT_TOKEN = re.compile(r"[0-9]\S*")
@@ -71,7 +72,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             end = m.end()
         at = text.find("@", max(at + 1, end))
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x := part.lstrip("0")) <= 3 and int(x or 0) <= 255 for part in m[0].split(".")):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
@@ -83,6 +84,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+class Taken:
+    """Places of a text that spans hold, as disjoint runs in order."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether no run has a place from ``start`` to ``end``."""
+        before = bisect_left(self.starts, end)
+        return not before or self.ends[before - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        """Take places that are free."""
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be private: tokens with a digit and letters or of capitals (secret), digits with or without separators (number)."""
     found = []
@@ -96,9 +122,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             end -= 1
         if end - start >= 8 and re.search("[A-Za-z]", text[start:end]):
             found.append(("secret", start, end))
-    for m in CAPITALS.finditer(text):
-        if not any(a <= m.start() < b for _, a, b in found):
-            found.append(("secret", *m.span()))
+    tokens = Taken(found)
+    found += [("secret", *m.span()) for m in CAPITALS.finditer(text) if tokens.free(m.start(), m.start() + 1)]
     for m in DIGIT_GROUP.finditer(text):
         found.append(("number", *m.span()))
     return found
@@ -211,11 +236,12 @@ def spans_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]
     base = [base_spans(t) for t in texts]
     proposed = [(i, *c) for i, t in enumerate(texts) for c in candidates(t)]
     chosen: list[list] = [[] for _ in texts]
+    taken = [Taken(b) for b in base]
     if proposed:
         scores = model.scores(np.array([features(texts[i], *c) for i, *c in proposed], float))
         for score, (i, kind, start, end) in sorted(zip(scores, proposed, strict=True), key=lambda p: (-p[0], p[1])):
-            taken = base[i] + chosen[i]
-            if score >= model.thresholds[kind] and all(end <= a or b <= start for _, a, b in taken):
+            if score >= model.thresholds[kind] and taken[i].free(start, end):
+                taken[i].add(start, end)
                 chosen[i].append((kind, start, end))
     return [b + sorted(c, key=lambda s: (KINDS.index(s[0]), s[1])) for b, c in zip(base, chosen, strict=True)]
 
@@ -299,7 +325,8 @@ def fit(docs: DataFrame) -> Model:
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, spans)`` of every row; ``spans`` holds ``(kind, start, end)`` in code points, end exclusive.
 
-    NULL and empty texts have no spans. Repeated rows and NULL ids are kept; other columns are not read.
+    NULL and empty texts have no spans. Very long texts, runs of digits and numbers of spans take time in proportion
+    to their length. Repeated rows and NULL ids are kept; other columns are not read. An empty table gives no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
