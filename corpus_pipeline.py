@@ -14,10 +14,15 @@ from blockquery.llm import packing, private_data, quality, repeats, simhash
 from blockquery.llm.common import Steps
 
 
+def _in_one(docs: DataFrame) -> DataFrame:
+    """``row``, the whole row, beside ``doc_id`` and ``text``: other columns of any name or type meet no name of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def _with_text(docs: DataFrame, changed: DataFrame, text: F.Column) -> DataFrame:
-    """The columns of ``docs`` with another text, and its length in ``n_chars`` where there is such a column."""
+    """The columns of ``docs`` from ``row``, with another text, and its length in ``n_chars`` where there is such a column."""
     new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return changed.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return changed.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,22 +38,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = simhash.similar_rows(docs, words=5, similarity=0.8)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    gone = found.filter(~stays).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    gone = found.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    rows = _in_one(docs).withColumn("key", simhash.text_key())
     # rows without an id and of the same text cannot be told apart: one stands for all, before the others are removed
-    whole = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_doc")
-    nameless = docs.filter("doc_id IS NULL").groupBy(simhash.text_key().alias("_key")).agg(whole).select("_doc.*")
-    rows = docs.filter("doc_id IS NOT NULL").union(nameless)
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (simhash.text_key() == F.col("_gone_key")), "left_anti")
+    whole = F.min_by("row", F.xxhash64(F.col("row").cast("string"))).alias("row")
+    nameless = rows.filter("doc_id IS NULL").groupBy("key").agg(whole).select("row", F.col("row.doc_id").alias("doc_id"), "key")
+    rows = rows.filter("doc_id IS NOT NULL").select("row", "doc_id", "key").union(nameless)
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti").select("row.*")
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Text that a document of smaller id has too, in strings of 50 bytes or more, goes."""
-    return _with_text(docs, repeats.without_repeats(docs, as_text=True), F.col("_kept"))
+    return _with_text(docs, repeats.without_repeats(_in_one(docs), as_text=True), F.col("_kept"))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
-    return _with_text(docs, private_data.redacted(docs, private_data.fit(docs)), F.col("text"))
+    return _with_text(docs, private_data.redacted(_in_one(docs), private_data.fit(docs)), F.col("text"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
