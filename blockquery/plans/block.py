@@ -16,6 +16,7 @@ from blockquery.operators.clauses import (
     where_all,
 )
 from blockquery.operators.joins import Join, join_on, unique_joins
+from blockquery.operators.window_text import window_columns
 from blockquery.sources.tables import TableLookup
 
 
@@ -35,6 +36,7 @@ def query_block(
     distinct: bool = False,
     order_by: str | Iterable[str | Column] = (),
     limit: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Build one query from its clauses.
 
@@ -43,7 +45,8 @@ def query_block(
     ``select`` names it. Names of ``select`` and ``group_by`` and keys of ``order_by`` may be packed in one
     string. Applied in this order: joins (repeats dropped), where (ANDed), grouping, having,
     windows, derived columns, select, renames, distinct, order, limit. A grouped block returns keys and
-    aggregates; window and derived columns are appended to the output in both cases.
+    aggregates; window and derived columns are appended to the output in both cases. Window texts over keys of
+    more than ``hot_rows`` rows are split (``operators/window_text.py``), or refused where they cannot be.
     """
     if (having or aggs) and not group_by:
         raise ValueError("having and aggs need group_by")
@@ -62,9 +65,10 @@ def query_block(
     if group_by:
         df = where_all(group_aggregate(df, group_by, aggs or {}), having)
     added = {**(windows or {}), **(with_columns or {})}
-    for expressions in (windows, with_columns):
-        if expressions:
-            df = derive_columns(df, expressions)
+    if windows:
+        df = window_columns(df, windows, None if group_by or len(aliases) > 1 else aliases[0], hot_rows)
+    if with_columns:
+        df = derive_columns(df, with_columns)
     if chosen is not None and not group_by:
         kept = {last_part(s) for s in chosen if isinstance(s, str)}
         df = df.select(*[column(s) for s in chosen], *[column(f"`{n}`") for n in added if n not in kept])

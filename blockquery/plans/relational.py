@@ -742,6 +742,25 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole blocks --------------------------------------------------------------------------------
 
 
+@query(
+    "SELECT event_id, cast(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS bigint) AS place,"
+    " cast(count(*) OVER (PARTITION BY event_type ORDER BY user_id) AS bigint) AS upto_user,"
+    " lag(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events"
+)
+def block_window_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few event types hold all rows: beyond ``hot_rows`` of one, its windows are split."""
+    return query_block(
+        parquet_tables(spark, sf_dir),
+        "events",
+        windows={
+            "place": "cast(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS bigint)",
+            "upto_user": "count(*) OVER (PARTITION BY event_type ORDER BY user_id)",
+            "before": "lag(event_id) OVER (PARTITION BY events.event_type ORDER BY events.ts, events.event_id)",
+        },
+        select=["event_id"],
+    )
+
+
 @query(
     "SELECT DISTINCT r_name AS region_name, n_name, n,"
     " cast(rank() OVER (PARTITION BY r_name ORDER BY n DESC) AS bigint) AS rk, n * 2 AS n2"
