@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from blockquery.functions.names import base_of, column, last_part, split_names
+from blockquery.functions.names import base_of, column, join_type, last_part, split_names
 from blockquery.operators.clauses import (
     Expressions,
     derive_columns,
@@ -15,6 +16,7 @@ from blockquery.operators.clauses import (
     sort_by,
     where_all,
 )
+from blockquery.operators.early import combined, partial_aggregates, reads_only
 from blockquery.operators.joins import Join, join_on, unique_joins
 from blockquery.operators.window_text import window_columns
 from blockquery.sources.tables import TableLookup
@@ -37,6 +39,7 @@ def query_block(
     order_by: str | Iterable[str | Column] = (),
     limit: int | None = None,
     hot_rows: int | None = None,
+    combine_early: str | None = None,
 ) -> DataFrame:
     """Build one query from its clauses.
 
@@ -46,7 +49,9 @@ def query_block(
     string. Applied in this order: joins (repeats dropped), where (ANDed), grouping, having,
     windows, derived columns, select, renames, distinct, order, limit. A grouped block returns keys and
     aggregates; window and derived columns are appended to the output in both cases. Window texts over keys of
-    more than ``hot_rows`` rows are split (``operators/window_text.py``), or refused where they cannot be.
+    more than ``hot_rows`` rows are split (``operators/window_text.py``), or refused where they cannot be. ``combine_early`` names the table of a grouped block
+    that all aggregates read: it is grouped before the joins by what they, the predicates and the keys read of it
+    (``operators/early.py``), which pays where that leaves few of its rows.
     """
     if (having or aggs) and not group_by:
         raise ValueError("having and aggs need group_by")
@@ -57,13 +62,17 @@ def query_block(
 
     chosen = None if select is None else split_names(select)
     first = base or base_of(chosen)
-    df, aliases = table(first), [last_part(first)]
-    for j in unique_joins(joins):
-        df = join_on(df, table(j.table), j.condition, j.how, j.hot_right, (aliases, [last_part(j.table)]))
-        aliases = [*aliases, last_part(j.table)]
-    df = where_all(df, where)
-    if group_by:
-        df = where_all(group_aggregate(df, group_by, aggs or {}), having)
+    joins = unique_joins(joins)
+    aliases = [last_part(first)]
+    if combine_early is None or not joins:
+        df = _joined(table, first, joins, where)
+        if group_by:
+            df = where_all(group_aggregate(df, group_by, aggs or {}), having)
+    else:
+        if not group_by or not aggs:
+            raise ValueError("combine_early needs group_by and aggs")
+        df = where_all(_combined_early(table, first, joins, where, group_by, aggs, combine_early), having)
+    aliases += [last_part(j.table) for j in joins]
     added = {**(windows or {}), **(with_columns or {})}
     if windows:
         df = window_columns(df, windows, None if group_by or len(aliases) > 1 else aliases[0], hot_rows)
@@ -79,3 +88,46 @@ def query_block(
     if order_by:
         df = sort_by(df, order_by, spread_ties=limit is None)
     return df if limit is None else df.limit(limit)
+
+
+def _joined(table: TableLookup, first: str, joins: Iterable[Join], where: str | Iterable[str]) -> DataFrame:
+    """The base table with all joins and predicates."""
+    df, aliases = table(first), [last_part(first)]
+    for j in joins:
+        df = join_on(df, table(j.table), j.condition, j.how, j.hot_right, (aliases, [last_part(j.table)]))
+        aliases = [*aliases, last_part(j.table)]
+    return where_all(df, where)
+
+
+def _combined_early(
+    table: TableLookup,
+    first: str,
+    joins: list[Join],
+    where: str | Iterable[str],
+    group_by: str | Iterable[str | Column],
+    aggs: Expressions,
+    name: str,
+) -> DataFrame:
+    """The grouped block with the table ``name`` grouped below the joins.
+
+    The plain block is analysed for its aggregates, with every join as an inner one, since types of columns are the same.
+    Predicates on that table alone come before its grouping where no join can add rows without it.
+    """
+    names = [first, *[j.table for j in joins]]
+    if names.count(name) != 1:
+        raise ValueError(f"combine_early={name!r} must be one of the tables, and be there once")
+    predicates = list(dict.fromkeys([where] if isinstance(where, str) else where))
+    keys = split_names(group_by)
+    source = table(name)
+    plain = table(first)
+    for j in joins:
+        if join_type(j.how) not in ("left_semi", "left_anti"):
+            plain = plain.join(table(j.table), F.expr(j.condition), "inner")
+    partial = partial_aggregates(group_aggregate(plain, keys, aggs), list(aggs), source)
+    inner = all(join_type(j.how) in ("inner", "cross", "left_semi", "left_anti") for j in joins)
+    own = [p for p in predicates if inner and reads_only(source, p)]
+    rest = [p for p in predicates if p not in own]
+    texts = [*[j.condition for j in joins], *rest, *[k if isinstance(k, str) else str(k) for k in keys]]
+    small = combined(source, last_part(name), texts, partial, lambda df: where_all(df, own))
+    df = _joined(lambda n: small if n == name else table(n), first, joins, rest)
+    return group_aggregate(df, keys, partial.after)

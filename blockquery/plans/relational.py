@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockquery.operators import frames
 from blockquery.operators import windows as win
 from blockquery.operators.joins import Join
+from blockquery.operators.order_statistics import percentiles
 from blockquery.plans.block import query_block
 from blockquery.plans.registry import query
 from blockquery.sources.tables import catalog_tables, parquet_tables
@@ -476,6 +477,21 @@ def agg_stddev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "SELECT event_type, round(median(value), 4) AS mid, round(quantile_cont(value, 0.9), 4) AS p90 FROM events GROUP BY event_type"
+)
+def agg_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few event types hold all rows; no task holds the values of one."""
+    found = percentiles(parquet_tables(spark, sf_dir)("events"), ["event_type"], "value", {"mid": 0.5, "p90": 0.9})
+    return found.select("event_type", F.round("mid", 4).alias("mid"), F.round("p90", 4).alias("p90"))
+
+
+@query("SELECT round(median(l_extendedprice), 4) AS mid, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem")
+def agg_median_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = percentiles(parquet_tables(spark, sf_dir)("lineitem"), [], "l_extendedprice", {"mid": 0.5, "lo": 0, "hi": 1})
+    return found.select(F.round("mid", 4).alias("mid"), "lo", "hi")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def agg_count_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_block(parquet_tables(spark, sf_dir), "events", group_by="event_type", aggs={"n": F.count("*")})
@@ -846,6 +862,31 @@ def sample_avg_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         group_by="c_mktsegment,o_orderstatus,o_orderpriority",
         aggs={"avg_qty": "avg(l_quantity)"},
         order_by=[F.desc("avg_qty")],
+        combine_early="lineitem",
+    )
+
+
+@query(
+    "SELECT o_orderpriority, count(*) AS n, count(l_quantity) AS counted, min(l_quantity) AS lo, max(l_quantity) AS hi,"
+    f" {EXACT_SUM.format('l_extendedprice')} AS total, round(avg(l_quantity), 4) AS mean FROM orders"
+    " LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY o_orderpriority"
+)
+def agg_below_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines are combined by order before the join; orders without a returned line count as one row."""
+    return query_block(
+        parquet_tables(spark, sf_dir),
+        "orders",
+        joins=[Join("lineitem", "lineitem.l_orderkey = orders.o_orderkey AND lineitem.l_returnflag = 'R'", "left")],
+        group_by="o_orderpriority",
+        aggs={
+            "n": "count(*)",
+            "counted": "count(l_quantity)",
+            "lo": "min(l_quantity)",
+            "hi": "max(l_quantity)",
+            "total": EXACT_SUM.format("l_extendedprice"),
+            "mean": "round(avg(l_quantity), 4)",
+        },
+        combine_early="lineitem",
     )
 
 
