@@ -138,6 +138,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 6, parts: int
     return prints.join(steps.keep(table), "fp").select("doc_id", "fp", "component_id")
 
 
+def near_rows(docs: DataFrame, words: int = 5, radius: int = 6, parts: int = 1) -> DataFrame:
+    """``(doc_id, text_key, fp, first)`` of every row, for callers that keep one document of each component.
+
+    ``first`` is the ``(no_id, doc_id, text_key)`` of one row of the component of ``near_duplicates``: that of smallest id,
+    any id before none, and of smallest ``text_key`` among these. NULL and empty texts have fingerprint 0. Other columns
+    are not read.
+    """
+    steps = Steps(docs.sparkSession, "simhash-rows")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(shingle_hashes(t, words)) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "text_key", "fp"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    prints = steps.keep(keyed.mapInArrow(run, "doc_id long, text_key long, fp long"))
+    roots = components(links(prints, radius, parts, steps), steps)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    placed = prints.groupBy("fp").agg(first).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
+    table = steps.keep(placed.drop("first").join(firsts, "root").select("fp", "first"))
+    return prints.join(table, "fp").select("doc_id", "text_key", "fp", "first")
+
+
 LANES, NEAR = 4, 2
 """Words of 64 bits of a wide fingerprint, and how many of them are compared first."""
 

@@ -31,12 +31,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in 0.8 of their 5-word shingles, directly or by way of others, the one of smallest id stays.
+    """Of documents whose SimHash fingerprints differ in 2 bits or fewer, directly or by way of others, the one of smallest id stays.
+
+    Fingerprints are those of ``op1_simhash``: 3-word shingles, 64 bits.
 
     Of several texts of that id, the one of smallest hash stays; rows that repeat both its id and its text are one
     document and stay with it. Only a group without any id keeps a row without one, and exactly one.
     """
-    found = simhash.similar_rows(docs, words=5, similarity=0.8)
+    found = simhash.near_rows(docs, words=3, radius=2, parts=4)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     gone = found.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     rows = _in_one(docs).withColumn("key", simhash.text_key())

@@ -8,7 +8,7 @@ import pytest
 
 from blockquery.llm import packing, private_data
 from tests.llm import frames
-from tests.llm.test_operators import encoded, groups, plain_kept, smallest
+from tests.llm.test_operators import encoded, groups, plain_fingerprint, plain_kept, smallest
 
 
 @pytest.fixture(scope="module")
@@ -30,12 +30,8 @@ def test_stages(spark, folder):
     single = corpus_pipeline.near_dedup(spark, kept, folder).cache()
     rows = kept.collect()
 
-    def shingles(text):
-        found = encoded(text).lower().split()
-        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
-
-    sets = [shingles(r.text) for r in rows]
-    root = groups(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    prints = [plain_fingerprint(encoded(r.text), 3) for r in rows]
+    root = groups(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
     expected = sorted(str(tuple(r)) for r, least in zip(rows, smallest([r.doc_id for r in rows], root)) if r.doc_id == least)
     assert single.columns == columns and sorted(str(tuple(r)) for r in single.collect()) == expected
 
@@ -62,7 +58,9 @@ def test_stages(spark, folder):
 
 def test_near_dedup_of_missing_and_shared_ids(spark, folder):
     def near(text):
-        return text + " other end"
+        """The text with another end, at one or two bits."""
+        ends = (f"{text} end {i}" for i in range(1000))
+        return next(t for t in ends if 1 <= (plain_fingerprint(encoded(t), 3) ^ plain_fingerprint(encoded(text), 3)).bit_count() <= 2)
 
     a, b, c, d, e = (frames.text(100, 950 + i) for i in range(5))
     rows = [(1, a), (None, near(a)), (None, b), (None, b), (None, near(b)), (None, c), (5, near(a)), (5, d), (7, e), (7, near(e)), (8, near(d))]
