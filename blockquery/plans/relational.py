@@ -862,7 +862,6 @@ def sample_avg_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         group_by="c_mktsegment,o_orderstatus,o_orderpriority",
         aggs={"avg_qty": "avg(l_quantity)"},
         order_by=[F.desc("avg_qty")],
-        combine_early="lineitem",
     )
 
 

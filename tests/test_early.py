@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as spark_entry
 from blockquery.operators.joins import Join
 from blockquery.plans.block import query_block
+from blockquery.sources.tables import parquet_tables
 from tests.test_plans import FOLDER, plan, settings  # noqa: F401  (a fixture)
 
 AGGS = {
@@ -61,6 +61,13 @@ def test_what_cannot_be_combined_is_refused(spark, text):
 
 def test_the_aggregate_is_below_the_exchange_of_the_join(spark, settings):  # noqa: F811
     settings(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
-    text = plan(spark_entry.queries()["sample_avg_by_keys"](spark, FOLDER))
-    below = text[text.index("SortMergeJoin [o_orderkey") :] if "SortMergeJoin [o_orderkey" in text else text[text.rindex("SortMergeJoin") :]
-    assert "partial_sum(l_quantity" in below
+    block = query_block(
+        parquet_tables(spark, FOLDER),
+        "orders",
+        joins=[Join("lineitem", "lineitem.l_orderkey = orders.o_orderkey")],
+        group_by="o_orderpriority",
+        aggs={"avg_qty": "avg(l_quantity)"},
+        combine_early="lineitem",
+    )
+    text = plan(block)
+    assert "partial_sum(l_quantity" in text[text.rindex("SortMergeJoin") :]
