@@ -73,7 +73,8 @@ def range_join(
     dealt = [_dealt(df, grid, side, other) for df, side, other in zip(cut, "lr", "rl", strict=True)]
     same = [F.col(f"_l_{c}") == F.col(f"_r_{c}") for c in ("bucket", "own", "other")]
     once = F.col("_l_bucket") == F.greatest("_l_first", "_r_first")
-    pairs = dealt[0].join(dealt[1], same[0] & same[1] & same[2] & once & on, "inner")
+    # Spark takes the size of a side for that before it was copied into buckets: a broadcast would build the copies in the driver
+    pairs = dealt[0].join(dealt[1].hint("merge"), same[0] & same[1] & same[2] & once & on, "inner")
 
     def unmatched(side: str, keep: str = "left_anti") -> DataFrame:
         met = pairs.select(F.col(f"_{side}_row").alias("_met")).distinct()

@@ -114,6 +114,15 @@ def test_the_plan_has_no_nested_loop_and_a_crowded_bucket_is_spread(spark, small
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_no_side_is_broadcast_for_its_size_before_it_is_copied_into_buckets(spark, small_buckets):
+    p = spark.range(500).select("id", F.col("id").cast("double").alias("v")).alias("p")
+    s = spark.range(200).select("id", (F.col("id") * 2).cast("double").alias("low"), (F.col("id") * 2 + 100).cast("double").alias("high")).alias("s")
+    joined = ranges.range_join(p, s, BETWEEN, ranges.Reach("p.v", "p.v"), ranges.Reach("s.low", "s.high"), part=10**6)
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+    assert joined.count() == p.join(s, F.expr(BETWEEN)).count()
+
+
 def test_buckets_never_fall(spark):
     values = sorted({random.Random(6).choice([1, 50, 1000]) * random.Random(i).random() - 20 for i in range(300)})
     data = spark.createDataFrame([(v,) for v in values], "v double")
