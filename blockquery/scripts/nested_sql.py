@@ -65,8 +65,10 @@ def block_starts(ops: Column, quoted: Column) -> Column:
         held = [F.slice(x, start + 1, i - start + more) for x in (ops, quoted)]
         return F.when(~completes & order_problem(*held, from_star=True), F.concat(starts, F.array(i))).otherwise(starts)
 
+    # calls that one block cannot hold stay so when more follow, so a chain without a problem as a whole is one block
     later = F.sequence(F.lit(1), F.size(ops) - 1)
-    return F.when(F.size(ops) > 1, F.aggregate(later, F.array(F.lit(0)), step)).otherwise(F.array(F.lit(0)))
+    several = (F.size(ops) > 1) & order_problem(ops, quoted, from_star=True)
+    return F.when(several, F.aggregate(later, F.array(F.lit(0)), step)).otherwise(F.array(F.lit(0)))
 
 
 def _alias() -> Column:
