@@ -163,27 +163,56 @@ def _labels(spark: SparkSession, parts: int) -> list[int]:
     return [found[k] for k in range(parts)]
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a partition to the places, by document, of anchors that stand in two documents."""
-    blocks = [_unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
+def _shared(labels: list[int]):  # noqa: ANN202
+    """Blocks of a partition to blocks of the places of anchors that stand in two documents, one for each part of the keys.
+
+    ``labels`` are the parts' values. A task makes a row for a part, however many texts go there.
+    """
+    parts = len(labels)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [_unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
+        if not blocks:
+            return
+        h, doc, key, pos, span, flag = (np.concatenate(c) for c in zip(*blocks, strict=True))
+        del blocks
+        keep = flag == FOUND
+        rest = np.flatnonzero(~keep)
+        order = rest[np.argsort(h[rest], kind="stable")]
+        if len(order):
+            sorted_h = h[order]
+            group = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
+            two = np.minimum.reduceat(doc[order], group) != np.maximum.reduceat(doc[order], group)
+            two |= np.maximum.reduceat(flag[order], group) == SENT_ONCE
+            keep[order] = np.repeat(two, np.diff(np.append(group, len(order))))
+        keep &= flag != SENT_ONCE
+        key, pos, span = key[keep], pos[keep].astype(np.uint32), span[keep]
+        part = key % parts
+        order = np.lexsort([key, part])
+        key, pos, span, part = key[order], pos[order], span[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        pack = zstandard.ZstdCompressor(1).compress
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[p], cuts[p + 1]
+            data = (b - a).astype("<i8").tobytes() + pack(b"".join(c[a:b].tobytes() for c in (key, pos, span)))
+            yield pa.RecordBatch.from_arrays([pa.array([labels[p]], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
+
+    return run
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of places of a part of the keys to ``(key, pos, span)``, one row a key."""
+    blocks = []
+    for data in (x for batch in batches for x in batch.column(1).to_pylist()):
+        n, raw = int.from_bytes(data[:8], "little"), zstandard.ZstdDecompressor().decompress(data[8:])
+        blocks.append([np.frombuffer(raw, k, n, n * at) for k, at in ((np.int64, 0), (np.uint32, 8), (np.uint16, 12))])
     if not blocks:
         return
-    h, doc, key, pos, span, flag = (np.concatenate(c) for c in zip(*blocks, strict=True))
+    key, pos, span = (np.concatenate(c) for c in zip(*blocks, strict=True))
     del blocks
-    keep = flag == FOUND
-    rest = np.flatnonzero(~keep)
-    order = rest[np.argsort(h[rest], kind="stable")]
-    if len(order):
-        sorted_h = h[order]
-        group = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
-        two = np.minimum.reduceat(doc[order], group) != np.maximum.reduceat(doc[order], group)
-        two |= np.maximum.reduceat(flag[order], group) == SENT_ONCE
-        keep[order] = np.repeat(two, np.diff(np.append(group, len(order))))
-    keep &= flag != SENT_ONCE
-    key, pos, span = key[keep], pos[keep].astype(np.uint32), span[keep]
     order = np.argsort(key, kind="stable")
     key, pos, span = key[order], pos[order], span[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     last = np.append(first[1:], len(key))
     for i in range(0, len(first), 1 << 14):
         cuts = list(zip(first[i : i + (1 << 14)].tolist(), last[i : i + (1 << 14)].tolist(), strict=True))
@@ -198,7 +227,7 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, keys, texts, pos, span = (c.to_pylist() if i != 2 else texts_of(c) for i, c in enumerate(batch.columns))
         out: list[list] = [[], [], [], [], []]
         for doc, key, text, p, s in zip(docs, keys, texts, pos, span, strict=True):
-            at, spans = np.frombuffer(b"".join(p), np.uint32).astype(np.int64), np.frombuffer(b"".join(s), np.uint16).astype(np.int64)
+            at, spans = np.frombuffer(p, np.uint32).astype(np.int64), np.frombuffer(s, np.uint16).astype(np.int64)
             left = spans >> 8
             start = at - left
             out[0].append(np.full(len(at), doc))
@@ -348,16 +377,16 @@ def shared_ranges(docs: DataFrame) -> DataFrame:
     texts = steps.keep(named.select("doc_id", "key", *content))
     first = texts.groupBy("t1", "t2", "n").agg(F.min("doc_id").alias("first"))
     copies = steps.keep(texts.join(first, ["t1", "t2", "n"]).filter(F.col("doc_id") > F.col("first")).select("key", "n").distinct())
-    blocks = named.select("doc_id", "key", "text").mapInArrow(_blocks(_labels(spark, parts)), BLOCK)
-    places = steps.keep(blocks.repartition(parts, "bucket").mapInArrow(_shared, "key long, pos binary, span binary"))
-    # written, or the join would go below the grouping, to rows by text and bucket
-    grouped = steps.keep(places.groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("span").alias("span")))
+    labels = _labels(spark, parts)
+    blocks = named.select("doc_id", "key", "text").mapInArrow(_blocks(labels), BLOCK)
+    places = blocks.repartition(parts, "bucket").mapInArrow(_shared(labels), BLOCK)
+    grouped = steps.keep(places.repartition(parts, "bucket").mapInArrow(_gathered, "key long, pos binary, span binary"))
     at = grouped.join(copies, "key", "left_anti")
     cut = named.join(at, "key").select("doc_id", "key", "text", "pos", "span")
     cut = cut.mapInArrow(_segments, "doc_id long, key long, start int, left int, segment binary")
     cut = cut.withColumns({"k1": F.xxhash64("segment"), "k2": F.xxhash64(F.lit(50), "segment")})
     cut = steps.keep(cut)
-    steps.drop(places, texts, grouped)
+    steps.drop(texts, grouped)
     distinct = cut.groupBy("k1", "k2", "segment", "left").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     distinct = steps.keep(distinct.withColumn("anchor", F.xxhash64(F.expr(f"substring(segment, left + 1, {ANCHOR})"))))
     hot = steps.keep(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"))
@@ -383,15 +412,19 @@ def shared_ranges(docs: DataFrame) -> DataFrame:
     return out
 
 
-def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
-    """Ranges as disjoint runs in order; runs that touch are one."""
-    out: list[list[int]] = []
-    for start, end in sorted((r["start"], r["end"]) for r in ranges or ()):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+def merged(ranges: pa.ListArray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, start, end)`` of the ranges of each row as disjoint runs in order; runs that touch are one. NULL has none."""
+    of = np.repeat(np.arange(rows), ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, end = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in ranges.flatten().flatten())
+    if not len(of):
+        return of, start, end
+    order = np.lexsort([start, of])
+    of, start, end = of[order], start[order], end[order]
+    lift = of * (int(end.max()) + 2)  # rows apart by more than any range reaches
+    reached = np.maximum.accumulate(end + lift)
+    first = np.flatnonzero(np.append(True, (start + lift)[1:] > reached[:-1]))
+    last = np.append(first[1:], len(of)) - 1
+    return of[first], start[first], reached[last] - lift[last]
 
 
 def without_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
@@ -410,13 +443,13 @@ def without_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed, spans = [], [], []
-            for content, found in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                runs = merged(found)
-                starts, ends = [0, *[b for _, b in runs]], [*[a for a, _ in runs], len(content)]
-                kept.append(b"".join(content[a:b] for a, b in zip(starts, ends, strict=True)))
-                removed.append(sum(b - a for a, b in runs))
-                spans.append(len(runs))
+            of, start, end = merged(batch.column(2), batch.num_rows)
+            removed = np.bincount(of, end - start, batch.num_rows).astype(np.int64)
+            spans = np.bincount(of, minlength=batch.num_rows)
+            cuts = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
+            start, end, kept = start.tolist(), end.tolist(), []
+            for content, a, b in zip(texts_of(batch.column(1)), cuts, cuts[1:], strict=False):
+                kept.append(b"".join(content[x:y] for x, y in zip([0, *end[a:b]], [*start[a:b], len(content)], strict=True)) if a < b else content)
             kept = [k.decode(errors="ignore") for k in kept] if as_text else kept
             added = [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *added], ["doc", "_kept", "_n_removed", "_n_spans"])
