@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from uuid import uuid4
 
 import numpy as np
@@ -62,6 +64,25 @@ def smallest_hashes(df: DataFrame, by: list[str], n: int) -> DataFrame:
     return df.orderBy(place, *by).limit(n)
 
 
+def without_cycle_search[**P, R](function: Callable[P, R]) -> Callable[P, R]:
+    """``function`` without Python's search for cyclic garbage, which walks over all kept words again each time many objects are made.
+
+    Only for functions that make no cycles; all else is freed as ever.
+    """
+
+    @wraps(function)
+    def run(*args: P.args, **kwargs: P.kwargs) -> R:
+        searched = gc.isenabled()
+        gc.disable()
+        try:
+            return function(*args, **kwargs)
+        finally:
+            if searched:
+                gc.enable()
+
+    return run
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a column of texts; NULL counts as empty."""
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blockquery.llm.common import Steps, batches_of, texts_of
+from blockquery.llm.common import Steps, batches_of, texts_of, without_cycle_search
 
 SHARE = 60_000
 """Pieces of a partition."""
@@ -34,6 +34,9 @@ SHARE = 60_000
 KNOWN_WORDS = 1 << 19
 """Words whose ids a worker process remembers, from task to task, before it starts anew."""
 
+JOINED = 64
+"""Words of plain letters that the tokenizer gets as one text."""
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, fill long, certified boolean"
 
@@ -46,6 +49,15 @@ def _tokenizer(path: str, plain: bool) -> Tokenizer:
     return tokenizer
 
 
+@cache
+def _ends(path: str) -> np.ndarray:
+    """Which ids are tokens that end a word."""
+    vocabulary = _tokenizer(path, True).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return out
+
+
 STOPS = b".,!?;:%*$#&"
 
 
@@ -63,66 +75,63 @@ def _stem(word: bytes) -> tuple[bytes, bytes]:
     return low, b""
 
 
-class Growing:
-    """An array that doubles when it is full."""
-
-    def __init__(self, kind: type):
-        self.values, self.used = np.empty(1024, kind), 0
-
-    def add(self, more: np.ndarray) -> None:
-        end = self.used + len(more)
-        if end > len(self.values):
-            larger = np.empty(max(end, 2 * len(self.values)), self.values.dtype)
-            larger[: self.used] = self.values[: self.used]
-            self.values = larger
-        self.values[self.used : end] = more
-        self.used = end
-
-
 class WordIds:
     """Token ids of texts by way of their distinct words; tokens never cross white space.
 
+    A word's ids are kept as the bytes of little-endian unsigned 32-bit numbers, so those of a text are the bytes of its words joined.
+
     With ``plain``, strings of added tokens in a text are ordinary text; else they are those tokens, in their own case only.
     """
 
     def __init__(self, path: str, plain: bool = True):
         self.tokenizer = _tokenizer(path, plain)
-        self.added = () if plain else tuple(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        contents = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = () if plain else tuple(contents)
+        # only an added token of plain letters can be found inside a word of plain letters
+        self.ends = None if any(c.isalpha() for c in contents) else _ends(path)
         self.clear()
 
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        if self.added and any(a in word.lower() for a in self.added):
-            return word, b""
-        return _stem(word) if word[-1] in STOPS else (word.lower(), b"")
+    def _parts(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        low = b"\n".join(words).lower()
+        added = [a for a in self.added if a in low]  # seldom any
+        return [(w, b"") if added and any(a in w.lower() for a in added) else _stem(w) if w[-1] in STOPS else (w.lower(), b"") for w in words]
 
     def clear(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.stems: dict[bytes, list[int]] = {b"": []}
-        self.flat, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+
+    def _coded(self, stems: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Stems and their ids. A stem of plain letters has one token that ends a word, its last, so many can be encoded as one text."""
+        letters = [w for w in stems if w.isalpha()] if self.ends is not None else []
+        flat, _ = self._encoded([b" ".join(letters[i : i + JOINED]) for i in range(0, len(letters), JOINED)])
+        cuts = np.flatnonzero(self.ends[flat]) + 1 if letters else np.empty(0, np.int64)
+        if len(cuts) != len(letters):  # a tokenizer that does not mark the ends of words
+            letters, cuts, flat = [], cuts[:0], flat[:0]
+        one_by_one = [w for w in stems if not w.isalpha()] if letters else stems
+        rest, more = self._encoded(one_by_one)
+        ends = [0, *(4 * np.append(cuts, len(flat) + more)).tolist()]
+        data = flat.tobytes() + rest.tobytes()
+        return zip(letters + one_by_one, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True)
+
+    def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and where each text ends."""
+        ids = [c.ids for c in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.fromiter(chain.from_iterable(ids), "<u4"), ends
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        if len(self.places) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS:
             self.clear()
         words_of = [t.split() for t in texts]
-        fresh = list(set().union(*words_of).difference(self.places))
-        if fresh:
-            parts = [self._parts(w) for w in fresh]
+        if fresh := list(set().union(*words_of).difference(self.known)):
+            parts = self._parts(fresh)
             new = list(set(chain.from_iterable(parts)).difference(self.stems))
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.stems.update(zip(new, [c.ids for c in coded], strict=True))
-            ids = [self.stems[stem] + self.stems[stops] for stem, stops in parts]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts.add(self.flat.used + np.cumsum(lengths) - lengths)
-            self.lengths.add(lengths)
-            self.flat.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
-            self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh)), strict=True))
+            self.stems.update(self._coded(new))
+            stems = self.stems
+            self.known.update(zip(fresh, [stems[stem] + stems[stops] if stops else stems[stem] for stem, stops in parts], strict=True))
         for words in words_of:
-            at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-            lengths = self.lengths.values[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(at) else 0
-            yield self.flat.values[np.repeat(self.starts.values[at] - ends + lengths, lengths) + np.arange(total)]
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
 
 @cache
@@ -140,7 +149,9 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known_words(path, False)
-        for batch in batches_of(batches, 4 << 20, "text"):
+
+        @without_cycle_search
+        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.ids(texts_of(batch.column(1))), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -149,7 +160,9 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
                     rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes())))
             columns = zip(*rows, strict=True)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        yield from map(cut, batches_of(batches, 4 << 20, "text"))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
