@@ -2,9 +2,17 @@
 
 Spark deals the texts; a task splits them with the tokenizer's pattern and keeps the distinct matches. A
 recursive query holds one row per word and token position: rows join the merge table on the pair of
-neighbours, each word contracts its leftmost pair of minimum rank, and words without a mergeable pair are
-done. An ordered aggregation gives the ids of each word, and another one, over the ids joined with the
-vocabulary, gives the bytes back. A text is the concatenation of its words.
+neighbours, and a round contracts every pair that no other merge can forestall. Words that are left with pairs
+that another merge could forestall go on in a second recursive query, which contracts the leftmost pair of
+minimum rank of each word in a round. The ids of each word, in order, are joined as text, and the bytes that
+the vocabulary has for them give the bytes back. A text is the concatenation of its words.
+
+Why contracting many pairs at once is exact: let ``ab`` have rank r, with ``p`` before and ``c`` after it, all of them
+tokens that the one-by-one order makes too. It contracts ``ab`` unless it contracts ``b`` with a token that begins with
+``c``, or ``a`` with one that ends in ``p``, at a rank below r. A token is made in one way only, by the
+merges of its bytes alone, so the token beside must have ``c`` among the first parts, or ``p`` among the last parts, of
+which it is made; the least rank of such merges is kept for each pair of neighbours. This needs merges whose rank is above
+those of their parts, as training gives them; with other ranks every word goes to the second query.
 
 A word of more than ``LONG`` bytes is encoded in blocks, which is exact: no merge ever crosses a border of two
 blocks if the last token of the one and the first of the other, joined and encoded by themselves, stay apart.
@@ -21,11 +29,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
+from itertools import pairwise
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -40,6 +51,43 @@ KNOWN_WORDS = 1 << 19
 LONG, BLOCK, WINDOW = 512, 128, 64
 """Bytes of a word that is cut, of a block, and on either side of the place where a border is looked for."""
 
+NEVER = (1 << 31) - 1
+"""Above every rank."""
+
+# One round: a row goes with the one after it if the merge of both comes before any merge of the first with what is before it (``ends``
+# there) and not after any merge of the second with what is after it (``begins`` there); equal ranks go from the left. Names with
+# digits are of the rows around: m_1 is ``merged`` one row back, m1 one row on. The last row of a word has no row after it, so words stay apart.
+TOGETHER = f"""
+WITH RECURSIVE step AS (
+  SELECT w, pos, tok, following, false AS done, false AS more FROM start
+  UNION ALL
+  (
+    WITH pairs AS (
+      SELECT s.w, s.pos, s.tok, s.following, b.merged, coalesce(b.ends, {NEVER}) AS ends, coalesce(b.begins, {NEVER}) AS begins
+      FROM step s LEFT JOIN borders b ON b.a = s.tok AND b.b = s.following
+      WHERE NOT done
+    ), around AS (
+      SELECT *, lag(merged) OVER o AS m_1, lead(merged) OVER o AS m1, lead(merged, 2) OVER o AS m2, lead(following) OVER o AS f1,
+        lag(ends, 1, {NEVER}) OVER o AS e_1, lag(ends, 2, {NEVER}) OVER o AS e_2, lead(ends, 1, {NEVER}) OVER o AS e1,
+        lead(begins, 1, {NEVER}) OVER o AS b1, lead(begins, 2, {NEVER}) OVER o AS b2, lead(begins, 3, {NEVER}) OVER o AS b3
+      FROM pairs WINDOW o AS (ORDER BY pos)
+    ), marked AS MATERIALIZED (
+      SELECT w, pos, tok, merged, coalesce(merged < e_1 AND merged <= b1, false) AS goes, coalesce(m_1 < e_2 AND m_1 <= begins, false) AS gone,
+        CASE WHEN following IS NULL OR goes AND f1 IS NULL THEN NULL
+          WHEN goes THEN CASE WHEN m2 < e1 AND m2 <= b3 THEN m2 ELSE f1 END
+          WHEN m1 < ends AND m1 <= b2 THEN m1 ELSE following END AS next
+      FROM around
+    )
+    SELECT w, pos, CASE WHEN goes THEN merged ELSE tok END, next, false, false
+    FROM marked SEMI JOIN (SELECT w FROM marked WHERE goes) USING (w)
+    WHERE NOT gone
+    UNION ALL
+    SELECT w, pos, tok, NULL, true, merged IS NOT NULL
+    FROM marked ANTI JOIN (SELECT w FROM marked WHERE goes) USING (w)
+  )
+)
+SELECT w, pos, tok, bool_or(more) OVER (PARTITION BY w) AS more FROM step WHERE done
+"""
 # One round: ``pair`` is rank and position of the merge that starts at a row, ``best`` the least of its word.
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -56,9 +104,7 @@ WITH RECURSIVE step AS (
   )
   WHERE best IS NOT NULL AND before IS DISTINCT FROM best
 )
-SELECT w, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, count(*) AS n
-FROM step SEMI JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round)
-GROUP BY w ORDER BY w
+SELECT w, pos, tok FROM step SEMI JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round)
 """
 # The same for long periodic words: where no token made of the result of a merge has a lower rank, all pairs of the
 # least rank go at once, from the left; in a run of overlapping ones every other.
@@ -88,15 +134,7 @@ WITH RECURSIVE step AS (
   )
   WHERE NOT gone
 )
-SELECT w, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, count(*) AS n
-FROM step SEMI JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round)
-GROUP BY w ORDER BY w
-"""
-DECODE = """
-SELECT w, unhex(string_agg(v.hexed, '' ORDER BY pos)) AS bytes
-FROM (SELECT w, generate_subscripts(ids, 1) AS pos, unnest(ids) AS tok FROM (SELECT w, CAST(string_split(ids, ' ') AS INTEGER[]) AS ids FROM coded))
-JOIN vocabulary v USING (tok)
-GROUP BY w ORDER BY w
+SELECT w, pos, tok FROM step SEMI JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round)
 """
 
 
@@ -106,24 +144,85 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+def parts_of(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes]]:
+    """The two tokens that the last merge of a token joins, of each token that merges can make."""
+    out = {}
+    for token in ranks:
+        cuts = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+        if len(cuts) == 1:
+            out[token] = cuts[0]
+        elif cuts:  # one of them at most comes about
+            parts = [token[i : i + 1] for i in range(len(token))]
+            while len(parts) > 2 and (near := [(ranks[x + y], i) for i, (x, y) in enumerate(pairwise(parts)) if x + y in ranks]):
+                i = min(near)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) == 2:
+                out[token] = parts[0], parts[1]
+    return out
+
+
+def _borders(ranks: dict[bytes, int], parts: dict[bytes, tuple[bytes, bytes]]) -> pa.Table:
+    """Of each pair of neighbours ``(a, b)`` that a merge can have on both sides of its middle: ``merged``, the token that joins them; ``begins``, the
+    least rank of a merge of ``a`` with a token that ``b`` grows into; ``ends``, that of a merge of a token that ``a`` grows into with ``b``."""
+
+    def grown_from(token: bytes, side: int) -> Iterator[int]:
+        yield ranks[token]
+        while token in parts:
+            token = parts[token][side]
+            yield ranks[token]
+
+    merged: dict[tuple[int, int], int] = {}
+    begins: dict[tuple[int, int], int] = {}
+    ends: dict[tuple[int, int], int] = {}
+    for token, (x, y) in sorted(parts.items(), key=lambda t: -ranks[t[0]]):  # the least rank is written last
+        a, b, rank = ranks[x], ranks[y], ranks[token]
+        merged[a, b] = rank
+        begins |= {(a, i): rank for i in grown_from(y, 0)}
+        ends |= {(i, b): rank for i in grown_from(x, 1)}
+    keys = list(begins.keys() | ends.keys())
+    columns = [[k[0] for k in keys], [k[1] for k in keys], *([d.get(k) for k in keys] for d in (merged, begins, ends))]
+    return pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("a", "b", "merged", "begins", "ends"), columns, strict=True)})
+
+
+@dataclass
+class Vocabulary:
+    """An in-memory database with the tables of merges and borders, and what else a rank file gives."""
+
+    con: duckdb.DuckDBPyConnection
+    ranks: dict[bytes, int]
+    tokens: dict[int, bytes]
+    single: np.ndarray
+    names: pa.Array
+    """Decimal text by rank."""
+    bytes_of: pa.Array
+    """Bytes by rank."""
+    ordered: bool
+    """Every merge has a rank above those of its parts' merges."""
+
+
 @cache
-def _database(path: str) -> tuple[duckdb.DuckDBPyConnection, dict[bytes, int], dict[int, bytes], np.ndarray]:
-    """An in-memory database with the merge table, every pair of tokens whose concatenation is a token; ranks, tokens by rank, single bytes.
+def _vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a rank file.
 
+    ``merges`` holds the last merge of each token: merges within its bytes come as in the token by itself, so no other merge makes it.
     ``alone`` is 1 where a token that a pair makes is part of a merge of lower rank, so that one contraction may bring forth another before its equals.
     """
     ranks = read_ranks(path)
-    pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    parts = parts_of(ranks)
+    pairs = [(ranks[x], ranks[y], ranks[t]) for t, (x, y) in parts.items()]
     con = duckdb.connect()
     con.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
-    a, b, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
+    a, b, merged = (pa.array(x, pa.int32()) for x in (zip(*pairs, strict=True) if pairs else ([], [], [])))
     sooner = {t for x, y, r in pairs for t in (x, y) if r < t}
     con.register("pairs_in", pa.table({"a": a, "b": b, "merged": merged, "alone": pa.array([int(r in sooner) for _, _, r in pairs], pa.int32())}))
     con.execute("CREATE TABLE merges AS SELECT * FROM pairs_in")
-    con.register("tokens_in", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hexed": [t.hex() for t in ranks]}))
-    con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens_in")
+    con.register("borders_in", _borders(ranks, parts))
+    con.execute("CREATE TABLE borders AS SELECT * FROM borders_in")
+    tokens = {r: t for t, r in ranks.items()}
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    return con, ranks, {r: t for t, r in ranks.items()}, single
+    ordered = all(ranks[t] > ranks[x] for t, both in parts.items() for x in both if x in parts)
+    every = range(max(tokens) + 1)
+    return Vocabulary(con, ranks, tokens, single, pa.array(map(str, every), pa.string()), pa.array([tokens.get(i) for i in every], pa.binary()), ordered)
 
 
 def _chunks(words: list[bytes]) -> Iterator[list[bytes]]:
@@ -137,21 +236,30 @@ def _chunks(words: list[bytes]) -> Iterator[list[bytes]]:
         first = last
 
 
-def _coded(path: str, part: list[bytes], whole: bool, query: str = ENCODE) -> pa.Table:
-    """Ids as text and their number of each word of a chunk; with ``whole``, a word that is a token is that token."""
-    con, ranks, _, single = _database(path)
-    tokens = [np.array([ranks[w]], np.int32) if whole and w in ranks else single[np.frombuffer(w, np.uint8)] for w in part]
-    lengths = np.array([len(t) for t in tokens])
-    ends = np.cumsum(lengths)
-    start = pa.table(
-        {
-            "w": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), lengths)),
-            "pos": pa.array((np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32)),
-            "tok": pa.array(np.concatenate(tokens)),
-        }
-    )
-    con.register("start", start)
-    return con.sql(query).to_arrow_table()
+def _rows(columns: pa.Table | dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    return tuple(np.asarray(columns[n]) for n in ("w", "pos", "tok"))
+
+
+def _coded(path: str, part: list[bytes], whole: bool, runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of a chunk one after another, and the number of ids of each; with ``whole``, a word that is a token is that token."""
+    own = _vocabulary(path)
+    tokens = [np.array([own.ranks[w]], np.int32) if whole and w in own.ranks else own.single[np.frombuffer(w, np.uint8)] for w in part]
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    tok = np.concatenate([*tokens, np.empty(0, np.int32)])
+    w = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
+    left = {"w": w, "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}
+    found = []
+    if own.ordered and not runs:
+        last = np.diff(w, append=-1) != 0
+        own.con.register("start", pa.table(left | {"following": pa.array(np.append(tok[1:], np.int32(0))[: len(tok)], mask=last)}))
+        table = own.con.sql(TOGETHER).to_arrow_table()
+        more = np.asarray(table["more"])
+        found.append(tuple(c[~more] for c in _rows(table)))
+        left = dict(zip(("w", "pos", "tok"), (c[more] for c in _rows(table)), strict=True))
+    own.con.register("start", pa.table(left))
+    found.append(_rows(own.con.sql(ENCODE_RUNS if runs else ENCODE).to_arrow_table()))
+    w, pos, tok = (np.concatenate(c) for c in zip(*found, strict=True))
+    return tok[np.argsort(pos)], np.bincount(w, minlength=len(part))
 
 
 def _merged_ids(path: str, words: list[bytes]) -> dict[bytes, list[int]]:
@@ -159,14 +267,16 @@ def _merged_ids(path: str, words: list[bytes]) -> dict[bytes, list[int]]:
     out = {}
     for long in (False, True):
         for part in _chunks([w for w in dict.fromkeys(words) if (len(w) > 1024) is long]):
-            ids = _coded(path, part, False, ENCODE_RUNS if long else ENCODE).column("ids").to_pylist()
-            out |= {w: list(map(int, i.split())) for w, i in zip(part, ids, strict=True)}
+            tok, n = _coded(path, part, False, runs=long)
+            ends = [0, *np.cumsum(n).tolist()]
+            flat = tok.tolist()
+            out |= {w: flat[a:b] for w, a, b in zip(part, ends, ends[1:], strict=False)}
     return out
 
 
 def long_word_ids(path: str, word: bytes) -> list[int]:
     """Ids of a long word by blocks whose borders no merge crosses."""
-    tokens = _database(path)[2]
+    tokens = _vocabulary(path).tokens
     middles = range(BLOCK, len(word) - WINDOW, BLOCK)
     windows = [word[m - WINDOW : m + WINDOW] for m in middles]
     coded = _merged_ids(path, windows)
@@ -191,21 +301,22 @@ def long_word_ids(path: str, word: bytes) -> list[int]:
 
 def encode_words(path: str, words: list[bytes]) -> tuple[list[str], list[int], list[bytes]]:
     """Ids as text, number of ids and decoded bytes of each word."""
-    con, ranks, _, _ = _database(path)
-    long = {w: long_word_ids(path, w) for w in words if len(w) > LONG and w not in ranks}
+    own = _vocabulary(path)
+    long = {w: np.array(long_word_ids(path, w), np.int32) for w in words if len(w) > LONG and w not in own.ranks}
     ids: list[str] = []
-    n: list[int] = []
+    counts: list[int] = []
     back: list[bytes] = []
     for part in _chunks(words):
-        if short := [w for w in part if w not in long]:
-            coded = _coded(path, short, True)
-            own = iter(zip(coded.column("ids").to_pylist(), coded.column("n").to_pylist(), strict=True))
-        both = [(" ".join(map(str, long[w])), len(long[w])) if w in long else next(own) for w in part]
-        con.register("coded", pa.table({"w": pa.array(range(len(part)), pa.int32()), "ids": [i for i, _ in both]}))
-        ids += [i for i, _ in both]
-        n += [k for _, k in both]
-        back += con.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
-    return ids, n, back
+        tok, n = _coded(path, [w for w in part if w not in long], True)
+        if len(n) < len(part):
+            short = iter(np.split(tok, np.cumsum(n)))
+            each = [long[w] if w in long else next(short) for w in part]
+            tok, n = np.concatenate(each), np.array([len(e) for e in each])
+        ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+        ids += pc.binary_join(pa.ListArray.from_arrays(ends, own.names.take(pa.array(tok))), " ").to_pylist()
+        counts += n.tolist()
+        back += pc.binary_join(pa.ListArray.from_arrays(ends, own.bytes_of.take(pa.array(tok))), b"").to_pylist()
+    return ids, counts, back
 
 
 @cache
