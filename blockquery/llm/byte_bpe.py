@@ -12,7 +12,8 @@ tokens that the one-by-one order makes too. It contracts ``ab`` unless it contra
 ``c``, or ``a`` with one that ends in ``p``, at a rank below r. A token is made in one way only, by the
 merges of its bytes alone, so the token beside must have ``c`` among the first parts, or ``p`` among the last parts, of
 which it is made; the least rank of such merges is kept for each pair of neighbours. This needs merges whose rank is above
-those of their parts, as training gives them; with other ranks every word goes to the second query.
+those of their parts, as training gives them; with other ranks every word goes to the second query. (The second goes on
+from where the first ends: contracting a pair early makes only pairs of higher rank, so none comes before its time.)
 
 A word of more than ``LONG`` bytes is encoded in blocks, which is exact: no merge ever crosses a border of two
 blocks if the last token of the one and the first of the other, joined and encoded by themselves, stay apart.
@@ -31,7 +32,7 @@ import base64
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import duckdb
 import numpy as np
@@ -86,7 +87,7 @@ WITH RECURSIVE step AS (
     FROM marked ANTI JOIN (SELECT w FROM marked WHERE goes) USING (w)
   )
 )
-SELECT w, pos, tok, bool_or(more) OVER (PARTITION BY w) AS more FROM step WHERE done
+SELECT w, pos, tok, more FROM step WHERE done
 """
 # One round: ``pair`` is rank and position of the merge that starts at a row, ``best`` the least of its word.
 ENCODE = """
@@ -243,9 +244,15 @@ def _rows(columns: pa.Table | dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
 def _coded(path: str, part: list[bytes], whole: bool, runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words of a chunk one after another, and the number of ids of each; with ``whole``, a word that is a token is that token."""
     own = _vocabulary(path)
-    tokens = [np.array([own.ranks[w]], np.int32) if whole and w in own.ranks else own.single[np.frombuffer(w, np.uint8)] for w in part]
-    lengths = np.array([len(t) for t in tokens], np.int64)
-    tok = np.concatenate([*tokens, np.empty(0, np.int32)])
+    lengths = np.fromiter(map(len, part), np.int64, len(part))
+    tok = own.single[np.frombuffer(b"".join(part), np.uint8)]
+    if tokens := [i for i, w in enumerate(part) if w in own.ranks] if whole else []:
+        first = np.cumsum(lengths) - lengths
+        tok[first[tokens]] = [own.ranks[part[i]] for i in tokens]
+        keep = np.ones(len(tok), bool)
+        for i in tokens:
+            keep[first[i] + 1 : first[i] + lengths[i]] = False
+        lengths[tokens], tok = 1, tok[keep]
     w = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
     left = {"w": w, "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}
     found = []
@@ -253,9 +260,12 @@ def _coded(path: str, part: list[bytes], whole: bool, runs: bool = False) -> tup
         last = np.diff(w, append=-1) != 0
         own.con.register("start", pa.table(left | {"following": pa.array(np.append(tok[1:], np.int32(0))[: len(tok)], mask=last)}))
         table = own.con.sql(TOGETHER).to_arrow_table()
-        more = np.asarray(table["more"])
-        found.append(tuple(c[~more] for c in _rows(table)))
-        left = dict(zip(("w", "pos", "tok"), (c[more] for c in _rows(table)), strict=True))
+        rows = _rows(table)
+        again = np.zeros(len(part), bool)
+        again[rows[0][np.asarray(table["more"])]] = True
+        more = again[rows[0]]
+        found.append(tuple(c[~more] for c in rows))
+        left = {n: c[more] for n, c in zip(left, rows, strict=True)}
     own.con.register("start", pa.table(left))
     found.append(_rows(own.con.sql(ENCODE_RUNS if runs else ENCODE).to_arrow_table()))
     w, pos, tok = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -299,30 +309,52 @@ def long_word_ids(path: str, word: bytes) -> list[int]:
         cuts = [0, *(c for c, b in zip(cuts[1:-1], borders, strict=True) if apart[b]), len(word)]
 
 
-def encode_words(path: str, words: list[bytes]) -> tuple[list[str], list[int], list[bytes]]:
-    """Ids as text, number of ids and decoded bytes of each word."""
+def _joined(values: pa.Array, places: np.ndarray, ends: np.ndarray, separator: str | bytes) -> pa.Array:
+    """The values at some places, joined from each end to the next."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.take(pa.array(places))), separator)
+
+
+def _encoded(path: str, words: list[bytes]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """Ids as text, number of ids and decoded bytes of the words, a chunk at a time."""
     own = _vocabulary(path)
     long = {w: np.array(long_word_ids(path, w), np.int32) for w in words if len(w) > LONG and w not in own.ranks}
-    ids: list[str] = []
-    counts: list[int] = []
-    back: list[bytes] = []
     for part in _chunks(words):
-        tok, n = _coded(path, [w for w in part if w not in long], True)
+        tok, n = _coded(path, [w for w in part if w not in long] if long else part, True)
         if len(n) < len(part):
             short = iter(np.split(tok, np.cumsum(n)))
             each = [long[w] if w in long else next(short) for w in part]
             tok, n = np.concatenate(each), np.array([len(e) for e in each])
-        ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
-        ids += pc.binary_join(pa.ListArray.from_arrays(ends, own.names.take(pa.array(tok))), " ").to_pylist()
-        counts += n.tolist()
-        back += pc.binary_join(pa.ListArray.from_arrays(ends, own.bytes_of.take(pa.array(tok))), b"").to_pylist()
-    return ids, counts, back
+        ends = np.append(0, np.cumsum(n))
+        yield _joined(own.names, tok, ends, " "), n, _joined(own.bytes_of, tok, ends, b"")
 
 
-@cache
-def _known(path: str) -> tuple[dict[str, int], list[str], list[int], list[bytes]]:
+def encode_words(path: str, words: list[bytes]) -> tuple[list[str], list[int], list[bytes]]:
+    """Ids as text, number of ids and decoded bytes of each word."""
+    ids, n, back = ([x for c in columns for x in c.tolist()] for columns in zip(*_encoded(path, words), strict=True)) if words else ([], [], [])
+    return ids, n, back
+
+
+class Known:
     """Places of the words that this worker process has encoded, and their ids as text, numbers of ids and bytes."""
-    return {}, [], [], []
+
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.counts, self.back = pa.array([], pa.string()), np.empty(0, np.int64), pa.array([], pa.binary())
+
+    def add(self, words: list[str]) -> None:
+        ids, counts, back = ([*c] for c in zip(*_encoded(self.path, [w.encode() for w in words]), strict=True)) if words else ([], [], [])
+        self.ids, self.back = pa.concat_arrays([self.ids, *ids]), pa.concat_arrays([self.back, *back])
+        self.counts = np.concatenate([self.counts, *counts])
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
+
+
+@cache
+def _known(path: str) -> Known:
+    return Known(path)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -336,24 +368,16 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
-        words = _known(path)
-        known, ids, counts, back = words
+        known = _known(path)
         for batch in batches_of(batches, 4 << 20, "text"):
-            if len(known) > KNOWN_WORDS:
-                for part in words:
-                    part.clear()
+            if len(known.places) > KNOWN_WORDS:
+                known.clear()
             words_of = [split(t or "") for t in batch.column(1).to_pylist()]
-            fresh = list(set().union(*words_of).difference(known))
-            for have, new in zip((ids, counts, back), encode_words(path, [w.encode() for w in fresh]), strict=True):
-                have.extend(new)
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            places = [[known[w] for w in words] for words in words_of]
-            out = [
-                batch.column(0),
-                pa.array([" ".join([ids[i] for i in p]) for p in places], pa.string()),
-                pa.array([sum([counts[i] for i in p]) for p in places], pa.int64()),
-                pa.array([b"".join([back[i] for i in p]) for p in places], pa.binary()),
-            ]
+            known.add(list(set().union(*words_of).difference(known.places)))
+            ends = np.cumsum([0, *map(len, words_of)])
+            places = np.fromiter(map(known.places.__getitem__, chain.from_iterable(words_of)), np.int64, ends[-1])
+            n = np.append(0, np.cumsum(known.counts[places]))[ends]
+            out = [batch.column(0), _joined(known.ids, places, ends, " "), pa.array(np.diff(n)), _joined(known.back, places, ends, b"")]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids string, n_tokens long, decoded binary")
