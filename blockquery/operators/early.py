@@ -39,7 +39,8 @@ COMBINED = {
 class Partial:
     """The partial aggregates of one table, and the texts that make the block's aggregates of them."""
 
-    before: dict[str, Column]
+    before: dict[str, tuple[str, Column]]
+    """The function and its value, by name."""
     after: dict[str, Column]
 
 
@@ -80,8 +81,8 @@ def _calls(expression) -> list:
     return [call for i in range(children.size()) for call in _calls(children.apply(i))]
 
 
-def _partial(call, text: str, table: DataFrame) -> tuple[str, list[Column]]:
-    """The kind of an aggregate call and its partial aggregates over ``table``."""
+def _partial(call, text: str, table: DataFrame) -> tuple[str, list[tuple[str, Column]]]:
+    """The kind of an aggregate call and its partial aggregates over ``table``, as functions and values."""
     function = call.aggregateFunction()
     kind = function.getClass().getSimpleName()
     arguments = function.children()
@@ -92,14 +93,14 @@ def _partial(call, text: str, table: DataFrame) -> tuple[str, list[Column]]:
     if argument.references().isEmpty():
         if kind != "Count" or argument.nullable():
             raise ValueError(f"{text} reads no column, so it cannot be combined below a join")
-        return "CountRows", [F.count("*")]
+        return "CountRows", [("count", F.lit(1))]
     if not reads_only(table, argument.sql()):
         raise ValueError(f"{text} reads other tables than the one that is combined below the join")
     if kind != "Average":
-        return kind, [{"Sum": F.sum, "Count": F.count, "Min": F.min, "Max": F.max}[kind](value)]
+        return kind, [(kind.lower(), value)]
     if argument.dataType().typeName().startswith("decimal"):
         raise ValueError(f"{text} is an average of decimals, whose rounding would differ below a join")
-    return kind, [F.sum(value.cast("double")), F.count(value)]
+    return kind, [("sum", value.cast("double")), ("count", value)]
 
 
 def reads_only(table: DataFrame, text: str) -> bool:
@@ -118,4 +119,4 @@ def combined(table: DataFrame, alias: str, texts: Iterable[str], partial: Partia
     """
     read = {w.strip("`").lower() for text in texts for w in _WORD.findall(text)}
     kept = [F.col(f"`{c}`") for c in table.columns if c.lower() in read]
-    return where(table).groupBy(*kept).agg(*[c.alias(n) for n, c in partial.before.items()]).alias(alias)
+    return where(table).groupBy(*kept).agg(*[getattr(F, fn)(value).alias(n) for n, (fn, value) in partial.before.items()]).alias(alias)

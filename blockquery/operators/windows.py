@@ -109,12 +109,14 @@ def running(
     order: Sequence[str],
     columns: Mapping[str, tuple[str, str | Column]],
     hot_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregates from the first row of the key to the current one.
 
-    ``columns`` maps an output name to ``(function, value)`` with sum, count, min or max.
+    ``columns`` maps an output name to ``(function, value)`` with sum, count, min or max. ``counts`` are the rows of each
+    key as ``_rows``, where they are known.
     """
-    cold, hot = split_hot(df, keys, hot_rows)
+    cold, hot = split_hot(df, keys, hot_rows, counts)
     return _both(cold, hot, lambda part: _running(part, keys, order, columns), lambda h: _running_chunked(h, keys, order, columns))
 
 
@@ -207,14 +209,15 @@ class Hot:
         return reliable(ranged.withColumn("_chunk", F.spark_partition_id()))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> tuple[DataFrame, Hot | None]:
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None, counts: DataFrame | None = None) -> tuple[DataFrame, Hot | None]:
     """Rows of ordinary keys, and those of keys with more than ``hot_rows`` rows (if there are any).
 
-    One counting pass over the key columns finds them, as soon as this is called. There are fewer hot keys
+    One counting pass over the key columns finds them, as soon as this is called, unless ``counts`` are given. There are fewer hot keys
     than ``rows / hot_rows``, and Spark broadcasts them if they are small enough.
     """
     hot_rows = hot_rows or HOT_ROWS
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")) if counts is None else counts
+    counts = counts.filter(F.col("_rows") > hot_rows)
     counted, total = counts.agg(F.count("*"), F.sum("_rows")).first()
     if not counted:
         return df, None

@@ -18,6 +18,7 @@ from blockquery.operators.clauses import (
 )
 from blockquery.operators.early import combined, partial_aggregates, reads_only
 from blockquery.operators.joins import Join, join_on, unique_joins
+from blockquery.operators.range_totals import join_totals
 from blockquery.operators.window_text import window_columns
 from blockquery.sources.tables import TableLookup
 
@@ -65,9 +66,10 @@ def query_block(
     joins = unique_joins(joins)
     aliases = [last_part(first)]
     if combine_early is None or not joins:
-        df = _joined(table, first, joins, where)
         if group_by:
-            df = where_all(group_aggregate(df, group_by, aggs or {}), having)
+            df = where_all(_grouped(table, first, joins, where, group_by, aggs or {}), having)
+        else:
+            df = _joined(table, first, joins, where)
     else:
         if not group_by or not aggs:
             raise ValueError("combine_early needs group_by and aggs")
@@ -99,6 +101,21 @@ def _joined(table: TableLookup, first: str, joins: Iterable[Join], where: str |
     return where_all(df, where)
 
 
+def _grouped(
+    table: TableLookup, first: str, joins: list[Join], where: str | Iterable[str], keys: str | Iterable[str | Column], aggs: Expressions
+) -> DataFrame:
+    """The grouped block; over a range join as the last one it is taken without the pairs where it can be."""
+    if not joins:
+        return group_aggregate(_joined(table, first, joins, where), keys, aggs)
+    left, right, last = _joined(table, first, joins[:-1], ()), table(joins[-1].table), joins[-1]
+    totals = join_totals(left, right, last, where, keys, aggs)
+    if totals is not None:
+        return totals
+    aliases = [last_part(n) for n in (first, *[j.table for j in joins[:-1]])]
+    df = join_on(left, right, last.condition, last.how, last.hot_right, (aliases, [last_part(last.table)]))
+    return group_aggregate(where_all(df, where), keys, aggs)
+
+
 def _combined_early(
     table: TableLookup,
     first: str,
@@ -129,5 +146,4 @@ def _combined_early(
     rest = [p for p in predicates if p not in own]
     texts = [*[j.condition for j in joins], *rest, *[k if isinstance(k, str) else str(k) for k in keys]]
     small = combined(source, last_part(name), texts, partial, lambda df: where_all(df, own))
-    df = _joined(lambda n: small if n == name else table(n), first, joins, rest)
-    return group_aggregate(df, keys, partial.after)
+    return _grouped(lambda n: small if n == name else table(n), first, joins, rest, keys, partial.after)
